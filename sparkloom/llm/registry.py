@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.packing import op7_packing
+from sparkloom.llm.quality_classifier import op2_quality_classifier
 from sparkloom.llm.quality_rules import OP1_SQL, op1_quality_rules
+from sparkloom.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_toxicity": op5_toxicity,
+    "op7_packing": op7_packing,
 }
 
 SQL: dict[str, str] = {
