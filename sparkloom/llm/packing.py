@@ -34,11 +34,12 @@ from sparkloom.llm.common import BATCH_ROWS, checkpoint, table
 SEQUENCE = 4096
 END_ID = 2
 CACHE_WORDS = 400_000
-#: Words to encode with one call; a marker token keeps their ids apart.
+#: Words to encode with one call.
 CALL_WORDS = 20_000
 
 _ODD = re.compile("[\x1c-\x1f]")
-_MARKER = "<|endoftext|>"
+#: The model's own word rule, on lower-case ASCII.
+_ASCII_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -54,40 +55,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.marker = self.model.token_to_id(_MARKER)
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for lo in range(0, len(plain), CALL_WORDS):
-            some = plain[lo : lo + CALL_WORDS]
-            ids = self._ids(_MARKER.join(some)) if self.marker is not None else None
-            cuts = np.flatnonzero(ids == self.marker) if ids is not None else []
-            if ids is None or len(cuts) != len(some) - 1:
-                self.cache.update((w, self._ids(w).tobytes()) for w in some)
+    def _learn_units(self, units: list[str]) -> None:
+        """Ids of strings that the model takes as one word each; a word's last token says that it is the last."""
+        for lo in range(0, len(units), CALL_WORDS):
+            some = units[lo : lo + CALL_WORDS]
+            ids = self._ids(" ".join(some))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):
+                self.units.update((u, self._ids(u).tobytes()) for u in some)
                 continue
             raw = ids.tobytes()
-            begin = [0, *((cuts + 1) * 4).tolist()]
-            end = [*(cuts * 4).tolist(), len(raw)]
-            self.cache.update(zip(some, (raw[a:b] for a, b in zip(begin, end, strict=True)), strict=True))
-        self.cache.update((w, self._ids(w).tobytes()) for w in words if "<|" in w)
+            self.units.update(zip(some, (raw[4 * x : 4 * y] for x, y in zip([0, *cuts], cuts, strict=False)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        cache = self.cache
+    def _learn(self, words: set[str]) -> None:
+        units, cache = self.units, self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        missing = {w for words in split if words for w in words}
-        missing.difference_update(cache)
+        if len(units) > CACHE_WORDS:
+            units.clear()
+        split: dict[str, list[str]] = {}
+        for w in words:
+            if w.isascii():
+                if "<|" not in w:
+                    split[w] = _ASCII_UNITS.findall(w.lower())
+                    continue
+            elif w.isalpha():
+                split[w] = [w]
+                continue
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                split[w] = [w[:-1], w[-1]]
+                continue
+            cache[w] = self._ids(w).tobytes()
+        self._learn_units(list({u for parts in split.values() for u in parts if u not in units}))
+        cache.update((w, b"".join([units[u] for u in parts])) for w, parts in split.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD.search(t) else t.split() for t in texts]
+        found = [None if words is None else list(map(self.cache.get, words)) for words in split]
+        missing = {w for words, got in zip(split, found, strict=True) if got and None in got for w, ids in zip(words, got, strict=True) if ids is None}
         if missing:
-            self._learn(list(missing))
-        return [
-            self._ids(t).tobytes() if words is None else b"".join([cache[w] for w in words])
-            for t, words in zip(texts, split, strict=True)
-        ]
+            known = self.cache
+            self._learn(missing)
+            for k, (words, got) in enumerate(zip(split, found, strict=True)):
+                if got and None in got:
+                    found[k] = [known[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+        return [self._ids(t).tobytes() if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.language_crf import op10_language_crf
 from sparkloom.llm.packing import op7_packing
 from sparkloom.llm.quality_classifier import op2_quality_classifier
 from sparkloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from sparkloom.llm.toxicity import op5_toxicity
+from sparkloom.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
+    "op9_url_filter": op9_url_filter,
+    "op10_language_crf": op10_language_crf,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op9_url_filter": OP9_SQL,
 }
