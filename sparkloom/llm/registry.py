@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.language_crf import op10_language_crf
 from sparkloom.llm.packing import op7_packing
+from sparkloom.llm.pii import op6_pii
 from sparkloom.llm.quality_classifier import op2_quality_classifier
 from sparkloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from sparkloom.llm.toxicity import op5_toxicity
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op9_url_filter": op9_url_filter,
     "op10_language_crf": op10_language_crf,
