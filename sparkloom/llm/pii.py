@@ -201,7 +201,8 @@ def fit(cells: list[tuple[int, int, int]], rounds: int = 50) -> SpanModel:
     votes = np.tile(bits, (len(KINDS), 1))
     pairs = (kinds[:, :, None] * votes[:, None, :]).reshape(len(kinds), -1)
     x = np.hstack([kinds, votes, pairs])
-    y, weight = target.ravel(), np.log1p(counts.ravel())
+    # cells that the corpus lacks keep some weight, so that the classifier stays close to the labelers there
+    y, weight = target.ravel(), np.log1p(counts.ravel()) + 0.5
     w = np.zeros(x.shape[1])
     total = max(weight.sum(), 1e-9)
     for _ in range(2000):
