@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.decontaminate import op4_decontaminate
 from sparkloom.llm.language_crf import op10_language_crf
 from sparkloom.llm.packing import op7_packing
 from sparkloom.llm.pii import op6_pii
@@ -17,6 +18,7 @@ from sparkloom.llm.url_filter import OP9_SQL, op9_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
