@@ -82,8 +82,8 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 def set_key(tokens: np.ndarray) -> int:
     """Identity of a set: a 64-bit hash, as a signed number."""
-    total = mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix(np.array([total]))[:1].view(np.int64)[0])
+    total = mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return int(mix(total).view(np.int64)[0])
 
 
 def sketch(tokens: np.ndarray) -> bytes:

@@ -67,6 +67,16 @@ class PrefixHash:
         raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
+    def rolling(self, width: int) -> np.ndarray:
+        """``of`` for the ``width`` bytes from every position."""
+        n = len(self.prefix) - width
+        if n <= 0:
+            return np.empty(0, _U)
+        raw = self.prefix[width:] - self.prefix[:n]
+        raw *= self.inverse[:n]
+        raw += _U(width * 0xD6E8FEB86659FD93 % (1 << 64))
+        return mix(raw)
+
 
 class Slice:
     """Some consecutive rows of a batch: ``data`` holds their bytes end to end."""
@@ -147,9 +157,9 @@ def shingle_sets(part: Slice, width: int = 5) -> tuple[np.ndarray, np.ndarray, n
         total += padded[k : k + len(hashed)] * _U((0xA24BAED4963EE407 + 2 * k * 0x9FB21C651E98DF25) % (1 << 64) | 1)
     for i in np.flatnonzero((n_words > 0) & (n_words < width)):
         lo, hi = first[i], first[i + 1]
-        seed = _U(int(hi - lo))
-        for h in hashed[lo:hi]:
-            seed = mix(np.array([seed * _U(0xC2B2AE3D27D4EB4F) + h]))[0]
-        total[lo] = seed
+        seed = np.array([hi - lo]).astype(_U)
+        for k in range(lo, hi):
+            seed = mix(seed * _U(0xC2B2AE3D27D4EB4F) + hashed[k : k + 1])
+        total[lo] = seed[0]
     counts = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     return mix(total), first[:-1], counts
