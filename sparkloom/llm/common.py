@@ -44,6 +44,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_dealt(df: DataFrame) -> DataFrame:
+    """``checkpoint`` of a frame whose last step is ``repartition``, that later joins and groupings on its key know of.
+
+    An adaptive plan doesn't tell how it deals out its rows, so this one plan isn't adaptive.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpoint(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkloom.llm.common import checkpoint, partitions, table
+from sparkloom.llm.common import checkpoint, checkpoint_dealt, partitions, table
 from sparkloom.llm.textops import PrefixHash, slices
 
 LENGTH = 400
@@ -393,7 +393,7 @@ def suffix_dedup(
     carried = [c for c in names if c != text_col]
     docs = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
     n = partitions(docs.sparkSession)
-    chunks = checkpoint(docs.mapInArrow(_packer(text_col, length, gram, chunk_bytes), _CHUNK).repartition(n, "chunk"))
+    chunks = checkpoint_dealt(docs.mapInArrow(_packer(text_col, length, gram, chunk_bytes), _CHUNK).repartition(n, "chunk"))
     sent = chunks.mapInArrow(_segment_entries(n), _ENTRIES)
     first = checkpoint(sent.repartitionById(n, F.col("bucket")).mapInArrow(_ordered(1), _ANSWERS))
     by_chunk = chunks.groupBy("chunk")
