@@ -16,9 +16,10 @@ one set from the start, so copies never multiply.
 A list of k sets isn't expanded to its pairs.  First every member is paired with
 the list's smallest; verified links give components.  Then only pairs of
 different components within a list remain; those whose parity sketches (exact
-lower bounds of the symmetric difference) allow similarity are verified too, in
-blocks, so a list of any length is spread over tasks.  No pair in a list is
-lost: it is within one component, or pruned by an exact bound, or verified.
+lower bounds of the symmetric difference) allow similarity are verified too:
+members outside the list's largest component probe it, in blocks, so a list of
+any length is spread over tasks.  No pair in a list is lost: it is within one
+component, or pruned by an exact bound, or verified.
 
 Keys of lists are cut to 32 bits and a bucket; a clash adds candidates, which
 verification on full 64-bit shingle hashes removes.
@@ -32,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,13 @@ CHUNK_TOKENS = 2 << 20
 REPORT_LEAST = 4
 #: The order puts this many of the most frequent shingles last; it is a matter of cost, not of results.
 HOT_TOKENS = 1 << 16
-#: Bits of a sketch: four for each shingle up to the most.
-LEAST_BITS, MOST_BITS = 64, 2048
+#: Bits of a sketch: four for each shingle, within these bounds; a small sketch has one for each.
+LEAST_BITS, MOST_BITS = 64, 1 << 20
 #: Members of a list that one task compares with as many others.
 BLOCK = 1024
+PROBE, MEMBER = 1, 2
+#: Words of sketches compared at once.
+CELLS = 1 << 20
 FILTER_BITS = 1 << 23
 
 
@@ -95,6 +99,13 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def small_sketch(full: bytes, n: int) -> bytes:
+    bits = LEAST_BITS
+    while bits < n:
+        bits *= 2
+    return fold(np.frombuffer(full, np.uint64)[None], bits // 64).tobytes()
+
+
 def fold(bits: np.ndarray, size: int) -> np.ndarray:
     """Sketches (rows of uint64) cut to ``size`` words: parities of halves add up."""
     while bits.shape[1] > size:
@@ -111,6 +122,7 @@ _SCAN = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("key", T.LongType()),
         T.StructField("sketch", T.BinaryType()),
+        T.StructField("small", T.BinaryType()),
         T.StructField("token", T.LongType()),
         T.StructField("count", T.LongType()),
     ]
@@ -128,25 +140,28 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = int(keep.sum())
         empty = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.nulls(n, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
+            [empty, empty, empty, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
             names=_SCAN.names,
         )
 
     for batch in batches:
         for lo in range(0, batch.num_rows, BATCH_ROWS):
             rows = batch.slice(lo, BATCH_ROWS)
-            n, key, bits = [], [], []
+            n, key, bits, small = [], [], [], []
             for _, tokens in _sets(rows):
                 n.append(len(tokens))
                 key.append(set_key(tokens) if len(tokens) else None)
                 bits.append(sketch(tokens) if len(tokens) else None)
+                small.append(small_sketch(bits[-1], len(tokens)) if len(tokens) else None)
                 if len(tokens) and key[-1] not in seen:
                     seen.add(key[-1])
                     held.append(tokens)
                     size += len(tokens)
             none = pa.nulls(rows.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), none, none],
+                [rows.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())]
+                + [pa.array(x, pa.binary()) for x in (bits, small)]
+                + [none, none],
                 names=_SCAN.names,
             )
             if size >= CHUNK_TOKENS:
@@ -340,45 +355,94 @@ def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets (columns x and y) are similar."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            keep.append(int((both[1:] == both[:-1]).sum()) >= overlap_needed(len(x), len(y)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of a cell whose sets are similar."""
+    tokens = dict(zip(sets["key"].to_pylist(), sets["tokens"].to_pylist(), strict=True))
+    keep = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        x, y = np.frombuffer(tokens[a], np.uint64), np.frombuffer(tokens[b], np.uint64)
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        keep.append(int((both[1:] == both[:-1]).sum()) >= overlap_needed(len(x), len(y)))
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 _CROSS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _cross(rows: pa.Table) -> pa.Table:
-    """Plausible pairs of different components between two blocks of a list (or within one)."""
-    key, comp, n, block = (rows[c].to_numpy() for c in ("key", "component", "n", "block"))
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    raw = rows["sketch"].to_pylist()
-    words = np.array([len(s) // 8 for s in raw])
-    out = [np.empty((0, 2), np.int64)]
-    for size in np.unique(words):
-        own = np.flatnonzero(words == size)
-        near = np.flatnonzero((words == size) | (words == 2 * size))
-        bits = np.stack([fold(np.frombuffer(raw[k], np.uint64)[None], size)[0] for k in near])
-        back = {k: at for at, k in enumerate(near.tolist())}
-        for k in own.tolist():
-            ok = (comp[near] != comp[k]) & ((words[near] != size) | (key[near] > key[k]))
-            if i != j:
-                ok &= block[near] != block[k]
-            ok &= 4 * np.minimum(n[near], n[k]) >= 3 * np.maximum(n[near], n[k])
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            differ = np.bitwise_count(bits[at] ^ bits[back[k]]).sum(axis=1)
-            at = at[differ <= n[near[at]] + n[k] - 2 * overlap_needed(n[near[at]], n[k])]
-            out.append(np.stack([np.minimum(key[near[at]], key[k]), np.maximum(key[near[at]], key[k])], 1))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first pairs of components that join ones not joined before."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    keep = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+_FOUND = T.StructType([T.StructField("list", T.LongType()), *_CROSS.fields])
+
+
+def _cross(best: bool):
+    """Plausible pairs of different components between a block of probes of a list and a block of its members.
+
+    A pair of probes is met twice and kept where the smaller one probes.  With
+    ``best`` only each probe's likeliest pair for each component is returned,
+    and the list's name in a row of its own if there are others.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, comp, n, role, other = (rows[c].to_numpy() for c in ("key", "component", "n", "role", "other"))
+        raw = rows["sketch"].to_pylist()
+        words = np.array([len(s) // 8 for s in raw])
+        probes, members = np.flatnonzero(role & PROBE), np.flatnonzero(role & MEMBER)
+        found = [np.empty((0, 3), np.int64)]
+        for size in np.unique(words[probes]):
+            own = probes[words[probes] == size]
+            for wide in (size // 2, size, 2 * size):
+                near = members[words[members] == wide]
+                if not wide or not len(near):
+                    continue
+                least = min(size, wide)
+                bits = fold(np.frombuffer(b"".join([raw[k] for k in near]), np.uint64).reshape(-1, wide), least)
+                for k in own.tolist():
+                    ok = (comp[near] != comp[k]) & (~other[near] | (key[near] > key[k]))
+                    ok &= 4 * np.minimum(n[near], n[k]) >= 3 * np.maximum(n[near], n[k])
+                    at = np.flatnonzero(ok)
+                    mine = fold(np.frombuffer(raw[k], np.uint64)[None], least)
+                    for lo in range(0, len(at), CELLS // least + 1):
+                        some = at[lo : lo + CELLS // least + 1]
+                        differ = np.bitwise_count(bits[some] ^ mine).sum(axis=1, dtype=np.int64)
+                        some = near[some]
+                        margin = differ - (n[some] + n[k] - 2 * overlap_needed(n[some], n[k]))
+                        hit = margin <= 0
+                        found.append(np.stack([np.full(hit.sum(), k), some[hit], margin[hit]], 1))
+        pairs = np.concatenate(found)
+        left = np.empty(0, np.int64)
+        if best and len(pairs):
+            order = np.lexsort((key[pairs[:, 1]], pairs[:, 2], comp[pairs[:, 1]], pairs[:, 0]))
+            pairs = pairs[order]
+            head = np.ones(len(pairs), bool)
+            head[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (comp[pairs[1:, 1]] != comp[pairs[:-1, 1]])
+            heads = np.flatnonzero(head)
+            heads = heads[np.argsort(pairs[heads, 2], kind="stable")]
+            taken = heads[_joining(comp[pairs[heads, 0]], comp[pairs[heads, 1]])]
+            left = np.unique(key[np.delete(pairs, taken, axis=0)[:, :2]])
+            pairs = pairs[taken]
+        x, y = key[pairs[:, 0]], key[pairs[:, 1]]
+        out = pa.table({"list": pa.nulls(len(x), pa.int64()), "a": np.minimum(x, y), "b": np.maximum(x, y)})
+        name = np.full(len(left), rows["list"][0].as_py())
+        return pa.concat_tables([out, pa.table({"list": pa.array(name, pa.int64()), "a": left, "b": pa.nulls(len(left), pa.int64())})])
+
+    return run
 
 
 # ---------------------------------------------------------------- the join
@@ -389,12 +453,12 @@ class _Join:
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         scanned = checkpoint(self.rows.mapInArrow(_scan, _SCAN))
-        self.members = scanned.where("token is null").select("doc_id", "n", "key", "sketch")
+        self.members = scanned.where("token is null").select("doc_id", "n", "key", "sketch", "small")
         self.tokens = scanned.where("token is not null").select("token", "count")
         self.sets = checkpoint(
             self.members.where("key is not null")
             .groupBy("key")
-            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+            .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "small")])
         )
 
     def order_and_boundary(self):
@@ -408,8 +472,8 @@ class _Join:
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         sets = self.sets
-        full = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
-            sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
+        full = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa")), "a").join(
+            sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb")), "b"
         )
         return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible, _CROSS)
 
@@ -424,7 +488,9 @@ class _Join:
         mask = np.zeros(FILTER_BITS // 64, np.int64)
         mask[got["word"].to_numpy()] = got["bits"].to_numpy()
         shared = self.spark.sparkContext.broadcast(mask)
-        schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("tokens", T.BinaryType())])
+        schema = T.StructType(
+            [T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("tokens", T.BinaryType())]
+        )
         rows = self.rows.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
         def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,20 +500,56 @@ class _Join:
                 hit = shared.value[spots >> 6] >> (spots & 63) & 1
                 batch = batch.filter(pa.array(hit == 1))
                 for lo in range(0, batch.num_rows, BATCH_ROWS):
-                    keys, blobs = [], []
-                    for _, tokens in _sets(batch.slice(lo, BATCH_ROWS)):
-                        if len(tokens) and (key := set_key(tokens)) not in seen:
+                    part = batch.slice(lo, BATCH_ROWS)
+                    ids = part["doc_id"].to_pylist()
+                    keys, reps, blobs = [], [], []
+                    for i, tokens in _sets(part):
+                        if len(tokens) and (key := (set_key(tokens), ids[i])) not in seen:
                             seen.add(key)
-                            keys.append(key)
+                            keys.append(key[0])
+                            reps.append(ids[i])
                             blobs.append(tokens.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names)
-
-        sets = rows.mapInArrow(some, schema).join(ends, "key", "left_semi").dropDuplicates(["key"])
-        sets = checkpoint(sets)
-        full = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(
-            sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b"
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(blobs, pa.binary())], names=schema.names
+                    )
+
+        # pairs lie in the cells of a grid of blocks of sets, and each set goes once to every cell that needs it
+        side = max(1, isqrt(2 * partitions(self.spark)))
+        block = {c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("a", "b")}
+        cells = pairs.select("a", "b", F.least(*block.values()).alias("i"), F.greatest(*block.values()).alias("j"))
+        needed = cells.select(F.explode(F.array("a", "b")).alias("key"), F.col("i").alias("p"), F.col("j").alias("q")).distinct()
+        needed = needed.join(self.sets.select("key", "rep"), "key")
+        placed = rows.mapInArrow(some, schema).join(needed, ["key", "rep"]).select("p", "q", "key", "tokens")
+        return checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar, _CROSS))
+
+    def grouped(self, links: DataFrame) -> DataFrame:
+        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def open_pairs(self, member: DataFrame, groups: DataFrame, sketch: str, best: bool) -> DataFrame:
+        """Plausible pairs of different components in lists (list, key)."""
+        placed = member.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "component", F.coalesce("component", "key")
         )
-        return checkpoint(full.select("a", "b", "x", "y").mapInArrow(_similar, _CROSS))
+        placed = checkpoint(placed)
+        # two members of different components aren't both in the list's largest one, so those outside it probe the list
+        parts = placed.groupBy("list", "component").agg(F.count("*").alias("size"))
+        lists = parts.groupBy("list").agg(
+            F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("most")
+        ).where("size > most")
+        blocks = {"wide": "size", "high": "size - most"}
+        lists = lists.select("list", "main", *[F.ceil(F.expr(x) / BLOCK).cast("int").alias(c) for c, x in blocks.items()])
+        left = placed.join(lists, "list").join(self.sets.select("key", "n", F.col(sketch).alias("sketch")), "key")
+        left = left.withColumn("other", F.col("component") != F.col("main"))
+        at = {c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int") for c in blocks}
+        every = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in blocks}
+        columns = ["list", "key", "component", "n", "sketch", "other"]
+        # in a list of one block a row plays both parts
+        one = (F.col("wide") == 1) & F.col("other")
+        role = F.when(one, PROBE | MEMBER).otherwise(MEMBER).alias("role")
+        members = left.select(*columns, role, at["wide"].alias("i"), every["high"].alias("j"))
+        probes = left.where(F.col("other") & (F.col("wide") > 1))
+        probes = probes.select(*columns, F.lit(PROBE).alias("role"), every["wide"].alias("i"), at["high"].alias("j"))
+        return members.unionByName(probes).groupBy("list", "i", "j").applyInArrow(_cross(best), _FOUND)
 
     def run(self) -> DataFrame:
         order, boundary = self.order_and_boundary()
@@ -457,28 +559,20 @@ class _Join:
         lists = checkpoint(entries.repartition(n, "bucket").mapInArrow(_lists, _LISTS))
         stars = checkpoint(self.plausible(lists.where("list is null").select("a", "b").distinct()))
         links = self.verify(stars)
-        groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        groups = self.grouped(links)
 
+        # first the likeliest pairs, by small sketches, as most links that they give join the components of others
         member = lists.where("list is not null").select("list", F.col("a").alias("key")).distinct()
-        placed = member.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "component", F.coalesce("component", "key")
-        )
-        placed = checkpoint(placed)
-        open_lists = placed.groupBy("list").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
-        ).where("lo <> hi")
-        left = placed.join(open_lists.select("list", "size"), "list")
-        left = left.join(self.sets.select("key", "n", "sketch"), "key")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        spread = left.select("list", "key", "component", "n", "sketch", "block", others)
-        spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-        cross = spread.groupBy("list", "i", "j").applyInArrow(_cross, _CROSS).distinct()
-        cross = checkpoint(cross.join(stars, ["a", "b"], "left_anti"))
-        if not cross.isEmpty():
-            links = checkpoint(links.unionByName(self.verify(cross)))
-            groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = checkpoint(self.open_pairs(member, groups, "small", best=True))
+        likely = checkpoint(found.where("list is null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+        links = checkpoint(links.unionByName(self.verify(likely)))
+        groups = self.grouped(links)
+        # then all that are left
+        member = found.where("list is not null").select("list", F.col("a").alias("key")).distinct()
+        found = self.open_pairs(member, groups, "sketch", best=False).select("a", "b").distinct()
+        rest = checkpoint(found.join(stars.unionByName(likely), ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            groups = self.grouped(links.unionByName(self.verify(rest)))
 
         named = self.members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "__group", F.coalesce("component", "key")
