@@ -1 +1 @@
-
+"""Operators over DataFrames: relational, chunking, tables, retrieval, usage, mutation."""
