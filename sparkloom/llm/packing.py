@@ -19,6 +19,7 @@ the end id.  Repeated rows are packed once for each row.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,9 @@ from sparkloom.llm.common import BATCH_ROWS, checkpoint, table
 
 SEQUENCE = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Words to encode with one call.
-CALL_WORDS = 20_000
+CALL_WORDS = 2_000
 
 _ODD = re.compile("[\x1c-\x1f]")
 #: The model's own word rule, on lower-case ASCII.
@@ -62,7 +63,7 @@ class Encoder:
         self.units: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn_units(self, units: list[str]) -> None:
         """Ids of strings that the model takes as one word each; a word's last token says that it is the last."""
@@ -78,37 +79,42 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         units, cache = self.units, self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         if len(units) > CACHE_WORDS:
             units.clear()
-        split: dict[str, list[str]] = {}
+        single: list[str] = []
+        split: list[tuple[str, list[str]]] = []
         for w in words:
-            if w.isascii():
-                if "<|" not in w:
-                    split[w] = _ASCII_UNITS.findall(w.lower())
-                    continue
-            elif w.isalpha():
-                split[w] = [w]
-                continue
+            if w.isalpha():
+                single.append(w)
+            elif w.isascii() and "<|" not in w:
+                split.append((w, _ASCII_UNITS.findall(w.lower())))
             elif w[:-1].isalpha() and w[-1] in ".,;:!?":
-                split[w] = [w[:-1], w[-1]]
-                continue
-            cache[w] = self._ids(w).tobytes()
-        self._learn_units(list({u for parts in split.values() for u in parts if u not in units}))
-        cache.update((w, b"".join([units[u] for u in parts])) for w, parts in split.items())
+                split.append((w, [w[:-1], w[-1]]))
+            else:
+                cache[w] = self._ids(w).tobytes()
+        self._learn_units(list(set(single).union(*[parts for _, parts in split]).difference(units)))
+        cache.update(zip(single, map(units.__getitem__, single), strict=True))
+        for w, parts in split:
+            cache[w] = b"".join([units[u] for u in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # many small objects without cycles: the collector would only walk over them
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD.search(t) else t.split() for t in texts]
-        found = [None if words is None else list(map(self.cache.get, words)) for words in split]
-        missing = {w for words, got in zip(split, found, strict=True) if got and None in got for w, ids in zip(words, got, strict=True) if ids is None}
+        distinct = set().union(*filter(None, split))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        missing = distinct.difference(self.cache)
         if missing:
-            known = self.cache
             self._learn(missing)
-            for k, (words, got) in enumerate(zip(split, found, strict=True)):
-                if got and None in got:
-                    found[k] = [known[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
-        return [self._ids(t).tobytes() if got is None else b"".join(got) for t, got in zip(texts, found, strict=True)]
+        known = self.cache.__getitem__
+        return [self._ids(t).tobytes() if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
