@@ -36,14 +36,14 @@ from sparkloom.llm.labelled import byte_ngrams, spaced, text_slices
 from sparkloom.llm.textops import LOWER_ASCII, PrefixHash, Slice, mix
 
 #: Documents of each language that the model is fitted on, at most.
-PER_LANGUAGE = 150
+PER_LANGUAGE = 500
 #: Distinct languages that are learned, at most (the most frequent).
 MAX_LANGUAGES = 64
 BITS = 16
 NGRAMS = (3,)
 AFFIXES = (1, 2, 3)
 EPOCHS = 4
-RATE = 0.25
+RATE = 0.1
 DECAY = 1e-6
 UNKNOWN = "und"
 
