@@ -43,7 +43,8 @@ def normalize_arabic(text: Column) -> Column:
 
 
 def _share(text: Column) -> tuple[Column, Column]:
-    return F.regexp_count(text, F.lit(f"[{ARABIC}]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
+    arabic, english = (F.length(F.regexp_replace(text, f"[^{letters}]+", "")) for letters in (ARABIC, "a-zA-Z"))
+    return arabic, english
 
 
 def detect_language(text: Column) -> Column:

@@ -12,14 +12,13 @@ MIN_CHARS, MIN_NODE_CHARS = 24, 15
 ORDER_KEYS = ("page_number", "position_in_doc", "paragraph_number", "chunk_index")
 
 
-def windows(text: Column, span: int, overlap: int, min_chars: int = MIN_CHARS) -> Column:
-    """Array of (text, token_count): windows of ``span`` words, the last one clipped.
+def windows(w: Column, span: int, overlap: int, min_chars: int = MIN_CHARS) -> Column:
+    """Array of (text, token_count) of an array of words: windows of ``span`` words, the last one clipped.
 
     A last window of fewer than ``min_chars`` characters is appended to the one
     before, so the words that overlap are there twice.
     """
     span, step = max(span, 1), max(span - overlap, 1)
-    w = words(text)
     n = F.size(w)
     count = F.when(n <= span, 1).otherwise(1 + F.ceil((n - span) / step)).cast("int")
     made = F.transform(
@@ -44,8 +43,10 @@ def chunk_documents(docs: DataFrame, span: int, overlap: int, text: str = "text"
     Appends seq, chunk and token_count; a chunk equal to an earlier one of its
     document goes, as does one of fewer than ``min_node`` characters.
     """
-    kept = F.filter(windows(F.col(text), span, overlap), lambda c: F.length(c["text"]) >= min_node)
-    exploded = docs.select(*[c for c in docs.columns if c != text], F.posexplode(F.array_distinct(kept)).alias("seq", "c"))
+    # words and windows are columns of their own, so that each is computed once
+    kept = F.filter(F.col("__windows"), lambda c: F.length(c["text"]) >= min_node)
+    made = docs.withColumn("__words", words(F.col(text))).withColumn("__windows", windows(F.col("__words"), span, overlap))
+    exploded = made.select(*[c for c in docs.columns if c != text], F.posexplode(F.array_distinct(kept)).alias("seq", "c"))
     return exploded.withColumns(
         {"seq": F.col("seq").cast("long"), "chunk": F.col("c.text"), "token_count": F.col("c.token_count")}
     ).drop("c")
@@ -54,7 +55,8 @@ def chunk_documents(docs: DataFrame, span: int, overlap: int, text: str = "text"
 def chunk_segments(segments: DataFrame, span: int, overlap: int, doc: str = "doc_id", min_node: int = MIN_NODE_CHARS) -> DataFrame:
     """Chunks of documents of many segments, numbered without gaps in the order of the segments' keys (nulls last)."""
     order = [F.asc_nulls_last(c) for c in ORDER_KEYS] + [F.asc("ord"), F.asc("sub_order"), F.asc("part")]
-    parts = segments.select("*", F.posexplode(windows(F.col("text"), span, overlap)).alias("part", "c"))
+    parts = segments.withColumn("__words", words(F.col("text")))
+    parts = parts.select("*", F.posexplode(windows(F.col("__words"), span, overlap)).alias("part", "c")).drop("__words")
     parts = parts.withColumns({"chunk": F.col("c.text"), "token_count": F.col("c.token_count")}).drop("c", "text")
     parts = parts.where(F.length("chunk") >= min_node)
     first = F.row_number().over(Window.partitionBy(doc, F.sha2("chunk", 256)).orderBy(*order))

@@ -76,8 +76,8 @@ FROM documents
 """)
 def h5_text_features(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
-    tokens = tx.english_tokens(text)
-    return table(spark, folder, "documents").select(
+    tokens = F.col("tokens")
+    return table(spark, folder, "documents").withColumn("tokens", tx.english_tokens(text)).select(
         "doc_id",
         F.size(tokens).cast("long").alias("n_tokens"),
         F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"),

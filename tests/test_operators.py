@@ -46,10 +46,10 @@ def test_clean_text_and_sentences(spark):
 
 def test_windows_merge_keeps_overlap_twice(spark):
     text = " ".join(f"w{i}" for i in range(11))
-    got = one(spark, chunking.windows(F.col("t"), 10, 2), t=text)
+    got = one(spark, chunking.windows(tx.words(F.col("t")), 10, 2), t=text)
     assert [w["token_count"] for w in got] == [13]
     assert got[0]["text"].endswith("w9 w8 w9 w10")
-    assert one(spark, chunking.windows(F.col("t"), 10, 2), t="") == []
+    assert one(spark, chunking.windows(tx.words(F.col("t")), 10, 2), t="") == []
 
 
 def test_chunk_segments_orders_and_numbers(spark):
