@@ -25,7 +25,8 @@ Keys of lists are cut to 32 bits and a bucket; a clash adds candidates, which
 verification on full 64-bit shingle hashes removes.
 
 Defined results: null and empty texts have the empty set and link with nothing.
-Rows that repeat give a row each.  Only id and text are read.
+Rows that repeat give a row each.  A document without an id is linked like any
+other; its component is the least id in it, or null.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -519,7 +520,9 @@ class _Join:
         cells = pairs.select("a", "b", F.least(*block.values()).alias("i"), F.greatest(*block.values()).alias("j"))
         needed = cells.select(F.explode(F.array("a", "b")).alias("key"), F.col("i").alias("p"), F.col("j").alias("q")).distinct()
         needed = needed.join(self.sets.select("key", "rep"), "key")
-        placed = rows.mapInArrow(some, schema).join(needed, ["key", "rep"]).select("p", "q", "key", "tokens")
+        found = rows.mapInArrow(some, schema).withColumnRenamed("key", "own")
+        # a set all of whose documents lack an id has none as its representative
+        placed = found.join(needed, (F.col("own") == F.col("key")) & found["rep"].eqNullSafe(needed["rep"])).select("p", "q", "key", "tokens")
         return checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar, _CROSS))
 
     def grouped(self, links: DataFrame) -> DataFrame:

@@ -105,6 +105,14 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(rows)
 
 
+def test_jaccard_join_without_ids(spark):
+    base = words(random.Random(21), 100, 5000)
+    near = lambda k: " ".join([*base[:k], "z", *base[k + 1 :]])
+    rows = [(None, near(10)), (None, near(50)), (7, near(90)), (None, "quite another text of seven words"), (None, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["component_id"] is None, r["n_shingles"]) for r in got) == [(False, 96)] * 3 + [(True, 0), (True, 2)]
+
+
 def test_jaccard_join_on_odd_texts(odd_docs):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd_docs).collect()]
     assert len(got) == 13
