@@ -130,8 +130,9 @@ def max_words(token_limit: int) -> int:
 
 
 def is_rtl(text: Column) -> Column:
-    arabic, english = _share(text)
-    return arabic > english
+    """More than half of the letters are Arabic."""
+    letters = F.regexp_replace(text, r"\P{L}+", "")
+    return 2 * F.length(F.regexp_replace(letters, f"[^{ARABIC}]+", "")) > F.length(letters)
 
 
 def is_meaningful(text: Column) -> Column:

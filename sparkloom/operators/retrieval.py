@@ -14,7 +14,7 @@ from sparkloom.functions.text import jaccard
 from sparkloom.functions.vectors import similarity
 
 DENSE_WEIGHT, SPARSE_WEIGHT, RRF_K = 0.5, 0.5, 60
-NEAR_DUPLICATE = 0.9
+NEAR_DUPLICATE = 0.95
 BROADCAST_QUERIES = 10_000
 
 
