@@ -277,11 +277,11 @@ def c7_space_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)
+SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)
     AND contains(lower(c_name), lower('CUSTOMER#')) AND c_mktsegment IN ('BUILDING', 'MACHINERY')
 """)
 def b6_idle_customers(spark: SparkSession, folder: str) -> DataFrame:
-    idle = table(spark, folder, "customer").join(table(spark, folder, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    idle = table(spark, folder, "customer").join(table(spark, folder, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     idle = relational.narrowed(idle, c_mktsegment=["BUILDING", "MACHINERY"], c_nationkey=None)
     return idle.where(relational.contains("CUSTOMER#", "c_name")).select("c_custkey", "c_name")
 
