@@ -34,7 +34,7 @@ from sparkloom.llm.common import BATCH_ROWS, checkpoint, table
 
 SEQUENCE = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Words to encode with one call.
 CALL_WORDS = 2_000
 
