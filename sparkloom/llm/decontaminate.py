@@ -5,11 +5,15 @@ and the diagonals of those q-grams differ by at most e.  So all documents are
 scanned for q-grams of the benchmark; hits are counted in overlapping diagonal
 bands (each diagonal lies in two bands of width 2 (e + 1)), regions of m + e
 bytes with enough hits in a band are retained, and every retained region is
-verified by banded alignment.
+verified by banded alignment: as a whole, and if that fails by every placement
+of a piece of ``WINDOW`` bytes of the item over its hits.
 
 Texts are compared with A-Z lower-cased and every separator as a blank.  A match
 is a passage of at least ``WINDOW`` bytes of an item (all of a shorter item)
-within ``EDITS`` edits for each ``WINDOW`` bytes.
+within ``EDITS`` edits for each ``WINDOW`` bytes.  Every piece of ``WINDOW`` bytes
+within ``EDITS`` edits is found; longer passages with as many edits in proportion,
+but in none of their pieces, count where their hits' region is one.  Items of 20
+to 23 bytes match without edits only, for one edit may leave them no q-gram.
 
 The q-gram index of the benchmark goes to every task.  Its size is checked: a
 benchmark of more than ``BLOCK_BYTES`` is split into blocks of items, and the
@@ -165,6 +169,8 @@ def matches(part: Slice, index: Index) -> list[tuple[int, int, int, int, int]]:
             reach = max(reach, last[windows[end]])
             end += 1
         found = _verify(data, index, doc, item, p, g, windows[at], reach, part)
+        if found is None:
+            found = _placed(data, index, doc, item, band, g, windows[at], reach, part)
         if found is None:
             for k in range(at, end):
                 found = found or _verify(data, index, doc, item, p, g, windows[k], last[windows[k]], part)
@@ -204,6 +210,51 @@ def _verify(data, index: Index, doc, item, p, g, lo: int, hi: int, part: Slice):
     return (d, i, a0 - begin, a1 - begin, edits) if edits <= limit else None
 
 
+def _placed(data, index: Index, doc, item, band, g, lo: int, hi: int, part: Slice):
+    """The longest run of least windows of the item, each within the allowed edits of a passage at the hits' diagonals."""
+    d, i = int(doc[lo]), int(item[lo])
+    low, high = int(index.offsets[i]), int(index.offsets[i + 1])
+    begin, end = int(part.offsets[d]), int(part.offsets[d + 1])
+    least, allowed = int(index.window[i]), int(index.edits[i])
+    hits = np.sort(g[lo : hi + 1])
+    at = np.arange(max(low, int(hits[0]) + Q - least), min(high - least, int(hits[-1])) + 1)
+    inside = np.searchsorted(hits, at + least - Q, "right") - np.searchsorted(hits, at)
+    at = at[inside >= index.needed[i]]
+    if not len(at):
+        return None
+    # an alignment leaves the diagonals of its hits by its edits at most; cells hold edits and the diagonal it began on
+    step = EDITS + 1
+    diagonal = np.arange(step * int(band[lo]) - EDITS, step * (int(band[lo]) + 2) + EDITS)
+    width = len(diagonal)
+    one, never = 2 * width, 2 * width * (least + 1)
+    along = one * np.arange(width)
+    place = at[:, None] + diagonal
+    cost = np.where((place >= begin) & (place <= end), np.arange(width), never)
+    for t in range(least):
+        there = (place >= begin) & (place < end)
+        differs = index.data[at + t][:, None] != data[np.where(there, place, begin)]
+        new = np.where(there, cost + one * differs, never)
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + one)
+        place = place + 1
+        new = np.minimum.accumulate(new - along, axis=1) + along
+        cost = np.where((place >= begin) & (place <= end), new, never)
+        if t % 8 == 7 and cost.min() >= one * (allowed + 1):
+            return None
+    edits = cost.min(axis=1) // one
+    good = np.flatnonzero(edits <= allowed)
+    if not len(good):
+        return None
+    runs = np.split(good, np.flatnonzero(np.diff(at[good]) > 1) + 1)
+    run = max(runs, key=len)
+    b0, b1 = int(at[run[0]]), int(at[run[-1]]) + least
+    a0 = b0 + int(diagonal[cost[run[0]].min() % one])
+    a1 = b1 + int(diagonal[cost[run[-1]].argmin()])
+    limit = allowed
+    while (total := edit_distance(index.data[b0:b1], data[a0:a1], limit)) > limit:
+        limit = 2 * limit + 1
+    return (d, i, a0 - begin, a1 - begin, total)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -56,6 +58,18 @@ def suffix_dedup(texts, length, keep):
     return out
 
 
+def piece_edits(item: str, text: str, size: int) -> int:
+    """The fewest edits between a piece of ``size`` characters of an item and a passage of a text."""
+    letters, along = np.array(list(text), dtype="U1"), np.arange(len(text) + 1)
+    pieces = np.array([list(item[s : s + size]) for s in range(len(item) - size + 1)])
+    rows = np.zeros((len(pieces), len(text) + 1), int)
+    for t in range(size):
+        new = rows + 1
+        new[:, 1:] = np.minimum(new[:, 1:], rows[:, :-1] + (letters != pieces[:, t : t + 1]))
+        rows = np.minimum.accumulate(new - along, axis=1) + along
+    return int(rows.min())
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(int(c) for c in reversed(digits)):

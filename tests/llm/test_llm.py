@@ -204,6 +204,40 @@ def test_decontamination(spark, odd_docs):
     assert decontaminate.contaminated(odd_docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_brute_force(spark):
+    """Pieces of items with edits at either end, against the alignment of every piece with every passage."""
+    rng = random.Random(15)
+    items = [(k, " ".join(words(rng, n, 5000))) for k, n in enumerate((60, 24, 14, 8, 5))]
+    rows, near = [], items[0][1]
+    for where in ((5, 10, 20), (60, 70, 76), (0, 1, 2, 3), (76, 77, 78, 79), (2, 40, 78), (1, 3, 76, 78)):
+        piece = list(near[100:180])
+        for at in where:
+            piece[at] = "#"
+        rows += [(f"{' '.join(words(rng, 12, 5000))} {''.join(piece)} {' '.join(words(rng, 12, 5000))}"), "".join(piece)]
+    for _ in range(80):
+        text = rng.choice(items)[1]
+        at, size = rng.randrange(max(1, len(text) - 90)), rng.randrange(74, 112)
+        piece = list(text[at : at + size])
+        for _ in range(rng.randrange(7)):
+            k = rng.choice([rng.randrange(len(piece)), rng.randrange(25), len(piece) - 1 - rng.randrange(25)]) % len(piece)
+            piece[k : k + rng.randrange(2)] = rng.choice(["#", "", "##"])
+        rows.append(rng.choice(["", " ".join(words(rng, 9, 5000)) + " "]) + "".join(piece) + rng.choice(["", " " + " ".join(words(rng, 9, 5000))]))
+    rows = list(enumerate(rows))
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame, bench).collect()}
+    texts, least = dict(rows), set()
+    for d, t in rows:
+        for i, item in items:
+            size = min(len(item), 80)
+            if brute.piece_edits(item, t, size) <= size * 4 // 80:
+                least.add((d, i))
+    assert {k for k in range(12)} <= {d for d, _ in least} and least <= set(got)
+    for (d, i), r in got.items():  # what is said of the region holds, and no more edits in proportion
+        passage = texts[d][r["start"] : r["end"]]
+        assert brute.piece_edits(passage, dict(items)[i], len(passage)) <= r["edits"]
+        assert (d, i) in least or r["edits"] <= (len(passage) + r["edits"]) * 4 // 80
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [(i, " ".join(words(rng, 40, 5000))) for i in range(20)]
