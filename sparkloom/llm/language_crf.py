@@ -7,7 +7,8 @@ column for each language; learned transitions tie neighbouring words, so that
 single foreign-looking words don't break a run while real switches do.
 Forward-backward gives each word's marginals; a document's language is the one
 with the largest sum of marginals over its words with a letter, and the score
-is its share.
+is its share.  With ``words_col`` the words' own languages are returned too, so
+that text which switches languages shows where.
 
 Training maximises the likelihood of the learning documents, whose words are all
 labelled with the document's language, by AdaGrad in numpy on a bounded sample
@@ -18,7 +19,7 @@ Lines are the sequences: the lines of a slice are advanced together, a word at a
 time, longest first, so a long line costs steps only for itself.
 
 Defined results: ``und`` with score 0.0 for a text that is null or has no letter,
-or where no language could be learned.
+or where no language could be learned; such a text has no labelled words.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ EPOCHS = 4
 RATE = 0.1
 DECAY = 1e-6
 UNKNOWN = "und"
+WORD_LABELS = T.ArrayType(
+    T.StructType(
+        [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
+        + [T.StructField("lang", T.StringType()), T.StructField("probability", T.DoubleType())]
+    )
+)
 
 
 @dataclass
@@ -210,8 +217,12 @@ def train(docs: DataFrame, learn, lang_col: str = "lang", per_language: int = PE
     return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
 
 
-def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """Append ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, model: Crf, text_col: str = "text", words_col: str | None = None) -> DataFrame:
+    """Append ``lang_pred`` and ``score``; with ``words_col`` also each word with a letter, as (start, end, lang, probability).
+
+    Words begin and end at code points of the text; a word's language is the one
+    of its largest marginal, and the probability is that marginal.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each of at most MAX_LANGUAGES
 
     def make():
@@ -221,6 +232,7 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             words = Words(part)
             n, size = len(part), len(crf.languages)
             share = np.zeros((n, max(size, 1)))
+            marginal = np.zeros((0, max(size, 1)))
             if len(words.starts) and size:
                 marginal = forward_backward(words, words.potentials(crf.weights), crf.transitions, crf.first)
                 for k in range(size):
@@ -235,14 +247,32 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
                 known = lettered and size and total[i] > 0
                 names.append(crf.languages[best[i]] if known else UNKNOWN)
                 scores.append(float(share[i, best[i]] / total[i]) if known else 0.0)
-            return [names, scores]
+            return [names, scores] + ([_labelled(part, words, marginal, crf.languages, np.array(scores) > 0)] if words_col else [])
 
         return step
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if words_col:
+        fields.append(T.StructField(words_col, WORD_LABELS))
     return append_columns(docs, text_col, fields, make, 1 << 20)
 
 
+def _labelled(part: Slice, words: Words, marginal: np.ndarray, languages: list[str], known: np.ndarray) -> pa.Array:
+    """A list of labelled words for each document of a slice."""
+    at = np.flatnonzero(words.lettered & known[words.doc]) if len(marginal) else np.empty(0, np.int64)
+    doc, label = words.doc[at], marginal[at].argmax(axis=1)
+    points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+    begin = points[part.offsets[:-1]][doc]
+    columns = [
+        pa.array(points[words.starts[at]] - begin, pa.int64()),
+        pa.array(points[words.ends[at]] - begin, pa.int64()),
+        pa.array(languages, pa.string()).take(pa.array(label, pa.int64())),
+        pa.array(marginal[at, label], pa.float64()),
+    ]
+    values = pa.StructArray.from_arrays(columns, names=WORD_LABELS.elementType.names)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(part) + 1)), pa.int32()), values)
+
+
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang"), remainder("doc_id", 5) != 0)

@@ -292,6 +292,27 @@ def test_language_query_and_odd_texts(spark, folder, odd_docs):
     assert {r["lang_pred"] for r in language_crf.predict(odd_docs, empty).collect()} == {"und"}
 
 
+def test_language_of_words_in_mixed_text(spark, odd_docs):
+    rng = random.Random(23)
+    vocabulary = {"aa": [f"{x}é{y}" for x in "bdgk" for y in "lmn"], "bb": [f"{x}ou{y}" for x in "fpst" for y in "rvz"]}
+    learn = [(i, " ".join(rng.choices(vocabulary[lang], k=30)), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    model = language_crf.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
+    parts = [("aa", 12), ("bb", 15), ("aa", 9)]
+    wanted = [(w, lang) for lang, n in parts for w in rng.choices(vocabulary[lang], k=n)]
+    text = "12 " + " ".join(w for w, _ in wanted)
+    frame = spark.createDataFrame([(1, text, None), (2, "12 34 —", None), (3, None, None), (4, "béll fouv", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_crf.predict(frame, model, words_col="labels").collect()}
+    assert [(text[w["start"] : w["end"]], w["lang"]) for w in got[1]["labels"]] == wanted
+    assert got[2]["labels"] == got[3]["labels"] == [] and len(got[4]["labels"]) == 2
+    # with two languages the document's share follows from the words
+    own = [w["probability"] if w["lang"] == "aa" else 1 - w["probability"] for w in got[1]["labels"]]
+    assert got[1]["lang_pred"] == "aa" and got[1]["score"] == pytest.approx(sum(own) / len(own))
+    assert min(w["probability"] for w in got[1]["labels"]) > 0.5
+    assert language_crf.predict(odd_docs, model, words_col="labels").where("size(labels) > 0").count() == 10
+    empty = language_crf.train(odd_docs.limit(0), F.lit(True))
+    assert language_crf.predict(odd_docs, empty, words_col="labels").where("size(labels) > 0").count() == 0
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
