@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +36,10 @@ from sparkloom.llm.common import append_columns, remainder, table
 from sparkloom.llm.labelled import byte_ngrams, spaced, text_slices
 from sparkloom.llm.textops import LOWER_ASCII, PrefixHash, Slice, mix
 
-#: Documents of each language that the model is fitted on, at most.
+#: Documents of each language that the model is fitted on, at most; every language is learned.
 PER_LANGUAGE = 500
-#: Distinct languages that are learned, at most (the most frequent).
-MAX_LANGUAGES = 64
+#: Beyond this many languages slices are cut shorter, so that the tables of words by languages keep their size.
+WIDE = 64
 BITS = 16
 NGRAMS = (3,)
 AFFIXES = (1, 2, 3)
@@ -159,6 +159,10 @@ def forward_backward(words: Words, scores: np.ndarray, transitions: np.ndarray,
     return (marginal, expected, marginal[words.line_start].sum(axis=0)) if pairs else marginal
 
 
+def _slice_bytes(most: int, languages: int) -> int:
+    return most * WIDE // max(WIDE, languages)
+
+
 def fit(texts: pa.Array, labels: list[str], seed: int = 5) -> Crf:
     languages = sorted(set(labels))
     size = len(languages)
@@ -166,10 +170,11 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 5) -> Crf:
     model = Crf(languages, weights, np.zeros((size, size)), np.zeros(size))
     if size < 2:
         return model
-    index = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    index = np.array([number[x] for x in labels])
     groups = []
     shuffled = np.random.RandomState(seed).permutation(len(labels))
-    for part in text_slices(texts.take(pa.array(shuffled)), 128 << 10):
+    for part in text_slices(texts.take(pa.array(shuffled)), _slice_bytes(128 << 10, size)):
         words = Words(part)
         if len(words.starts):
             groups.append((words, index[shuffled[part.first : part.first + len(part)]][words.doc]))
@@ -203,17 +208,14 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 5) -> Crf:
 def train(docs: DataFrame, learn, lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Crf:
     """Fit on learning rows with a text and a language; rows are taken in the order of a hash of their id."""
     rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & learn)
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
-    picked = None
-    for row in sorted(counts, key=lambda r: r[0]):
-        one = rows.where(F.col(lang_col) == row[0]).select(F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.col(lang_col).alias("lang"))
-        one = one.orderBy("h", "doc_id").limit(per_language)
-        picked = one if picked is None else picked.unionByName(one)
-    if picked is None:
-        return Crf([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    picked = picked.select("doc_id", "lang").distinct()  # at most MAX_LANGUAGES * per_language ids
+    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.col(lang_col).alias("lang"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = ids.withColumn("number", number).where(F.col("number") <= per_language)
+    picked = picked.select("doc_id", "lang").distinct()  # at most per_language ids of each language
     texts = rows.select("doc_id", "text", F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["doc_id", "lang"])
     got = texts.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    if not len(got):
+        return Crf([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
     return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
 
 
@@ -223,7 +225,7 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text", words_col: str
     Words begin and end at code points of the text; a word's language is the one
     of its largest marginal, and the probability is that marginal.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each of at most MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each language
 
     def make():
         crf = shared.value
@@ -254,7 +256,7 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text", words_col: str
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if words_col:
         fields.append(T.StructField(words_col, WORD_LABELS))
-    return append_columns(docs, text_col, fields, make, 1 << 20)
+    return append_columns(docs, text_col, fields, make, _slice_bytes(1 << 20, len(model.languages)))
 
 
 def _labelled(part: Slice, words: Words, marginal: np.ndarray, languages: list[str], known: np.ndarray) -> pa.Array:

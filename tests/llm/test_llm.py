@@ -292,6 +292,20 @@ def test_language_query_and_odd_texts(spark, folder, odd_docs):
     assert {r["lang_pred"] for r in language_crf.predict(odd_docs, empty).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any bound on them, the last with the fewest documents; rows of each are bounded."""
+    rng = random.Random(25)
+    rows = []
+    for k in range(80):
+        own = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in "bcdfg"]
+        rows += [(len(rows) + i, " ".join(rng.choices(own, k=20)), f"l{k:02d}") for i in range(3 if k == 79 else 6)]
+    frame = spark.createDataFrame([*rows, (9999, "some text", None)], "doc_id long, text string, lang string")
+    model = language_crf.train(frame, F.lit(True), per_language=5)
+    assert model.languages == [f"l{k:02d}" for k in range(80)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.predict(frame, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) >= 0.9 and got[rows[-1][0]] == "l79"
+
+
 def test_language_of_words_in_mixed_text(spark, odd_docs):
     rng = random.Random(23)
     vocabulary = {"aa": [f"{x}é{y}" for x in "bdgk" for y in "lmn"], "bb": [f"{x}ou{y}" for x in "fpst" for y in "rvz"]}
