@@ -21,8 +21,9 @@ members outside the list's largest component probe it, in blocks, so a list of
 any length is spread over tasks.  No pair in a list is lost: it is within one
 component, or pruned by an exact bound, or verified.
 
-Keys of lists are cut to 32 bits and a bucket; a clash adds candidates, which
-verification on full 64-bit shingle hashes removes.
+Keys of lists are whole 64-bit hashes, which are taken for equality: a list of
+subsets is only joined to its smallest sets, so an unrelated one in it would
+cost links.
 
 Defined results: null and empty texts have the empty set and link with nothing.
 Rows that repeat give a row each.  A document without an id is linked like any
@@ -210,7 +211,7 @@ class Order:
 
 
 _ENTRIES = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("entries", T.BinaryType())])
-_ENTRY = np.dtype([("token", "<u4"), ("key", "<i8"), ("side", "u1")])
+_ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("side", "u1")])
 
 
 def list_keys(tokens: np.ndarray, order: Order, boundary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def _index(shared, boundary: int, buckets: int):
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([h[0] for h in held])
             entry = np.empty(len(keys), _ENTRY)
-            entry["token"] = keys >> np.uint64(32)
+            entry["token"] = keys
             entry["key"] = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
             entry["side"] = np.concatenate([h[2] for h in held])
             bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
@@ -281,7 +282,7 @@ def _pack(entry: np.ndarray) -> bytes:
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw) // _ENTRY.itemsize
-    return np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<i8", n, 4 * n), np.frombuffer(raw, "u1", n, 12 * n)
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "u1", n, 16 * n)
 
 
 # ---------------------------------------------------------------- lists: star pairs, and what is left to compare

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,17 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard_components(rows)
 
 
+def test_jaccard_join_lists_whose_keys_nearly_clash(monkeypatch):
+    """An unrelated set whose key differs in its low bits only takes no pair from a list of subsets."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["one", "two", "three"]})
+    sets = sorted(jaccard_join.set_key(t) for _, t in jaccard_join._sets(batch))
+    near = lambda tokens: 0x1234567800000000 + int(jaccard_join.set_key(tokens) != sets[0])
+    monkeypatch.setattr(jaccard_join, "list_keys", lambda t, *_: (np.array([near(t)], np.uint64), np.zeros(1, np.uint8)))
+    shared = SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    lists = jaccard_join._lists(jaccard_join._index(shared, 14, 1)([batch]))
+    assert [(r["a"], r["b"]) for b in lists for r in b.to_pylist()] == [tuple(sets[1:])]
+
+
 def test_jaccard_join_without_ids(spark):
     base = words(random.Random(21), 100, 5000)
     near = lambda k: " ".join([*base[:k], "z", *base[k + 1 :]])
