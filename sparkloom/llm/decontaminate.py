@@ -15,6 +15,12 @@ within ``EDITS`` edits is found; longer passages with as many edits in proportio
 but in none of their pieces, count where their hits' region is one.  Items of 20
 to 23 bytes match without edits only, for one edit may leave them no q-gram.
 
+Runs that repeat a period of up to ``MOST_PERIOD`` bytes (rules of dashes, blank
+fields) give the same q-grams over and over and say nothing of a passage, so those
+q-grams are left out on both sides, and what a window lacks for them is taken off
+the count that it needs.  A window made of nothing else is no passage; one that
+has few others is found if one of them is whole.
+
 The q-gram index of the benchmark goes to every task.  Its size is checked: a
 benchmark of more than ``BLOCK_BYTES`` is split into blocks of items, and the
 documents are scanned once for each block.
@@ -36,13 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BATCH_ROWS, table
+from sparkloom.llm.common import BATCH_ROWS, append_columns, table
 from sparkloom.llm.textops import LOWER_ASCII, SEPARATOR, Slice, slices
 
 Q = 12
 WINDOW = 80
 EDITS = 4
 BLOCK_BYTES = 16 << 20
+#: Longest period of a run whose q-grams are left out.
+MOST_PERIOD = 6
 
 _FOLD = np.where(SEPARATOR, 32, LOWER_ASCII).astype(np.uint8)
 _FILTER_BITS = 22
@@ -61,6 +69,17 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _periodic(data: np.ndarray) -> np.ndarray:
+    """Whether the Q bytes from each position repeat a period of at most ``MOST_PERIOD`` bytes."""
+    n = max(0, len(data) - Q + 1)
+    out = np.zeros(n, bool)
+    for period in range(1, MOST_PERIOD + 1):
+        same = np.concatenate([[0], np.cumsum(data[period:] == data[:-period], dtype=np.int64)])
+        if n:
+            out |= same[Q - period :][:n] - same[: n] == Q - period
+    return out
+
+
 @dataclass
 class Index:
     """Grams of all items of a block end to end, and per item its place and thresholds."""
@@ -86,14 +105,27 @@ class Index:
         at = np.arange(len(h))
         item = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[item + 1] if len(h) else np.empty(0, bool)
-        h, at = h[inside], at[inside]
+        plain = ~_periodic(data)
+        window = np.minimum(lengths, WINDOW)
+        edits = np.minimum(window * EDITS // WINDOW, np.maximum(0, window // Q - 1))
+        needed = np.maximum(1, window + 1 - Q * (edits + 1) - _most_lacking(~plain, offsets, window))
+        h, at = h[inside & plain], at[inside & plain]
         order = np.argsort(h, kind="stable")
         hashes, first = np.unique(h[order], return_index=True)
         present = np.zeros(1 << _FILTER_BITS, bool)
         present[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        window = np.minimum(lengths, WINDOW)
-        edits = np.minimum(window * EDITS // WINDOW, np.maximum(0, (window + 1 - 1) // Q - 1))
-        return cls(ids, data, offsets, hashes, np.append(first, len(order)), at[order], present, window, edits, np.maximum(1, window + 1 - Q * (edits + 1)))
+        return cls(ids, data, offsets, hashes, np.append(first, len(order)), at[order], present, window, edits, needed)
+
+
+def _most_lacking(periodic: np.ndarray, offsets: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """For each item the most q-grams that any of its windows lacks because they are periodic."""
+    run = np.concatenate([[0], np.cumsum(periodic)])
+    out = np.zeros(len(window), np.int64)
+    for i, (lo, hi, size) in enumerate(zip(offsets[:-1], offsets[1:], window, strict=True)):
+        if size >= Q:
+            begin = np.arange(lo, hi - size + 1)
+            out[i] = (run[begin + size - Q + 1] - run[begin]).max()
+    return out
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -160,25 +192,20 @@ def matches(part: Slice, index: Index) -> list[tuple[int, int, int, int, int]]:
     fits &= p[last] - p <= index.window[item] + index.edits[item] - Q
     windows = np.flatnonzero(fits)
     best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-    at = 0
-    while at < len(windows):
-        # windows that overlap in one group make one region
-        end = at + 1
-        reach = last[windows[at]]
-        while end < len(windows) and group[windows[end]] == group[windows[at]] and windows[end] <= reach:
-            reach = max(reach, last[windows[end]])
-            end += 1
-        found = _verify(data, index, doc, item, p, g, windows[at], reach, part)
-        if found is None:
-            found = _placed(data, index, doc, item, band, g, windows[at], reach, part)
+    if not len(windows):
+        return []
+    # windows that overlap in one group make one region
+    apart = np.flatnonzero((group[windows[1:]] != group[windows[:-1]]) | (windows[1:] > last[windows[:-1]])) + 1
+    for at, end in zip(windows[np.append(0, apart)], last[windows[np.append(apart, len(windows)) - 1]], strict=True):
+        i = int(item[at])
+        held = best.get((int(doc[at]), i))
+        if held and held[3] - held[2] >= index.offsets[i + 1] - index.offsets[i]:
+            continue  # the whole item is found already
+        found = _verify(data, index, doc, item, p, g, at, end, part)
         if found is None:
-            for k in range(at, end):
-                found = found or _verify(data, index, doc, item, p, g, windows[k], last[windows[k]], part)
-        if found is not None:
-            key = found[:2]
-            if key not in best or best[key][3] - best[key][2] < found[3] - found[2]:
-                best[key] = found
-        at = end
+            found = _placed(data, index, doc, item, band, g, at, end, part)
+        if found is not None and (held is None or held[3] - held[2] < found[3] - found[2]):
+            best[found[:2]] = found
     return sorted(best.values())
 
 
@@ -255,28 +282,52 @@ def _placed(data, index: Index, doc, item, band, g, lo: int, hi: int, part: Slic
     return (d, i, a0 - begin, a1 - begin, total)
 
 
+def _blocks(benchmark: DataFrame, item_col: str) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of the items, block after block of about ``BLOCK_BYTES`` at most."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+    for block in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        got = some.toArrow().sort_by([("item", "ascending"), ("text", "ascending")])
+        yield got["item"].combine_chunks(), got["text"].to_pylist()
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """A row for each document and benchmark item that it contains."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1)
     fields = [docs.schema[id_col], T.StructField(item_col, benchmark.schema[item_col].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("start", "end", "edits")]
     schema = T.StructType(fields)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     out = None
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        got = some.toArrow().sort_by([("item", "ascending"), ("text", "ascending")])  # about BLOCK_BYTES at most
-        shared = spark.sparkContext.broadcast((got["item"].combine_chunks(), got["text"].to_pylist()))
-        found = rows.mapInArrow(_scanner(shared, schema), schema)
+    for block in _blocks(benchmark, item_col):
+        found = rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(block), schema), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def count_items(docs: DataFrame, benchmark: DataFrame, count_col: str, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """Append how many benchmark items each row's text contains: rows are judged where they lie, without a shuffle or an id."""
+
+    def counter(shared):
+        def make():
+            _, texts = shared.value
+            index = Index.of(list(range(len(texts))), texts)
+            return lambda part: [np.bincount([m[0] for m in matches(part, index)], minlength=len(part))]
+
+        return make
+
+    total = F.lit(0).cast("long")
+    for k, block in enumerate(_blocks(benchmark, item_col)):
+        name = f"{count_col}_{k}"
+        docs = append_columns(docs, text_col, [T.StructField(name, T.LongType())], counter(docs.sparkSession.sparkContext.broadcast(block)))
+        total += F.col(name)
+    names = [f"{count_col}_{i}" for i in range(k + 1)]
+    return docs.withColumn(count_col, total).drop(*names)
+
+
 def _scanner(shared, schema: T.StructType):
     names = schema.names
 
