@@ -2,38 +2,42 @@
 
 Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers.
 Further candidate spans (assigned secrets, national phone numbers, spelled-out
-addresses, names after a form of address, failed base matches) are judged by
-labelers, each of which votes yes or no: the strict pattern of the kind, a
-gazetteer of words that announce it, and the context on either side.
+addresses, names after a form of address or beginning with a given name, failed
+base matches) are judged by labelers, each of which votes yes or no: the strict
+pattern of the kind, gazetteers of given names and of words that announce a kind,
+the context on either side, and the shape.
 
-1. All documents are scanned; candidates are counted by kind and votes.
+1. All documents are scanned for candidates, which are counted by kind and votes.
 2. Expectation-maximisation over those counts (a two-class Dawid-Skene model)
-   estimates each labeler's reliability and each cell's probability.
-3. A logistic span classifier is trained on all cells, with those probabilities
-   as targets, over kind, votes and their pairs with the kind.
+   estimates each labeler's reliability and the probability of every kind and
+   vote pattern: the statistics are those of the whole corpus.
+3. A logistic span classifier is trained with those probabilities as targets, on
+   at most ``PER_CELL`` candidates of each kind and vote pattern, weighed by the
+   pattern's count.  It sees the votes, and also the span (its shape, ends and
+   length) and its context (the words before it, the sign behind it).
 4. All documents are scanned again: base spans stay, and candidates that the
    classifier gives at least ``ACCEPT`` are added where they touch no base span.
 
-The number of cells is bounded by kinds times vote patterns, so the model fits
-on statistics of the whole corpus.
-
 Defined results: a null text is an empty one; offsets are code points, ends
-exclusive.  Without candidates nothing is added.
+exclusive.  Of candidates of one kind that overlap the first counts.  Without
+candidates nothing is added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import append_columns, table
+from sparkloom.llm.common import append_columns, checkpoint, table
 from sparkloom.llm.textops import Slice
 
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
@@ -51,15 +55,43 @@ _SPELLED = re.compile(r"[\[(]at[\])]|[\[(]AT[\])]")
 _ASSIGNED = re.compile(r"[=:][ \t]?[\"']?([A-Za-z0-9+/_-]{8,})")
 _ADDRESSED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\.? ([^\W\d_]+(?: [^\W\d_]+)?)")
 
-#: Words that announce a kind, looked for in the text just before a span.
+#: Words that announce a kind, looked for in the text just before a span (English, French, German, Spanish).
 GAZETTEER = {
-    "email": ("contact", "e-mail", "email", "mail", "write to"),
-    "ip": ("address", "host", "ip", "server"),
-    "card": ("account", "card", "credit", "visa"),
-    "phone": ("call", "fax", "mobile", "phone", "tel"),
-    "name": ("by", "contact", "from", "signed"),
-    "secret": ("api_key", "apikey", "key", "password", "passwd", "secret", "token"),
-}
+    "email": (
+        "adresse", "address", "an:", "contact", "contacto", "contactez", "correo", "courriel", "e-mail", "email", "escriba", "from",
+        "kontakt", "mail", "reply", "schreib", "to:", "write to", "écrivez",
+    ),
+    "ip": ("address", "adresse", "client", "dirección", "from", "gateway", "host", "ip", "login", "proxy", "server", "servidor", "serveur"),
+    "card": (
+        "account", "amex", "card", "carte", "compte", "credit", "cuenta", "débito", "karte", "konto", "kreditkarte", "mastercard",
+        "payment", "tarjeta", "visa",
+    ),
+    "phone": (
+        "anruf", "appel", "appelez", "call", "cell", "contact", "fax", "handy", "llame", "mobile", "móvil", "phone", "portable", "ruf",
+        "tel", "teléfono", "téléphone", "whatsapp",
+    ),
+    "name": (
+        "atentamente", "author", "auteur", "autor", "by", "cordialement", "dear", "estimad", "from", "gruß", "grüße", "name", "nom",
+        "nombre", "patient", "regards", "signed", "sincerely", "von",
+    ),
+    "secret": (
+        "access_key", "api key", "api_key", "apikey", "auth", "bearer", "clave", "client_secret", "contraseña", "credential", "key",
+        "kennwort", "mot de passe", "passwd", "password", "passwort", "pwd", "schlüssel", "secret", "token",
+    ),
+}
+#: Common given names.
+GIVEN = (
+    "Alejandro", "Alice", "Andrea", "Anna", "Anne", "Antonio", "Benjamin", "Camille", "Carlos", "Carmen", "Catherine", "Charles",
+    "Christian", "Christine", "Claire", "Daniel", "David", "Diego", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Felix", "Fernando",
+    "Francisco", "François", "Friedrich", "Hans", "Heinrich", "Hélène", "Isabel", "Jack", "James", "Jane", "Javier", "Jean", "Jennifer",
+    "Johann", "John", "Jorge", "José", "Juan", "Julia", "Karl", "Katharina", "Laura", "Lucas", "Lucía", "Luis", "Manuel", "Maria",
+    "María", "Marie", "Mark", "Martin", "Mary", "Matthias", "Michael", "Miguel", "Nicolas", "Olivia", "Pablo", "Patricia", "Paul",
+    "Pedro", "Peter", "Philippe", "Pierre", "Robert", "Sarah", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "William", "Wolfgang",
+)
+_GIVEN = re.compile(r"\b(?:" + "|".join(GIVEN) + r") [^\W\d_a-z][^\W\d_]+")
+_MIXED = re.compile(r"[0-9][^0-9]|[^0-9][0-9]|[a-z][A-Z]")
+_FIRST_WORD = re.compile(r"[^\W\d_]+")
+GIVEN_SET = frozenset(GIVEN)
 BEFORE = 24
 VOTES = ("pattern", "gazetteer", "left", "right", "shape")
 
@@ -140,21 +172,34 @@ def candidates(text: str, base: list[tuple[int, int, int]], failed: list[tuple[i
             found.append((5, *m.span(1), strict))
     for m in _ADDRESSED.finditer(text):
         found.append((4, *m.span(1), m[1].istitle()))
+    for m in _GIVEN.finditer(text):
+        found.append((4, *m.span(), True))
     if not found:
         return []
-    taken = sorted((a, b) for _, a, b in base)
+    # base spans as maximal runs, so that one look-up tells whether a candidate touches any
+    edges: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if edges and a < edges[-1]:
+            edges[-1] = max(edges[-1], b)
+        else:
+            edges += [a, b]
     out = []
     last_end = {}
     for kind, a, b, strict in sorted(found):
-        if any(x < b and a < y for x, y in taken) or a < last_end.get(kind, 0):
+        k = bisect_left(edges, a + 1)
+        if k % 2 or (k < len(edges) and edges[k] < b) or a < last_end.get(kind, 0):
             continue
         last_end[kind] = b
         before = text[max(0, a - BEFORE) : a].lower()
         token = text[a:b]
-        shape = _entropy(token) > 3 if kind == 5 else 4 <= b - a <= 40
+        listed = any(w in before for w in GAZETTEER[KINDS[kind]])
+        if kind == 4:
+            listed |= _FIRST_WORD.match(token)[0] in GIVEN_SET
+        # a secret is no word: it mixes digits or capitals into its letters
+        shape = _entropy(token) > 3 and _MIXED.search(token) is not None if kind == 5 else 4 <= b - a <= 40
         votes = (
             strict
-            | any(w in before for w in GAZETTEER[KINDS[kind]]) << 1
+            | listed << 1
             | (a == 0 or not text[a - 1].isalnum()) << 2
             | (b == len(text) or not text[b].isalnum()) << 3
             | shape << 4
@@ -163,6 +208,29 @@ def candidates(text: str, base: list[tuple[int, int, int]], failed: list[tuple[i
     return out
 
 
+FEATURE_BITS = 14
+_RUN = re.compile(r"(A|a|9)\1+")
+
+
+def _shape(token: str) -> str:
+    """Capitals, small letters and digits as A, a and 9, and runs of one of them as one."""
+    return _RUN.sub(r"\1", "".join(["9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token]))
+
+
+def span_features(text: str, kind: int, a: int, b: int, votes: int) -> list[int]:
+    """Buckets of what the span classifier sees: kind and votes (buckets of their own), span and context (hashed)."""
+    out = [kind] + [8 + 2 * (kind * len(VOTES) + j) + (votes >> j & 1) for j in range(len(VOTES))]
+    token = text[a : min(b, a + 80)]
+    before = text[max(0, a - BEFORE) : a].lower().split()[-2:]
+    size = min(b - a, 80).bit_length()
+    said = [f"shape {_shape(token)}", f"first {token[:2]}", f"last {token[-2:]}", f"size {size}", f"after {text[b : b + 1]}"]
+    said += [f"before {w}" for w in before]
+    room = (1 << FEATURE_BITS) - 128
+    return out + [128 + zlib.crc32(f"{kind} {s}".encode()) % room for s in said]
+
+
+#: Candidates of each kind and vote pattern that the span classifier is trained on, at most.
+PER_CELL = 200
 #: Weight and vote rates of the anchors: pseudo-candidates of either class.
 ANCHOR = 20.0
 _YES = np.array([0.9, 0.9, 0.9, 0.9, 0.9])
@@ -171,19 +239,19 @@ _NO = np.array([0.1, 0.1, 0.8, 0.8, 0.8])
 
 @dataclass
 class SpanModel:
-    """Probability of each (kind, votes) cell, and each labeler's rates of yes on true and on false spans."""
+    """Weights of the span classifier's features, and each labeler's rates of yes on true and on false spans."""
 
-    accept: np.ndarray
+    weight: np.ndarray
     reliability: dict[str, tuple[float, float]]
 
+    def probability(self, features: list[int]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weight[features].sum(), -30, 30))))
+
 
-def fit(cells: list[tuple[int, int, int]], rounds: int = 50) -> SpanModel:
-    """``cells``: (kind, votes, count) over the whole corpus."""
+def reliabilities(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
+    """By expectation-maximisation over counts by kind and votes: each cell's probability, each labeler's rates."""
     patterns = np.arange(1 << len(VOTES))
     bits = (patterns[:, None] >> np.arange(len(VOTES)) & 1).astype(float)
-    counts = np.zeros((len(KINDS), len(patterns)))
-    for kind, votes, n in cells:
-        counts[kind, votes] += n
     share = np.tile(bits.mean(axis=1), (len(KINDS), 1))
     for _ in range(rounds):
         yes, no = counts * share, counts * (1 - share)
@@ -194,53 +262,73 @@ def fit(cells: list[tuple[int, int, int]], rounds: int = 50) -> SpanModel:
         up = np.log(prior) + (bits @ np.log(hit) + (1 - bits) @ np.log(1 - hit))
         down = np.log(1 - prior) + (bits @ np.log(false) + (1 - bits) @ np.log(1 - false))
         share = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
-    target = share
-    reliability = {v: (float(hit[j]), float(false[j])) for j, v in enumerate(VOTES)}
-    # logistic regression over kind, votes, kind x vote
-    kinds = np.eye(len(KINDS)).repeat(len(patterns), axis=0)
-    votes = np.tile(bits, (len(KINDS), 1))
-    pairs = (kinds[:, :, None] * votes[:, None, :]).reshape(len(kinds), -1)
-    x = np.hstack([kinds, votes, pairs])
+    return share, {v: (float(hit[j]), float(false[j])) for j, v in enumerate(VOTES)}
+
+
+def fit(cells: list[tuple[int, int, int]], examples: list[tuple[int, int, list[int]]], epochs: int = 30, seed: int = 3) -> SpanModel:
+    """``cells``: (kind, votes, count) over the whole corpus; ``examples``: (kind, votes, features) of some candidates."""
+    counts = np.zeros((len(KINDS), 1 << len(VOTES)))
+    for kind, votes, n in cells:
+        counts[kind, votes] += n
+    share, reliability = reliabilities(counts)
+    shown = np.zeros(counts.shape)
+    for kind, votes, _ in examples:
+        shown[kind, votes] += 1
+    rows = [(f, share[k, v], np.log1p(counts[k, v]) / shown[k, v]) for k, v, f in examples]
     # cells that the corpus lacks keep some weight, so that the classifier stays close to the labelers there
-    y, weight = target.ravel(), np.log1p(counts.ravel()) + 0.5
-    w = np.zeros(x.shape[1])
-    total = max(weight.sum(), 1e-9)
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (weight * (p - y)) / total + 1e-4 * w)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return SpanModel(p.reshape(counts.shape), reliability)
+    rows += [(span_features("", k, 0, 0, v)[: 1 + len(VOTES)], share[k, v], 0.5) for k, v in np.ndindex(*counts.shape)]
+    size = 1 << FEATURE_BITS
+    x = np.full((len(rows), max(len(f) for f, _, _ in rows)), size)  # the last weight is that of absent features
+    for line, (f, _, _) in zip(x, rows, strict=True):
+        line[: len(f)] = f
+    y, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    w, squares = np.zeros(size + 1), np.full(size + 1, 1e-6)
+    rng = np.random.RandomState(seed)
+    for _ in range(epochs):
+        for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+            p = 1 / (1 + np.exp(-np.clip(w[x[some]].sum(axis=1), -30, 30)))
+            error = np.repeat(weight[some] * (p - y[some]), x.shape[1])
+            gradient = np.bincount(x[some].ravel(), error, size + 1) + 1e-4 * w
+            gradient[size] = 0
+            squares += gradient**2
+            w -= 0.3 * gradient / np.sqrt(squares)
+    return SpanModel(w[:size].astype(np.float32), reliability)
+
+
+_CANDIDATE = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
 
 
 def scan_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of candidates by kind and votes over all documents."""
+    """(kind, votes, features) of the candidates of all documents."""
     width = 1 << len(VOTES)
 
     def step(part: Slice) -> list:
         out = []
         for i in range(len(part)):
             text = part.text(i)
-            base, failed = base_and_failed(text)
-            out.append([kind * width + votes for kind, _, _, votes in candidates(text, base, failed)])
+            found = candidates(text, *base_and_failed(text))
+            out.append([{"cell": c[0] * width + c[3], "features": span_features(text, *c)} for c in found])
         return [out]
 
-    cells = append_columns(docs.select(text_col), text_col, [T.StructField("cell", T.ArrayType(T.IntegerType()))], lambda: step)
-    return (
-        cells.select(F.explode("cell").alias("cell"))
-        .groupBy("cell")
-        .count()
-        .select((F.col("cell") / width).cast("int").alias("kind"), (F.col("cell") % width).alias("votes"), "count")
+    cells = append_columns(docs.select(text_col), text_col, [T.StructField("found", T.ArrayType(_CANDIDATE))], lambda: step)
+    return cells.select(F.explode("found").alias("c")).select(
+        (F.col("c.cell") / width).cast("int").alias("kind"), (F.col("c.cell") % width).alias("votes"), F.col("c.features").alias("features")
     )
 
 
-def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    return fit([tuple(r) for r in scan_candidates(docs, text_col).collect()])  # kinds x vote patterns at most
+def train(docs: DataFrame, text_col: str = "text", per_cell: int = PER_CELL) -> SpanModel:
+    found = checkpoint(scan_candidates(docs, text_col))
+    cells = found.groupBy("kind", "votes").count().collect()  # kinds x vote patterns at most
+    order = Window.partitionBy("kind", "votes").orderBy(F.xxhash64("features"), "features")
+    some = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_cell)
+    examples = some.select("kind", "votes", "features").collect()  # per_cell for each of those at most
+    return fit([tuple(r) for r in cells], sorted(tuple(r) for r in examples))
 
 
-def find_spans(text: str, accept: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find_spans(text: str, model: SpanModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, by kind and start."""
     base, failed = base_and_failed(text)
-    added = [(k, a, b) for k, a, b, votes in candidates(text, base, failed) if accept[k, votes] >= ACCEPT]
+    added = [c[:3] for c in candidates(text, base, failed) if model.probability(span_features(text, *c)) >= ACCEPT]
     return base, sorted(base + added)
 
 
@@ -259,22 +347,26 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
+#: What ``personal_data`` appends.
+COLUMNS = (*[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans")
+
+
 def personal_data(docs: DataFrame, model: SpanModel, text_col: str = "text", redacted_col: str | None = None) -> DataFrame:
     """Append counts, ``base_sha256`` and ``spans``; with ``redacted_col`` also the text with its spans replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.accept)  # kinds x vote patterns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**FEATURE_BITS floats
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]]
     fields += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     if redacted_col:
         fields.append(T.StructField(redacted_col, T.StringType()))
 
     def make():
-        accept = shared.value
+        spans_of = shared.value
 
         def step(part: Slice) -> list:
             out: list[list] = [[] for _ in fields]
             for i in range(len(part)):
                 text = part.text(i)
-                base, spans = find_spans(text, accept)
+                base, spans = find_spans(text, spans_of)
                 row = [sum(k == kind for k, _, _ in base) for kind in range(4)]
                 row += [hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)]
                 if redacted_col:
