@@ -6,17 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-ENGLISH_STOP_WORDS = (
-    "a all an and are as at be both but by can each every few for from had has have he how in is it its just more most no "
-    "nor not now of on only other own same should so some such than that the they this to too very was what when where "
-    "which who why will with"
-).split()
-ARABIC_STOP_WORDS = (
-    "أقل أكثر أم أن أنا أنت أنتم أنتن أو أي أيضا أين إلا إلى إليه إليها إليهم إن التي الذي الذين اللاتي اللتان اللذان "
-    "اللواتي ب بدون بعد بعض به بها بهم بين تحت ثم جدا حول حيث خلال ذات ذلك سوى ضد ضمن عبر على عليه عليها عن عند غير ف "
-    "فوق في فيه فيها فيهم قبل قد قليل ك كان كثير كذلك كل كيف ل لا لدى لكن لماذا له لها لهم لهن ليس ما متى مثل مع من منه "
-    "منها منهم نحن نحو نعم نفس هذا هذه هم هن هنا هناك هو هي و ولكن"
-).split()
+ENGLISH_STOP_WORDS = [
+    "a", "all", "an", "and", "are", "as", "at", "be", "both", "but", "by", "can", "each", "every", "few", "for", "from", "had",
+    "has", "have", "he", "how", "in", "is", "it", "its", "just", "more", "most", "no", "nor", "not", "now", "of", "on", "only",
+    "other", "own", "same", "should", "so", "some", "such", "than", "that", "the", "they", "this", "to", "too", "very", "was",
+    "what", "when", "where", "which", "who", "why", "will", "with",
+]
+ARABIC_STOP_WORDS = [
+    "أقل", "أكثر", "أم", "أن", "أنا", "أنت", "أنتم", "أنتن", "أو", "أي", "أيضا", "أين", "إلا", "إلى", "إليه", "إليها", "إليهم",
+    "إن", "التي", "الذي", "الذين", "اللاتي", "اللتان", "اللذان", "اللواتي", "ب", "بدون", "بعد", "بعض", "به", "بها", "بهم", "بين",
+    "تحت", "ثم", "جدا", "حول", "حيث", "خلال", "ذات", "ذلك", "سوى", "ضد", "ضمن", "عبر", "على", "عليه", "عليها", "عن", "عند", "غير",
+    "ف", "فوق", "في", "فيه", "فيها", "فيهم", "قبل", "قد", "قليل", "ك", "كان", "كثير", "كذلك", "كل", "كيف", "ل", "لا", "لدى",
+    "لكن", "لماذا", "له", "لها", "لهم", "لهن", "ليس", "ما", "متى", "مثل", "مع", "من", "منه", "منها", "منهم", "نحن", "نحو", "نعم",
+    "نفس", "هذا", "هذه", "هم", "هن", "هنا", "هناك", "هو", "هي", "و", "ولكن",
+]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARABIC = "؀-ۿ"
 NOISE_HEADERS = ("no.", "no", "row", "#", "index", "id")
@@ -30,6 +33,17 @@ TOPICAL_PATTERNS = (r"عن\b", r"حول\b", r"يتحدث", r"about\b", r"regardi
 SUMMARIZE_PATTERNS = (
     r"لخص", r"تلخيص", r"ملخص", r"summari[sz]e", r"summary", r"ما\s+(?:هو|هي)\s+ملف", r"what\s+is\s+(?:the\s+)?file",
 )
+#: Patterns and what takes their place, in this order.
+CLEANING = (
+    (r"(?iU)\bPage\s*\d+\b", " "),
+    (r"[~_*={}\[\]\-]{3,}", " "),
+    (f"[^\\x09\\x0A\\x0D\\x20-\\x7E{ARABIC}]", " "),
+    (r"\s{3,}", " "),
+    (r"\n{2,}", "\n"),
+    (r"^\s+|\s+$", ""),
+)
+SENTENCE_SPLIT = r"[.؟!؛۔]+|\n{2,}"
+MEANINGFUL_RATIO, MEANINGFUL_LENGTH = 0.3, 10
 
 
 def words(text: Column) -> Column:
@@ -87,21 +101,13 @@ def tokenize(text: Column, drop_stop: bool = True, normalize: bool = True) -> Co
 
 def sentences(text: Column) -> Column:
     """Parts between sentence marks or blank lines."""
-    parts = F.transform(F.split(text, r"[.؟!؛۔]+|\n\s*\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, SENTENCE_SPLIT), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
 def clean_text(text: Column) -> Column:
     """Page numbers, runs of rules and letters outside ASCII and Arabic become blanks; blank runs are squeezed."""
-    steps = (
-        (r"(?i)\bPage\s*\d+\b", " "),
-        (r"[~_*={}\[\]\-]{3,}", " "),
-        (f"[^\\x09\\x0A\\x0D\\x20-\\x7E{ARABIC}]", " "),
-        (r"\s{3,}", " "),
-        (r"\n{2,}", "\n"),
-        (r"^\s+|\s+$", ""),
-    )
-    for pattern, new in steps:
+    for pattern, new in CLEANING:
         text = F.regexp_replace(text, pattern, new)
     return text
 
@@ -129,15 +135,19 @@ def max_words(token_limit: int) -> int:
     return max(int(token_limit / 1.3 * 0.9), 32)
 
 
-def is_rtl(text: Column) -> Column:
-    """More than half of the letters are Arabic."""
+def is_rtl(text: Column, lang: Column | None = None) -> Column:
+    """Right to left for ``ar``, not for ``en``; for any other language if more than half of the letters are Arabic."""
     letters = F.regexp_replace(text, r"\P{L}+", "")
-    return 2 * F.length(F.regexp_replace(letters, f"[^{ARABIC}]+", "")) > F.length(letters)
+    most = 2 * F.length(F.regexp_replace(letters, f"[^{ARABIC}]+", "")) > F.length(letters)
+    return most if lang is None else F.when(lang == "ar", True).when(lang == "en", False).otherwise(most)
 
 
-def is_meaningful(text: Column) -> Column:
-    """At least 10 characters, three tenths of them letters or digits."""
-    return (F.length(text) >= 10) & (F.regexp_count(text, F.lit(r"(?U)[\p{L}\p{N}]")) / F.length(text) >= 0.3)
+def is_meaningful(text: Column, least: float = MEANINGFUL_RATIO) -> Column:
+    """At least 10 characters, and of those that are no blank three tenths letters, digits or Arabic signs."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    solid = F.length(F.translate(clean, " \n", ""))
+    good = F.length(F.regexp_replace(clean, f"[^\\p{{L}}\\p{{N}}{ARABIC}]+", ""))
+    return (F.length(clean) >= MEANINGFUL_LENGTH) & (solid > 0) & (good / solid >= least)
 
 
 def jaccard(a: Column, b: Column) -> Column:

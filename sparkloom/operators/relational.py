@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,13 +18,75 @@ def scoped(df: DataFrame, workspace, column: str = "workspace_id") -> DataFrame:
     return df.where(F.lit(False)) if workspace is None else df.where(F.col(column) == workspace)
 
 
+#: Values up to which a list is a predicate; a longer one is joined.
+LISTED = 1000
+
+
+def any_of(df: DataFrame, column: str, values) -> DataFrame:
+    """Rows whose column is one of the values: a pushed-down predicate for short lists, a semi join for long ones."""
+    values = list(values)
+    if not values:
+        return df.where(F.lit(False))
+    if len(values) <= LISTED:
+        return df.where(F.col(column).isin(*values))
+    wanted = df.sparkSession.createDataFrame([(v,) for v in values], df.select(column).schema)
+    return df.join(wanted.distinct(), column, "left_semi")
+
+
+def get(df: DataFrame, workspace, key, column: str = "id", tenant: str = "workspace_id") -> DataFrame:
+    """The row of a key in a tenant, or none."""
+    return scoped(df, workspace, tenant).where(F.col(column) == key)
+
+
+def within(df: DataFrame, column: str, inner: DataFrame) -> DataFrame:
+    """Rows whose column is among the first column of another frame."""
+    return df.join(inner.select(F.col(inner.columns[0]).alias(column)), column, "left_semi")
+
+
+def permitted(assignments: DataFrame, grants: DataFrame, permission: str) -> DataFrame:
+    """(workspace_id, user_id) of users any of whose roles grants a permission; ``grants`` is (role, permission)."""
+    roles = grants.where(F.col("permission") == permission).select("role").distinct()
+    return assignments.join(F.broadcast(roles), "role", "left_semi").select("workspace_id", "user_id").distinct()
+
+
+def complete_pairs(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is null or empty."""
+    return df.where(reduce(lambda a, b: a & b, [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in columns]))
+
+
+def same_tenant(left: DataFrame, right: DataFrame, on: str, tenant: str = "workspace_id") -> DataFrame:
+    """Inner join on a key and the tenant, so that no row of another tenant ever meets."""
+    return left.join(right, [tenant, on])
+
+
+def overlapping(blocks: DataFrame, areas: DataFrame, page: str, least: float = 0.5) -> DataFrame:
+    """Append ``covered`` to blocks (page, x0, y0, x1, y1): whether at least a share of a block's own area lies in one area of its page.
+
+    A page has few areas, so they go to its blocks as one array.
+    """
+    rects = areas.groupBy(page).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("__areas"))
+    own = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+
+    def enough(a: Column) -> Column:
+        wide = F.least(F.col("x1"), a["x1"]) - F.greatest(F.col("x0"), a["x0"])
+        high = F.least(F.col("y1"), a["y1"]) - F.greatest(F.col("y0"), a["y0"])
+        return (wide > 0) & (high > 0) & (wide * high >= least * own)
+
+    covered = F.coalesce((own > 0) & F.exists("__areas", enough), F.lit(False))
+    return blocks.join(rects, page, "left").withColumn("covered", covered).drop("__areas")
+
+
+def offset_page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
 def narrowed(df: DataFrame, **wanted) -> DataFrame:
     """A predicate for each argument given: None adds none, a list means any of it, an empty list nothing."""
     for column, value in wanted.items():
         if value is None:
             continue
         if isinstance(value, (list, tuple, set)):
-            df = df.where(F.col(column).isin(*value)) if value else df.where(F.lit(False))
+            df = any_of(df, column, value)
         else:
             df = df.where(F.col(column) == value)
     return df
@@ -57,7 +120,9 @@ def soft_deleted(df: DataFrame, deleted: bool = False, column: str = "deleted_at
 
 
 def remapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """{new: old} projection; an empty mapping passes everything."""
+    """{new: old} projection; an empty mapping passes everything, a column that is missing is an error."""
+    if absent := [old for old in columns.values() if old not in df.columns]:
+        raise ValueError(f"no such column: {', '.join(absent)}")
     return df.select(*[F.col(old).alias(new) for new, old in columns.items()]) if columns else df
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ANY = "*"
+#: Metric, period and limit of a workspace that sets none.
+DEFAULT_LIMITS = [("tokens", "month", 5_000_000), ("cost_micros", "month", 50_000_000)]
 #: Order in which violated limits bind.
 METRICS, SCOPES = ("tokens", "cost_micros"), ("workspace", "agent", "provider")
 
@@ -24,6 +26,12 @@ def period_reset(start: Column, period: Column) -> Column:
     return F.when(period == "month", F.add_months(start, 1)).otherwise(F.date_add(start, 1))
 
 
+def reset_at(period: str, at: Column) -> Column:
+    """When the bucket that a time falls in ends, as a time."""
+    start = period_start(at, F.lit(period))
+    return period_reset(start, F.lit(period)).cast("timestamp")
+
+
 def rollups(ledger: DataFrame) -> DataFrame:
     """Tokens and cost by workspace, period, start, agent and provider; '*' stands for all.
 

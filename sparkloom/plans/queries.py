@@ -9,32 +9,17 @@ tokens floor(value), operation event_id) or a stream of envelopes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import streaming
 from sparkloom.functions import text as tx
 from sparkloom.operators import chunking, mutation, relational, retrieval, tables, usage
+from sparkloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from sparkloom.sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 SPAN, OVERLAP = 354, 35
 
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # ---------------------------------------------------------------- documents
 
 _STOP = ", ".join(f"'{w}'" for w in tx.ENGLISH_STOP_WORDS)
@@ -70,7 +55,7 @@ def e3_chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_TOKENS})) AS BIGINT) AS n_distinct,
     CAST(greatest(1, len(text) // 4) AS BIGINT) AS estimated_tokens,
     CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 'english' ELSE 'unknown' END AS language,
-    CAST(len(list_filter(list_transform(string_split_regex(text, '[.؟!؛۔]+|\\n\\s*\\n'),
+    CAST(len(list_filter(list_transform(string_split_regex(text, '[.؟!؛۔]+|\\n{{2,}}'),
         lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')) AS BIGINT) AS n_sentences
 FROM documents
 """)
@@ -459,3 +444,7 @@ def j13_dead_letter_report(spark: SparkSession, folder: str) -> DataFrame:
 def j20_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = streaming.windowed_counts(table(spark, folder, "events"), "ts", ["event_type"], "1 hour")
     return counts.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# the other modules register theirs in the same place
+from sparkloom.plans import change_queries, relational_queries, text_queries  # noqa: E402, F401

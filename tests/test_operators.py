@@ -167,9 +167,10 @@ def test_mutations(spark):
     new = spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
     got = mutation.replace_upsert(current, new, ["id"]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "b", 2), (2, "c", 1)]
-    updates = spark.createDataFrame([(1, "x", 1), (2, "y", 9)], "id int, v string, version int")
-    state, conflicts = mutation.optimistic_update(current, updates, "id")
-    assert [tuple(r) for r in state.collect()] == [(1, "x", 2)] and [r["id"] for r in conflicts.collect()] == [2]
+    updates = spark.createDataFrame([(1, "x", 1), (1, "z", 1), (2, "y", 9)], "id int, v string, version int")
+    state, conflicts = mutation.optimistic_update(current, updates, "id", ["v"])
+    assert [tuple(r) for r in state.collect()] == [(1, "x", 2)]
+    assert sorted((r["id"], r["v"]) for r in conflicts.collect()) == [(1, "z"), (2, "y")]
     inserted = mutation.insert_ignore(current, updates, ["id"], ["version"]).orderBy("id").collect()
     assert [r["v"] for r in inserted] == ["a", "y"]
 
@@ -179,10 +180,15 @@ def test_idempotency_and_jobs(spark):
     store = spark.createDataFrame([("b", "h", "r"), ("c", "h", None), ("d", "h", "r")], "key string, request_hash string, response string")
     got = {r["key"]: r["outcome"] for r in mutation.idempotency_outcomes(requests, store, ["key"]).collect()}
     assert got == {"a": "claimed", "b": "replay", "c": "in_progress", "d": "mismatch"}
-    jobs = spark.createDataFrame([(1, "pending"), (2, "succeeded")], "id int, status string")
-    moves = spark.createDataFrame([(1, "start"), (2, "cancel")], "id int, move string")
-    got = {r["id"]: (r["status"], r["error"]) for r in mutation.move_jobs(jobs, moves).collect()}
-    assert got == {1: ("running", None), 2: ("succeeded", "illegal cancel")}
+    jobs = [(1, "queued"), (2, "succeeded"), (3, "running"), (4, "queued"), (5, "queued")]
+    jobs = spark.createDataFrame([(i, st, 0, 0) for i, st in jobs], "id int, status string, total_chunks long, done_chunks long")
+    moves = [(1, 0, "advance", 1), (1, 1, "start", 8), (1, 2, "start", 6), (1, 3, "advance", 9), (2, 0, "cancel", 0), (2, 1, "fail", 0),
+             (3, 0, "succeed", 0), (4, 0, "start", 4), (4, 1, "advance", 3), (4, 2, "cancel", 0), (4, 3, "advance", 4)]
+    moved = mutation.move_jobs(jobs, spark.createDataFrame(moves, "id int, pos long, move string, n long"))
+    got = {r["id"]: (r["status"], r["total_chunks"], r["done_chunks"], r["refused"]) for r in moved.collect()}
+    assert got == {1: ("running", 6, 6, 1), 2: ("succeeded", 0, 0, 1), 3: ("succeeded", 0, 0, 0), 4: ("cancelled", 4, 3, 1), 5: ("queued", 0, 0, 0)}
+    shown = moved.select("id", mutation.percent(F.col("status"), F.col("done_chunks"), F.col("total_chunks")).alias("p")).collect()
+    assert {r["id"]: r["p"] for r in shown} == {1: 99, 2: 100, 3: 100, 4: 75, 5: 0}
 
 
 def test_dispatch(spark):
