@@ -82,6 +82,11 @@ def english_tokens(text: Column, drop_stop: bool = True) -> Column:
     return _useful(words(F.translate(F.lower(text), PUNCTUATION, "")), ENGLISH_STOP_WORDS, drop_stop)
 
 
+def english_words(text: Column) -> Column:
+    """What ``english_tokens`` makes tokens of, stop words and single letters included: enough where only given tokens are looked for."""
+    return F.split(F.translate(F.lower(text), PUNCTUATION, ""), r"(?U)\s+")
+
+
 def arabic_tokens(text: Column, drop_stop: bool = True, normalize: bool = True) -> Column:
     lowered = F.lower(normalize_arabic(text) if normalize else text)
     return _useful(F.regexp_extract_all(lowered, F.lit(f"(?U)[{ARABIC}\\w]+"), 0), ARABIC_STOP_WORDS, drop_stop)
@@ -164,7 +169,7 @@ def row_sentence(cells: Column) -> Column:
 
 
 def header_line(headers: Column) -> Column:
-    kept = F.filter(F.transform(headers, F.trim), lambda h: (h != "") & ~F.lower(h).isin(*NOISE_HEADERS))
+    kept = F.filter(F.transform(headers, lambda h: F.trim(h)), lambda h: (h != "") & ~F.lower(h).isin(*NOISE_HEADERS))
     return F.array_join(kept, "; ")
 
 

@@ -87,6 +87,12 @@ def semantic_parts(sentences: DataFrame, segment: str = "segment_id", order: str
     return rows.withColumn("part", F.coalesce(before, F.lit(0))).drop("__near", "__smooth", "__limit")
 
 
+def joined_parts(rows: DataFrame, by: str, order: str, part: str = "part", text: str = "text", separator: str = " ") -> DataFrame:
+    """(by, part, text, n): the texts of each part in order, joined."""
+    joined = F.expr(f"listagg(`{text}`, '{separator}') WITHIN GROUP (ORDER BY `{order}`)")
+    return rows.groupBy(by, part).agg(joined.alias(text), F.count("*").alias("n"))
+
+
 def collapse_runs(rows: DataFrame, by: str, order: str, parent: str = "parent_id", complete: str = "parent_is_complete") -> DataFrame:
     """Of consecutive rows with the same complete parent the first stays; other rows stay as they are."""
     key = F.when(F.col(complete), F.col(parent))

@@ -1,13 +1,13 @@
 """Batched retrieval: dense and sparse search, rank fusion, relevance floors, near-duplicate removal.
 
 All take many queries at once.  A dense search scores each query against all
-points, which is what exact search means; queries are the side that is
-broadcast, and only while they are few (``BROADCAST_QUERIES``).
+points, which is what exact search means; queries are the side that is sent to
+all tasks, in blocks of a checked size (``BROADCAST_QUERIES``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import jaccard
@@ -23,16 +23,22 @@ def search_depth(k: int) -> int:
     return min(3 * max(1, min(k, 50)), 100)
 
 
-def dense_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def dense_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k closest of points (chunk_id, vector) to queries (query_id, query).
 
-    Each block of queries meets every point once; a point keeps a place among the
-    k best of its partition before anything is shuffled.
+    ``where`` narrows the points before any is scored.  Queries are met in blocks
+    of at most about ``BROADCAST_QUERIES``, each sent to all tasks: every point is
+    read once a block and keeps a place among the k best of its task before
+    anything is shuffled.
     """
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    scored = points.join(F.broadcast(queries) if few else queries.hint("shuffle_replicate_nl"))
-    scored = scored.select("query_id", "chunk_id", similarity(F.col("query"), F.col("vector"), metric).alias("score"))
-    return ranked(scored, k)
+    points = (points if where is None else points.where(where)).select("chunk_id", "vector")
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    found = None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        scored = points.join(F.broadcast(some)).select("query_id", "chunk_id", similarity(F.col("query"), F.col("vector"), metric).alias("score"))
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -46,18 +52,42 @@ def term_frequencies(tokens: DataFrame, key: str = "chunk_id") -> DataFrame:
     return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def inverse_frequencies(terms: DataFrame, documents: int) -> DataFrame:
-    """(term, idf): ln((N - df + 0.5) / (df + 0.5) + 1)."""
-    df = F.count("*").cast("double")
-    n = F.lit(float(documents))
-    return terms.groupBy("term").agg(F.log((n - df + 0.5) / (df + 0.5) + 1).alias("idf"))
+def inverse_frequency(containing: Column, chunks: int) -> Column:
+    """ln((N - df + 0.5) / (df + 0.5) + 1)."""
+    df, n = containing.cast("double"), F.lit(float(chunks))
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def sparse_search(terms: DataFrame, idf: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each query by the sum of tf * tf * idf over shared terms."""
-    wanted = queries.join(idf, "term").select("query_id", "term", F.col("tf").alias("q_tf"), "idf")
-    scores = terms.join(wanted, "term").groupBy("query_id", "chunk_id")
-    return ranked(scores.agg(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")).alias("score")), k)
+def term_statistics(tokens: DataFrame, chunks: int) -> DataFrame:
+    """(term, total, documents, idf) of a column ``tokens``, in one pass: each chunk gives its tokens and its distinct ones, which are summed before they are shuffled."""
+    once = lambda column, n, df: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(df).alias("df")))
+    both = F.concat(once("tokens", 1, 0), once(F.array_distinct("tokens"), 0, 1))
+    sums = tokens.select(F.inline(both)).groupBy("term").agg(F.sum("n").alias("total"), F.sum("df").alias("documents"))
+    return sums.withColumn("idf", inverse_frequency(F.col("documents"), chunks))
+
+
+#: Distinct terms that are sent to all tasks at most; more are met by a shuffle.
+BROADCAST_TERMS = 500_000
+
+
+def sparse_search(chunks: DataFrame, queries: DataFrame, k: int, total: int, decimals: int = 6) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks by the sum of tf * tf * idf over shared terms.
+
+    ``chunks`` is (chunk_id, tokens), ``queries`` (query_id, tokens); ``total`` is
+    the number of chunks.  Only terms that are asked for are counted, so what the
+    chunks hold besides never leaves its task.  Scores are rounded before they are
+    ranked, so that sums in another order rank alike.
+    """
+    asked = term_frequencies(queries, "query_id")
+    terms = asked.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = chunks.select("chunk_id", F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    tf = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("term").agg(inverse_frequency(F.count("*"), total).alias("idf"))
+    wanted = asked.join(idf, "term").select("query_id", "term", F.col("tf").alias("q_tf"), "idf")
+    shared = tf.join(F.broadcast(wanted) if few else wanted, "term")
+    score = F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), decimals).alias("score")
+    return ranked(shared.groupBy("query_id", "chunk_id").agg(score), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT, rrf_k: int = RRF_K) -> DataFrame:
@@ -101,3 +131,72 @@ def context(chunks: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), F.col("text"))
     lines = F.sort_array(F.collect_list(F.struct("pos", line.alias("line"))))
     return chunks.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
+
+
+def hybrid_retrieve(
+    points: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    where: Column | None = None,
+    least: float = 0.0,
+    share: float = 0.0,
+    near_duplicate: float = NEAR_DUPLICATE,
+    metric: str = "cosine",
+) -> DataFrame:
+    """(query_id, chunk_id, score, pos, text): dense and sparse candidates fused, floored, freed of near-duplicates and cut to k.
+
+    ``points`` is (chunk_id, vector, tokens, text and payload), ``queries``
+    (query_id, query, tokens).  The filter narrows both legs; k is clamped to
+    1..50 and three times as many candidates are looked at.  A scope that is
+    empty (``where`` false) gives nothing, which is not the same as no scope.
+    """
+    k = max(1, min(k, 50))
+    depth = search_depth(k)
+    kept = points if where is None else points.where(where)
+    dense = dense_search(kept, queries.select("query_id", "query"), depth, metric)
+    sparse = sparse_search(kept.select("chunk_id", "tokens"), queries.select("query_id", "tokens"), depth, kept.count())
+    fused = fuse(dense, sparse, depth).select("query_id", "chunk_id", "score", "pos")
+    # at most 100 candidates a query fetch their texts
+    found = kept.select("chunk_id", "tokens", "text").join(fused, "chunk_id")
+    relevant = drop_near_duplicates(floors(found, least, share), near_duplicate)
+    order = Window.partitionBy("query_id").orderBy("pos")
+    return relevant.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k).select("query_id", "chunk_id", "score", "pos", "text")
+
+
+def hydrated(found: DataFrame, items: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """What a search found with the items' own columns; hits whose item is gone or deleted drop out, so fewer than k may remain."""
+    return found.join(items.where("deleted_at IS NULL").drop("deleted_at"), key)
+
+
+def recall(points: DataFrame, queries: DataFrame, items: DataFrame, k: int, agent: str = "agent_key") -> DataFrame:
+    """Each query's k nearest memories of its own agent, with their items; k is 1 to 50."""
+    if not 1 <= k <= 50:
+        raise ValueError("k must be between 1 and 50")
+    asked = queries.select("query_id", "query", F.col(agent).alias("__agent"))
+    scored = points.join(F.broadcast(asked), F.col(agent) == F.col("__agent"))
+    scored = scored.select("query_id", "chunk_id", similarity(F.col("query"), F.col("vector"), "cosine").alias("score"))
+    return hydrated(ranked(scored, k), items)
+
+
+def referenced_parents(parents: DataFrame, chunks: DataFrame, document: str = "doc_id") -> DataFrame:
+    """Parents (document, parent_key, ord, text) that chunks still refer to, numbered from 0 in their order within the document."""
+    used = chunks.where("parent_key IS NOT NULL").select(document, "parent_key").distinct()
+    seq = F.row_number().over(Window.partitionBy(document).orderBy("ord")) - 1
+    return parents.join(used, [document, "parent_key"], "left_semi").withColumn("seq", seq)
+
+
+def upsert_points(points: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """New points replace those of their ids; of several new ones of an id the last in order of ``version`` counts."""
+    newest = Window.partitionBy(key).orderBy(F.desc("version"))
+    one = new.withColumn("__n", F.row_number().over(newest)).where("__n = 1").select(*points.columns)
+    return points.join(one.select(key), key, "left_anti").unionByName(one)
+
+
+def delete_points(points: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Points without those of the ids; an id that isn't there is no error."""
+    return points.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Lay points out by tenant and space, so that a filter on either reads its own folders only."""
+    points.repartition("workspace_id", "space").write.partitionBy("workspace_id", "space").mode("overwrite").parquet(path)

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.chunking import greedy_batches
+from sparkloom.operators.chunking import even_sample, greedy_batches
 
-WINDOW, FOLDS = 240, 3
+# Chunks read, folds, chunks of an overview and the mark of a gap.
+WINDOW, FOLDS, OVERVIEW, GAP = 240, 3, 8, "[…]"
 Summarizer = Callable[[str], str]
 
 
@@ -40,20 +41,67 @@ def _folded(notes: DataFrame, key: str, summarize: Summarizer) -> DataFrame:
     return joined.select(key, F.col("batch").alias("pos"), _said(summarize, "text").alias("note"))
 
 
+def _window(chunks: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(key, pos, note) of a document's first readable chunks, and (key, truncated)."""
+    solid = chunks.where(F.trim("text") != "")
+    pos = F.row_number().over(Window.partitionBy(key).orderBy("seq")) - 1
+    rows = solid.select(key, pos.alias("pos"), F.col("text").alias("note"))
+    return rows.where(F.col("pos") < window), rows.groupBy(key).agg((F.count("*") > window).alias("truncated"))
+
+
+def _batched(rows: DataFrame, key: str, text: str = "note") -> DataFrame:
+    """Append ``batch`` to (key, pos, text): a document's rows, window at most, are folded in one array of sizes."""
+    sizes = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.length(text).alias("size")))).alias("n"))
+    each = sizes.withColumn("b", greedy_batches(F.transform("n", lambda x: x["size"]))).select(key, F.explode(F.arrays_zip("n", "b")).alias("x"))
+    return rows.join(each.select(key, F.col("x.n.pos").alias("pos"), F.col("x.b").alias("batch")), [key, "pos"])
+
+
 def summaries(chunks: DataFrame, summarize: Summarizer = first_sentences, key: str = "doc_id", window: int = WINDOW, folds: int = FOLDS) -> DataFrame:
-    """(key, summary, truncated) of chunks (key, seq, text): the first ``window`` chunks count, and truncated says if there are more.
+    """(key, summary, truncated) of chunks (key, seq, text): the first ``window`` readable chunks count, and truncated says if there are more.
 
-    The number of folds is fixed, so the plan does not depend on the data; notes
-    that are left after the last one are joined.
+    A document of one batch is summarised by one call.  Of others each batch is
+    mapped to a note, then notes are folded until they fit one batch, ``folds``
+    times at most, and reduced.  The number of steps is fixed, so the plan does
+    not depend on the data.
     """
-    pos = F.row_number().over(Window.partitionBy(key).orderBy("seq")) - 1
-    rows = chunks.select(key, pos.alias("pos"), F.col("text").alias("note"))
-    more = rows.groupBy(key).agg((F.count("*") > window).alias("truncated"))
-    notes = rows.where(F.col("pos") < window)
+    rows, more = _window(chunks, key, window)
+    placed = _batched(rows, key)
+    text = F.expr("listagg(note, '\n') WITHIN GROUP (ORDER BY pos)")
+    parts = placed.groupBy(key, "batch").agg(text.alias("text"))
+    count = parts.groupBy(key).agg(F.count("*").alias("n_batches"))
+    parts = parts.join(count, key)
+    short = parts.where("n_batches = 1").select(key, _said(summarize, "text").alias("summary"))
+    part = F.concat(F.lit("## Part "), (F.col("batch") + 1).cast("string"), F.lit("\n"), F.col("note"))
+    notes = parts.where("n_batches > 1").select(key, F.col("batch").alias("pos"), _said(summarize, "text").alias("note"))
+    notes = notes.withColumn("batch", F.col("pos")).select(key, "pos", part.alias("note"))
     for _ in range(folds):
         notes = _folded(notes, key, summarize)
-    last = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "note"))), lambda x: x["note"]), "\n")
-    return notes.groupBy(key).agg(last.alias("text")).select(key, _said(summarize, "text").alias("summary")).join(more, key)
+    last = notes.groupBy(key).agg(text.alias("text")).select(key, _said(summarize, "text").alias("summary"))
+    return short.unionByName(last).join(more, key)
+
+
+def overviews(chunks: DataFrame, summarize: Summarizer = first_sentences, key: str = "doc_id", sampled: int = OVERVIEW, marker: str = GAP) -> DataFrame:
+    """(key, summary, truncated) from chunks at even distances, with a mark where some are left out."""
+    picked = even_sample(chunks.where(F.trim("text") != "").select(key, "seq", "text"), key, "seq", sampled)
+    line = F.when(F.col("gap"), F.concat(F.lit(marker + "\n"), F.col("text"))).otherwise(F.col("text"))
+    joined = picked.withColumn("line", line).groupBy(key).agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY seq)").alias("text"), F.max("gap").alias("truncated"))
+    return joined.select(key, _said(summarize, "text").alias("summary"), "truncated")
+
+
+def refined(chunks: DataFrame, summarize: Summarizer = first_sentences, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """(key, summary, truncated): batches are read in order, each with the summary so far; a document's batches go to one task, ``window`` chunks at most."""
+    rows, more = _window(chunks, key, window)
+    parts = _batched(rows, key).groupBy(key, "batch").agg(F.expr("listagg(note, '\n') WITHIN GROUP (ORDER BY pos)").alias("text"))
+
+    def read(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("batch")
+        running, n = "", len(own)
+        for k, text in enumerate(own["text"]):
+            running = summarize(text if k == 0 else f"Summary so far:\n{running}\n\nPart {k + 1} of {n}:\n{text}")
+        return pd.DataFrame({key: [own[key].iloc[0]], "summary": [running]})
+
+    kind = f"{key} {chunks.schema[key].dataType.simpleString()}, summary string"
+    return parts.groupBy(key).applyInPandas(read, kind).join(more, key)
 
 
 def reusable(stored: DataFrame, lang: str, key: str = "doc_id") -> DataFrame:

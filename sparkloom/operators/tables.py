@@ -42,3 +42,20 @@ def kind_counts(chunks: DataFrame, by: str = "doc_id") -> DataFrame:
         F.count_if(kind == "OCR").alias("ocr_chunks"),
         F.count_if(~kind.isin("TABLE", "OCR")).alias("text_chunks"),
     )
+
+
+def table_segments(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, sub_order, kind, text, parent_text) of table chunks, JSON texts of {headers, rows}.
+
+    Each row becomes a sentence under the table's parent; a chunk of another
+    shape, or without a sentence, stays as it is.
+    """
+    shape = F.from_json(text, "headers array<string>, rows array<map<string,string>>")
+    rows = F.transform("__t.rows", lambda r: F.transform(F.col("__t.headers"), lambda h: F.struct(h.alias("k"), F.try_element_at(r, h).alias("v"))))
+    made = chunks.withColumn("__t", shape).withColumn("rows", rows)
+    fits = F.coalesce(F.size("rows") > 0, F.lit(False)) & F.col("__t.headers").isNotNull()
+    good = made.where(fits).select(F.col(key).alias("table_id"), F.col("__t.headers").alias("headers"), "rows")
+    said = explode_tables(good).select(F.col("table_id").alias(key), "parent_text", F.posexplode(F.when(F.col("overflow_text") == "", F.col("sentences")).otherwise(F.concat("sentences", F.array("overflow_text")))).alias("sub_order", "text"))
+    exploded = said.where(F.col("text") != "").select(key, "sub_order", F.lit("exploded").alias("kind"), "text", "parent_text")
+    plain = made.where(~fits).select(key, F.lit(0).alias("sub_order"), F.lit("plain").alias("kind"), F.col(text).alias("text"), F.lit(None).cast("string").alias("parent_text"))
+    return exploded.unionByName(plain)

@@ -62,7 +62,8 @@ FROM documents
 def h5_text_features(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     tokens = F.col("tokens")
-    return table(spark, folder, "documents").withColumn("tokens", tx.english_tokens(text)).select(
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", "text", F.explode(F.array(tx.english_tokens(text))).alias("tokens")).select(
         "doc_id",
         F.size(tokens).cast("long").alias("n_tokens"),
         F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"),
@@ -82,10 +83,8 @@ FROM tf, n GROUP BY term
 """)
 def d17_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    terms = retrieval.term_frequencies(docs.select("doc_id", tx.english_tokens(F.col("text")).alias("tokens")), "doc_id")
-    sums = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("documents"))
-    idf = retrieval.inverse_frequencies(terms, docs.count())
-    return sums.join(idf, "term").withColumn("idf", F.round("idf", 6))
+    terms = retrieval.term_statistics(docs.select(F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens")), docs.count())
+    return terms.withColumn("idf", F.round("idf", 6))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -124,15 +123,10 @@ def i3_dense_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    terms = retrieval.term_frequencies(docs.select(F.col("doc_id").alias("chunk_id"), tx.english_tokens(F.col("text")).alias("tokens")))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), tx.english_words(F.col("text")).alias("tokens"))
     asked = table(spark, folder, "benchmark").where("item_id % 100 = 0")
     asked = asked.select(F.col("item_id").alias("query_id"), tx.english_tokens(F.col("text")).alias("tokens"))
-    asked = retrieval.term_frequencies(asked, "query_id")
-    idf = retrieval.inverse_frequencies(terms, docs.count())
-    # rounded before ranking, so that sums in another order rank alike
-    wanted = asked.join(idf, "term").select("query_id", "term", F.col("tf").alias("q_tf"), "idf")
-    scores = terms.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 6).alias("score"))
-    return retrieval.ranked(scores, DEPTH)
+    return retrieval.sparse_search(chunks, asked, DEPTH, docs.count())
 
 
 @query(f"WITH {_SPARSE_SQL} SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, score FROM sparse")
@@ -169,19 +163,14 @@ lost AS (SELECT a.query_id, CASE WHEN a.score >= b.score THEN b.pos ELSE a.pos E
 SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, score FROM k ANTI JOIN lost USING (query_id, pos)
 """)
 def i7_relevant(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), tx.english_tokens(F.col("text")).alias("tokens"))
-    found = _sparse(spark, folder).withColumnRenamed("rank", "pos").join(docs, "chunk_id")
+    found = _sparse(spark, folder).withColumnRenamed("rank", "pos")
+    # only candidates are tokenised, once: the join of an array is a barrier
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(found, "chunk_id")
+    found = docs.select("query_id", "chunk_id", "pos", "score", F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens"))
     kept = retrieval.drop_near_duplicates(retrieval.floors(found, share=0.2))
     return kept.select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), "score")
 
 
-@query()
-def e8_semantic_parts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings").select(F.col("label").alias("segment_id"), F.col("vec_id").alias("sentence_no"), F.col("embedding").alias("vector"))
-    parts = chunking.semantic_parts(rows)
-    return parts.select("segment_id", "sentence_no", F.round("distance", 6).alias("distance"), "part")
-
-
 # ---------------------------------------------------------------- messages and tables
 
 
@@ -447,4 +436,4 @@ def j20_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # the other modules register theirs in the same place
-from sparkloom.plans import change_queries, relational_queries, text_queries  # noqa: E402, F401
+from sparkloom.plans import change_queries, relational_queries, retrieval_queries, structure_queries, text_queries  # noqa: E402, F401
