@@ -9,7 +9,7 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
@@ -24,12 +24,12 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def routed_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ext, kind, error, content) of files: an unknown extension and an empty file are errors, told row by row."""
+    """(path, ext, kind, error, content) of files: an unknown extension and a hostile archive are errors, told row by row; Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kind = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])
     rows = files.select("path", ext.alias("ext"), "content").withColumn("kind", F.try_element_at(kind, F.col("ext")))
-    error = F.when(F.col("kind").isNull(), "unsupported_type").when(F.length("content") == 0, "empty_content")
+    error = F.when(F.col("kind").isNull(), "unsupported_type")
     error = F.coalesce(error, F.when(F.col("kind").isin("docx", "xlsx"), archive_fault(F.col("content"))))
     return rows.withColumn("error", error)
 
@@ -47,9 +47,12 @@ def fault_of_archive(raw: bytes) -> str | None:
     return "compression_ratio" if unpacked > COMPRESSION * packed else None
 
 
-@F.pandas_udf("string")
-def archive_fault(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else fault_of_archive(raw))
+def archive_fault(content: Column) -> Column:
+    @F.pandas_udf("string")
+    def fault(values: pd.Series) -> pd.Series:
+        return values.map(lambda raw: None if raw is None else fault_of_archive(raw))
+
+    return fault(content)
 
 
 def text_files(files: DataFrame) -> DataFrame:

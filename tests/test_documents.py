@@ -1,56 +1,242 @@
-"""Parsing and summaries on small inputs."""
+"""Parsing, structure and summaries on small inputs."""
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
 from pyspark.sql import functions as F
 
-from sparkloom.operators import documents, summarize
+from sparkloom.functions import scalars as sc
+from sparkloom.functions import text as tx
+from sparkloom.operators import documents, embedding, structure, summarize, tables
+from sparkloom.sources import files
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
 
 
 def test_decoding_ladder(spark):
-    cases = {"héllo".encode(): "héllo", b"\xef\xbb\xbfx": "x", "مرحبا".encode("utf-16"): "مرحبا", "مرحبا".encode("cp1256"): "مرحبا"}
+    cases = {
+        "héllo".encode(): "héllo", b"\xef\xbb\xbfx": "x", "مرحبا".encode("utf-16"): "مرحبا", "مرحبا".encode("cp1256")[:3]: "مرح", b"": "",
+        b"\xd8\x00": b"\xd8\x00".decode("utf-16"),
+    }
     frame = spark.createDataFrame([(bytearray(k),) for k in cases], "content binary")
     assert [r[0] for r in frame.select(documents.decoded(F.col("content"))).collect()] == list(cases.values())
 
 
 def test_text_blocks(spark):
     text = "First sentence. Second sentence. " * 200
-    frame = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 4500)], "doc_id int, text string")
+    frame = spark.createDataFrame([(1, text.strip()), (2, ""), (4, "x" * 4500)], "doc_id int, text string")
     got = documents.text_blocks(frame).orderBy("doc_id", "block_no").collect()
-    assert all(len(r["block"]) <= 2000 for r in got) and {r["doc_id"] for r in got} == {1, 4}
-    assert " ".join(r["block"] for r in got if r["doc_id"] == 1) == text.strip()
+    assert all(len(r["block"]) <= 2000 for r in got)
+    assert " ".join(r["block"] for r in got if r["doc_id"] == 1).split() == text.split()
     assert [len(r["block"]) for r in got if r["doc_id"] == 4] == [2000, 2000, 500]
 
 
-def test_sheet_blocks(spark):
-    rows = [("s", 0, 0, "name"), ("s", 0, 1, "size"), ("s", 1, 0, "a"), ("s", 1, 1, "1"), ("s", 2, 0, "b"), ("s", 2, 1, None), ("s", 4, 0, "x"), ("s", 4, 1, "y")]
-    frame = spark.createDataFrame(rows, "sheet string, row int, col int, value string")
-    got = documents.sheet_blocks(frame).orderBy("block_no").collect()
-    assert [(r["headers"], r["rows"]) for r in got] == [(["name", "size"], [["a", "1"], ["b", None]]), (["x", "y"], [])]
+def test_split_text_rules():
+    words = "word " * 600
+    # a run without marks is cut hard, blanks or not
+    assert [len(x) for x in documents.split_text(words.strip())] == [2000, 999]
+    assert documents.split_text("short") == ["short"]
+    lines = "\n".join(["a" * 900] * 3)
+    assert documents.split_text(lines) == ["a" * 900 + "\n" + "a" * 900, "a" * 900]
+    arabic = ("كلمة " * 150 + "، ") * 4
+    assert len(documents.split_text(arabic)) > 1 and all(len(x) <= 2000 for x in documents.split_text(arabic))
+
+
+def test_split_oversized():
+    text = " ".join(f"Sentence number {k} has some words." for k in range(400))
+    parts = documents.split_oversized(text)
+    assert " ".join(parts) == text and all(1000 <= len(p) <= 4000 for p in parts[:-1])
+    assert documents.split_oversized("a\nb\n\nc") == ["a b c"] and documents.split_oversized("") == []
+
+
+def cells(rows):
+    return [("s", r, c, v) for r, row in enumerate(rows) if row for c, v in enumerate(row)]
+
+
+def test_sheet_tables(spark):
+    rows = [["name", "size"], ["a", "1"], ["b", "2"], None, ["kind", "n"], ["x", "3"], ["y", "4"], ["label", "count"], ["z", "5"], ["w", "6"], None, ["alone", "row"]]
+    frame = spark.createDataFrame(cells(rows), "sheet string, row int, col int, value string")
+    got = structure.sheet_tables(frame).orderBy("block_no", "part").collect()
+    assert [(r["headers"], r["rows"]) for r in got] == [
+        (["name", "size"], [["a", "1"], ["b", "2"]]),
+        (["kind", "n"], [["x", "3"], ["y", "4"]]),
+        (["label", "count"], [["z", "5"], ["w", "6"]]),
+    ]
     long = [("t", i, c, "h" if i == 0 else str(i)) for i in range(1201) for c in range(2)]
-    got = documents.sheet_blocks(spark.createDataFrame(long, "sheet string, row int, col int, value string"))
+    got = structure.sheet_tables(spark.createDataFrame(long, "sheet string, row int, col int, value string"))
     assert sorted(len(r["rows"]) for r in got.collect()) == [200, 500, 500]
+    assert structure.sheet_tables(frame.limit(0)).count() == 0
+
 
+def test_json_shapes(spark):
+    deep = "[" * 400 + "1" + "]" * 400
+    texts = [
+        (1, '{"a": [{"x": 1, "y": 2}, {"y": "z"}], "b": 3}'), (2, '{"q": 1}\nnot json\n[{"k": null, "l": 1}, {"k": 2}]'), (3, None),
+        (4, '["a\\tb", "1\\t2"]'), (5, '{"k": "v", "x": 1, "y": null, "z": true}'), (6, '{"body": "a  b\\n1  2\\n3  4", "note": "plain"}'), (7, deep),
+        (8, '[{"only": 1}, {"only": 2}]'), (9, '{"p": {"t": "one"}, "l": ["x", {"t": "y"}]}'),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id int, text string")
+    got = {(r["doc_id"], r["table_id"]): r for r in documents.tables_of_json(frame).collect()}
+    assert sorted(got) == [(1, "$.a"), (2, "$"), (4, "$"), (5, "$"), (6, "$.body")]
+    assert got[1, "$.a"]["headers"] == ["x", "y"] and [tuple(c) for c in got[1, "$.a"]["rows"][1]] == [("y", "z")]
+    assert got[4, "$"]["headers"] == ["Column_1", "Column_2"] and got[5, "$"]["headers"] == ["Key", "Value"] and len(got[6, "$.body"]["rows"]) == 3
+    said = {(r["doc_id"], r["path"]): r["content"] for r in documents.texts_of_json(frame).collect()}
+    assert said == {(6, "$.note"): "plain", (9, "$.p.t"): "one", (9, "$.l"): "x", (9, "$.l.t"): "y"}
 
-def test_json_tables(spark):
-    texts = [(1, '{"a": [{"x": 1}, {"y": "z"}], "b": 3}'), (2, '{"q": 1}\nnot json\n[{"k": null}]'), (3, None)]
-    got = documents.tables_of_json(spark.createDataFrame(texts, "doc_id int, text string")).orderBy("doc_id").collect()
-    assert [(r["doc_id"], r["table_id"], r["headers"]) for r in got] == [(1, "$.a", ["x", "y"]), (2, "$", ["k"])]
-    assert [tuple(c) for c in got[0]["rows"][1]] == [("y", "z")]
+
+def test_json_lines_and_streams():
+    assert documents.json_values('{"a":1}\n{"b":2}') == [{"a": 1}, {"b": 2}]
+    assert documents.json_values('{"a":1}{"b":2} junk [3]') == [{"a": 1}, {"b": 2}, [3]]
+    assert documents.json_values("") == [] and documents.json_values("no json") == []
 
 
 def test_redaction(spark):
-    frame = spark.createDataFrame([('{"user": {"Password": "p", "n": 1}}',), ("plain",)], "t string")
-    assert [r[0] for r in frame.select(documents.redacted(F.col("t"))).collect()] == ['{"user": {"Password": "***", "n": 1}}', "plain"]
+    deep = value = {}
+    for _ in range(9):
+        value["a"] = {}
+        value = value["a"]
+    value["password"] = "p"
+    rows = ['{"user": {"Password": "p", "n": 1}}', "plain", json.dumps(deep)]
+    frame = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r[0] for r in frame.select(documents.redacted(F.col("t"))).collect()]
+    # beyond the depth values stay as they are
+    assert got == ['{"user": {"Password": "***", "n": 1}}', "plain", json.dumps(deep)]
+
+
+def test_continued_tables(spark):
+    rows = [(1, 0, 1, 2, 10.0, 210.0), (1, 1, 2, 2, 15.0, 216.0), (1, 2, 3, 2, 12.0, 212.0), (1, 3, 3, 3, 12.0, 212.0), (1, 4, 5, 2, 12.0, 212.0), (2, 0, 2, 2, 12.0, 212.0)]
+    frame = spark.createDataFrame(rows, "doc_id int, table_no int, page int, n_columns int, x0 double, x1 double")
+    got = {(r["doc_id"], r["table_no"]): r["first"] for r in structure.continued_groups(frame).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 3, (1, 4): 4, (2, 0): 0}
+    parts = [
+        (1, 0, 0, ["Name", "Size"], [["a", "1"]]), (1, 1, 0, None, [["name ", "size"], ["b", "2"], ["", " "]]), (1, 2, 0, None, [["c", "3"]]), (1, 3, 3, ["X"], [["x"]]),
+    ]
+    frame = spark.createDataFrame(parts, "doc_id int, table_no int, first int, headers array<string>, rows array<array<string>>")
+    got = {r["first"]: (r["headers"], r["rows"]) for r in structure.merged_tables(frame).collect()}
+    assert got == {0: (["Name", "Size"], [["a", "1"], ["b", "2"], ["c", "3"]]), 3: (["X"], [["x"]])}
+
+
+def test_image_budget(spark):
+    rows = [(1, 1, k, f"h{k % 10}", 300, 300) for k in range(12)] + [(1, 2, 20 + k, f"g{k}", 300, 100 if k == 0 else 300) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc int, page int, pos int, sha1 string, width int, height int")
+    read = structure.images_to_read(frame, "doc", "page", "pos", most_page=8, most=12).where("read").orderBy("page", "pos").collect()
+    assert [(r["page"], r["pos"]) for r in read] == [(1, k) for k in range(8)] + [(2, 21 + k) for k in range(4)]
+
+
+def archive(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_file_router_and_office_files(spark, tmp_path):
+    w, s = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    p = lambda t, style="": f'<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    body = p("Policy", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + p("Some words.") + f'<w:tbl><w:tr><w:tc>{p("a")}</w:tc><w:tc>{p("b")}</w:tc></w:tr></w:tbl>'
+    made = {
+        "x.docx": archive({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'}),
+        "y.xlsx": archive({
+            "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f'<sst xmlns="{s}"><si><t>name</t></si></sst>',
+            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1"><v>7</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>',
+        }),
+        "bomb.docx": archive({"word/document.xml": "0" * 3_000_000}), "fake.docx": b"no zip", "broken.docx": archive({"other.xml": "<a/>"}),
+        "z.TXT": "Page 3 hello — wörld".encode(), "empty.md": b"", "odd.exe": b"x", "t.json": b'{"a": 1}',
+    }
+    for name, raw in made.items():
+        (tmp_path / name).write_bytes(raw)
+    routed = files.routed_files(spark, str(tmp_path))
+    told = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["error"]) for r in routed.collect()}
+    assert told["x.docx"] == ("docx", None) and told["z.TXT"] == ("text", None) and told["t.json"] == ("json", None)
+    assert told["bomb.docx"][1] == "compression_ratio" and told["fake.docx"][1] == "not_an_archive"
+    assert "empty.md" not in told  # the reader leaves empty files out
+    assert told["odd.exe"] == (None, "unsupported_type")
+    items = files.docx_files(routed).where("path LIKE '%x.docx'").orderBy("pos").collect()
+    assert [(r["kind"], r["style"], r["text"], r["rows"]) for r in items] == [
+        ("paragraph", "Heading1", "Policy", None), ("paragraph", None, "Some words.", None), ("table", None, "", [["a", "b"]]),
+    ]
+    assert files.docx_files(routed).where("error IS NOT NULL").count() == 1
+    got = files.xlsx_files(routed).orderBy("row", "col").collect()
+    assert [(r["sheet"], r["row"], r["col"], r["value"]) for r in got] == [("One", 0, 0, "name"), ("One", 0, 27, "7"), ("One", 2, 1, "in")]
+    assert [r["text"] for r in files.text_files(routed).collect()] == ["hello w rld"]
+
+
+def test_table_segments(spark):
+    rows = [(1, '{"headers":["id","n"],"rows":[{"id":"1","n":"x"},{"id":"2","n":"y"}]}'), (2, "prose"), (3, '{"headers":["a"],"rows":[]}'), (4, '{"rows":[{"a":"b"}]}')]
+    got = tables.table_segments(spark.createDataFrame(rows, "k int, text string"), "k").orderBy("k", "sub_order").collect()
+    assert [(r["k"], r["kind"], r["text"]) for r in got] == [(1, "exploded", "n: x"), (1, "exploded", "n: y")] + [(k, "plain", t) for k, t in rows[1:]]
+
+
+def test_embedding_falls_back_to_single_items(spark):
+    calls = []
+
+    def embed(texts):
+        calls.append(len(texts))
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return embedding.hash_embedding(3)(texts)
+
+    frame = spark.createDataFrame([(i, "bad" if i == 3 else f"t{i}") for i in range(10)], "id int, text string").coalesce(1)
+    got = {r["id"]: r for r in embedding.embedded(frame, embed, 3, batch=4).collect()}
+    assert all(len(got[i]["vector"]) == 3 and got[i]["error"] is None for i in got if i != 3)
+    assert got[3]["vector"] is None and got[3]["error"] == "ValueError: bad text"
+    wrong = embedding.embedded(frame, embedding.hash_embedding(2), 3).collect()
+    assert all(r["vector"] is None for r in wrong)
 
 
 def test_summaries(spark):
-    rows = [(1, i, f"Chunk {i}. Rest") for i in range(20)] + [(2, i, "A.") for i in range(300)]
-    got = {r["doc_id"]: r for r in summarize.summaries(spark.createDataFrame(rows, "doc_id int, seq int, text string")).collect()}
-    assert got[1]["summary"].startswith("Chunk 0.") and not got[1]["truncated"] and got[2]["truncated"]
+    rows = [(1, i, f"Chunk {i}. Rest") for i in range(20)] + [(2, i, "A.") for i in range(300)] + [(3, 0, "Whole."), (3, 1, " ")]
+    chunks = spark.createDataFrame(rows, "doc_id int, seq int, text string")
+    got = {r["doc_id"]: r for r in summarize.summaries(chunks).collect()}
+    assert "Chunk 0." in got[1]["summary"] and not got[1]["truncated"] and got[2]["truncated"]
+    # a document of one batch is summarised by one call, not by notes of notes
+    said = {r["doc_id"]: r["summary"] for r in summarize.summaries(chunks, lambda t: f"<{t}>").collect()}
+    assert said[3] == "<Whole.>" and said[1].startswith("<<## Part 1\n<Chunk 0.") or said[1].count("## Part") == 4
+    refined = {r["doc_id"]: r["summary"] for r in summarize.refined(chunks, lambda t: f"{len(t)}").collect()}
+    assert set(refined) == {1, 2, 3} and refined[3] == str(len("Whole."))
+
+
+def test_overview(spark):
+    rows = [(1, i, f"c{i}") for i in range(30)] + [(2, 0, "only")]
+    got = {r["doc_id"]: r for r in summarize.overviews(spark.createDataFrame(rows, "doc_id int, seq int, text string"), lambda t: t).collect()}
+    assert got[2]["summary"] == "only" and not got[2]["truncated"]
+    assert got[1]["summary"].split("\n")[0] == "c0" and got[1]["summary"].split("\n")[-1] == "c29" and got[1]["summary"].count("[…]") == 7
 
 
 def test_reusable_summary(spark):
     rows = [("i1", 1, "en", "old", 1), ("i2", 1, "en", "new", 2), ("i3", 1, "ar", "x", 3)]
     frame = spark.createDataFrame(rows, "id string, doc_id int, lang string, summary string, built_at int")
     assert [tuple(r) for r in summarize.reusable(frame, "ar").collect()] == [(1, "en", "new")]
+
+
+def test_headings(spark):
+    cases = {
+        "Purpose:": True, "HR & Admin: the team is responsible for:": False, "5.1 Internal rules": True, "Section IV of it": True, "scope": True, "Short Title": True, "ends here.": False,
+        "a | b": False, "ALL CAPITALS IN A LONGER LINE": True, "The Rules of the House and Garden": True, "the rules of the house and garden": False, "": False,
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["h"] for r in frame.select("t", sc.is_heading(F.col("t")).alias("h")).collect()} == cases
+
+
+def test_scalars(spark):
+    import uuid
+
+    ns = "5561cc57-1a7e-43a9-81de-1c93c6192ccf"
+    assert one(spark, sc.uuid5(ns, F.lit("doc:7"))) == str(uuid.uuid5(uuid.UUID(ns), "doc:7"))
+    assert one(spark, sc.term_id(F.lit("قلم"))) == int.from_bytes(__import__("hashlib").blake2b("قلم".encode(), digest_size=4).digest(), "big")
+    assert one(spark, sc.file_name(F.lit("a\\b/ c.pdf "))) == "c.pdf" and one(spark, sc.file_name(F.lit("dir/"))) is None
+    assert [one(spark, sc.extension(F.lit(x))) for x in (".env", "a.b.pdf", "report.", "x")] == ["", ".pdf", "", ""]
+    assert one(spark, sc.transit_version(F.lit("vault:v12:abc"))) == 12 and one(spark, sc.transit_version(F.lit("v12"))) is None
+    assert one(spark, sc.snippet(F.lit("short"), F.array(F.lit("x")))) is None
+    assert one(spark, tx.header_line(F.array(F.lit("10"), F.lit(" 20 "), F.lit("id")))) == "10; 20"
+    assert one(spark, tx.is_rtl(F.lit("abc"), F.lit("ar"))) and not one(spark, tx.is_rtl(F.lit("قلم"), F.lit("en"))) and one(spark, tx.is_rtl(F.lit("قلم a"), F.lit("auto")))
+    assert one(spark, tx.sentences(F.lit("a\n \nb"))) == ["a\n \nb"] and one(spark, tx.sentences(F.lit("a\n\nb"))) == ["a", "b"]

@@ -17,11 +17,6 @@ def test_same_as_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.SQL[name])
 
 
-def test_semantic_parts_run(spark, folder):
-    parts = queries.QUERIES["e8_semantic_parts"](spark, folder)
-    assert parts.count() == 500
-
-
 def test_entry_without_llm():
     code = (
         "import sys\n"
