@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkloom.llm.textops import SEPARATOR, Slice, slices
 
+#: Bytes that the sampled texts of one class or language hold together, at most.
+MOST_BYTES = 32 << 20
+
+
+def first_rows(rows: DataFrame, by: str, size: str, order: list[Column], most: int, most_bytes: int) -> DataFrame:
+    """Of each value of ``by`` the first ``most`` rows in the order given, as far as their texts hold ``most_bytes`` together.
+
+    Each task keeps its own first rows before anything is shuffled.  A text of
+    more than a sixteenth of ``most_bytes`` is left out, so that it takes no other's place.
+    """
+    rows = rows.where(F.col(size) <= most_bytes // 16)
+    line = Window.partitionBy(by).orderBy(*order)
+    first = rows.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= most)
+    held = F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("__held", held).where(F.col("__held") <= most_bytes).drop("__n", "__held")
+
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most ``per_class`` learning rows of each class.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` learning rows of each class, whose texts hold ``most_bytes`` a class together.
 
-    Rows are taken in the order of a hash of their id, so a sample does not
-    depend on partitioning.  Of several labels of one document the largest counts.
+    Rows are taken in the order of a hash of their id and then of their text, so
+    a sample does not depend on partitioning, and an id with many rows takes no
+    more than its class's places.  Of several labels of one document the largest
+    counts.
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
@@ -28,10 +51,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
         both = one if both is None else both.unionByName(one)
     # at most 2 * per_class rows of two numbers
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(both), "doc_id")
-    got = rows.select("text", "y", "doc_id").toArrow()
-    order = np.lexsort([got["y"].to_numpy(), got["doc_id"].to_numpy()])
-    got = got.take(pa.array(order))
-    return got["text"].combine_chunks(), got["y"].to_numpy()
+    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
+    return first_rows(rows, "y", "size", [order, F.col("doc_id"), F.xxhash64("text")], per_class, most_bytes).drop("size")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What ``fit`` makes of a bounded sample, in one task: the driver holds the model, never the texts."""
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.dumps(fit(pa.Table.from_batches(list(batches), schema)), protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(schema.empty_table())
+
+
+def texts_and_labels(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Texts and 0/1 labels of a sample, in an order of their own."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+    return pa.array(rows["text"].to_pylist(), pa.string()), rows["y"].to_numpy().astype(np.int64)
 
 
 def spaced(part: Slice, gap: int = 8) -> tuple[np.ndarray, np.ndarray]:

@@ -12,13 +12,14 @@ that text which switches languages shows where.
 
 Training maximises the likelihood of the learning documents, whose words are all
 labelled with the document's language, by AdaGrad in numpy on a bounded sample
-of ``PER_LANGUAGE`` documents of each language.  Labels of documents that switch
-languages are noisy in their foreign part, which the shared weights outvote.
+of ``PER_LANGUAGE`` documents of each language (``MOST_BYTES`` of text), in one
+task.  Labels of documents that switch languages are noisy in their foreign part,
+which the shared weights outvote.
 
 Lines are the sequences: the lines of a slice are advanced together, a word at a
 time, longest first, so a long line costs steps only for itself.
 
-Defined results: ``und`` with score 0.0 for a text that is null or has no letter,
+Defined results: of languages with equal sums the first by name counts; ``und`` with score 0.0 for a text that is null or has no letter,
 or where no language could be learned; such a text has no labelled words.
 """
 
@@ -28,16 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import append_columns, remainder, table
-from sparkloom.llm.labelled import byte_ngrams, spaced, text_slices
+from sparkloom.llm.labelled import byte_ngrams, first_rows, fitted, spaced, text_slices
 from sparkloom.llm.textops import LOWER_ASCII, PrefixHash, Slice, mix
 
 #: Documents of each language that the model is fitted on, at most; every language is learned.
 PER_LANGUAGE = 500
+#: Bytes that their texts hold together in each language, at most.
+MOST_BYTES = 4 << 20
 #: Beyond this many languages slices are cut shorter, so that the tables of words by languages keep their size.
 WIDE = 64
 BITS = 16
@@ -206,17 +209,25 @@ def fit(texts: pa.Array, labels: list[str], seed: int = 5) -> Crf:
 
 
 def train(docs: DataFrame, learn, lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Crf:
-    """Fit on learning rows with a text and a language; rows are taken in the order of a hash of their id."""
+    """Fit on learning rows with a text and a language; rows are taken in the order of a hash of their id and text.
+
+    Rows are ranked by numbers alone, and only those picked fetch their texts.
+    """
     rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & learn)
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.col(lang_col).alias("lang"))
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = ids.withColumn("number", number).where(F.col("number") <= per_language)
-    picked = picked.select("doc_id", "lang").distinct()  # at most per_language ids of each language
-    texts = rows.select("doc_id", "text", F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["doc_id", "lang"])
-    got = texts.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    if not len(got):
+    rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    hashed = {"h": F.xxhash64("doc_id"), "size": F.octet_length("text").cast("long"), "t": F.xxhash64("text")}
+    place = ["lang", "h", "t"]
+    picked = first_rows(rows.withColumns(hashed).select(*place, "size"), "lang", "size", [F.col("h"), F.col("t")], per_language, MOST_BYTES)
+    picked = picked.select(place).distinct()  # at most per_language rows of three values for each language
+    texts = rows.withColumns(hashed).join(F.broadcast(picked), place).select("doc_id", "text", "lang").distinct()
+    return fitted(texts, _fit_rows)
+
+
+def _fit_rows(rows: pa.Table) -> Crf:
+    if not len(rows):
         return Crf([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    return fit(pa.array(rows["text"].to_pylist(), pa.string()), rows["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Crf, text_col: str = "text", words_col: str | None = None) -> DataFrame:

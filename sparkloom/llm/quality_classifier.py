@@ -1,10 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its words and of the character
-n-grams (UTF-8 bytes) inside them, both hashed into one table; a softmax layer
+A document is the mean of learned vectors of its words, of the character n-grams
+(UTF-8 bytes) inside them, both hashed into one table, and of word n-grams that
+end in the word they begin with; a softmax layer
 turns the mean into class probabilities.  Vectors and layer are trained together
 by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``PER_CLASS`` of each class); all documents are scored.
+(``PER_CLASS`` rows of each class, ``labelled.MOST_BYTES`` of text), in one task;
+all documents are scored.  A score of exactly 0.5 counts as 1.
 
 As the output layer is linear in the mean, scoring needs one number per bucket:
 the table folded with the difference of the two output rows.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import append_columns, remainder, table
-from sparkloom.llm.labelled import byte_ngrams, sample, spaced, text_slices
+from sparkloom.llm.labelled import byte_ngrams, fitted, sample, spaced, text_slices, texts_and_labels
 from sparkloom.llm.textops import PrefixHash, Slice
 
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -32,8 +34,11 @@ PER_CLASS = 1500
 BITS = 17
 DIM = 16
 NGRAMS = (3, 4)
-#: A word equal to the one this many places before makes a feature of its own: the repetition n-gram of that length.
+#: A word n-gram whose last word is its first makes a feature of its own for each n - 1 up to this, whatever the word:
+#: a page that repeats itself does so in words that no learning row has, so vectors of the words can't tell.
 REPEAT_SPAN = 12
+#: Hashed features share the first rows of the table; repetitions have rows of their own behind them.
+ROWS = (1 << BITS) + REPEAT_SPAN
 EPOCHS = 6
 RATE = 8.0
 
@@ -57,7 +62,7 @@ def features(part: Slice) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for k in range(1, REPEAT_SPAN + 1):
         hit = np.flatnonzero((words[k:] == words[:-k]) & (doc[k:] == doc[:-k])) + k
         again.append(doc[hit])
-        place.append(np.full(len(hit), k))
+        place.append(np.full(len(hit), (1 << BITS) + k - 1))
     again, place = np.concatenate(again), np.concatenate(place)
     order = np.argsort(again, kind="stable")
     groups.append(place[order])
@@ -74,7 +79,7 @@ def features(part: Slice) -> tuple[list[np.ndarray], list[np.ndarray]]:
 def fit(texts: pa.Array, y: np.ndarray, seed: int = 7) -> Embeddings:
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Embeddings(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        return Embeddings(np.zeros(ROWS, np.float32), float(np.log(share / (1 - share))))
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     for part in text_slices(texts):
         groups, counts = features(part)
@@ -84,7 +89,7 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 7) -> Embeddings:
             idx, n = np.unique(own, return_counts=True)
             docs.append((idx.astype(np.int32), (n / max(1, len(own))).astype(np.float32)))
     rng = np.random.RandomState(seed)
-    table_ = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    table_ = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
     steps, step = EPOCHS * len(docs), 0
@@ -106,12 +111,12 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 7) -> Embeddings:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int = PER_CLASS) -> Embeddings:
-    return fit(*sample(docs, labels, label, learn, per_class))
+    return fitted(sample(docs, labels, label, learn, per_class), lambda rows: fit(*texts_and_labels(rows)))
 
 
 def score(docs: DataFrame, model: Embeddings, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Append the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.folded, model.bias))  # 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast((model.folded, model.bias))  # ROWS floats
 
     def make():
         folded, bias = shared.value

@@ -4,7 +4,8 @@ The features of a document are the distinct character n-grams (UTF-8 bytes of
 the lower-cased text) inside its words, hashed into a table.  Each is scaled by
 the log ratio of its document counts in toxic and in other texts, and a logistic
 regression over the scaled features is trained by stochastic gradient descent on
-a bounded sample of labelled rows (``PER_CLASS`` of each class).
+a bounded sample of labelled rows (``PER_CLASS`` rows of each class,
+``labelled.MOST_BYTES`` of text), in one task.  A score of exactly 0.5 counts as 1.
 
 A feature with a small log ratio says nothing about toxicity but adds noise to
 long texts, so only ratios of at least ``MIN_RATIO`` count.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import append_columns, remainder, table
-from sparkloom.llm.labelled import byte_ngrams, sample, spaced, text_slices
+from sparkloom.llm.labelled import byte_ngrams, fitted, sample, spaced, text_slices, texts_and_labels
 from sparkloom.llm.textops import LOWER_ASCII, Slice
 
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -93,7 +94,7 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Ratios:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int = PER_CLASS) -> Ratios:
-    return fit(*sample(docs, labels, label, learn, per_class))
+    return fitted(sample(docs, labels, label, learn, per_class), lambda rows: fit(*texts_and_labels(rows)))
 
 
 def score(docs: DataFrame, model: Ratios, text_col: str = "text", score_col: str = "score") -> DataFrame:
