@@ -38,18 +38,14 @@ NAVIGATION = b"|>"
 SHOUTS = b"!?"
 CLOSERS = b".!?\"'):;"
 CLOSERS_WIDE = ("…", "”", "’", "»")
+#: Stock phrases in small letters (English, French, German, Spanish); A-Z is lower-cased before they are looked for.
 BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "sign in to",
-    "subscribe to our",
-    "terms of service",
-    "terms of use",
-)
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign in to",
+    "subscribe to our", "terms of service", "terms of use",
+    "abonnez-vous", "cliquez ici", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookie-richtlinie", "datenschutzerklärung", "hier klicken", "newsletter abonnieren",
+    "aviso legal", "condiciones de uso", "haga clic aquí", "política de privacidad", "suscríbete a", "todos los derechos reservados",
+)
 
 
 def _member(chars: bytes) -> np.ndarray:
@@ -168,7 +164,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("text")
 
 
-_PHRASES_SQL = "|".join(BOILERPLATE)
+_PHRASES_SQL = "|".join(BOILERPLATE).replace("'", "''")
 OP1_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text,
