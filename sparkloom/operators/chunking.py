@@ -12,29 +12,43 @@ MIN_CHARS, MIN_NODE_CHARS = 24, 15
 ORDER_KEYS = ("page_number", "position_in_doc", "paragraph_number", "chunk_index")
 
 
-def windows(w: Column, span: int, overlap: int, min_chars: int = MIN_CHARS) -> Column:
-    """Array of (text, token_count) of an array of words: windows of ``span`` words, the last one clipped.
-
-    A last window of fewer than ``min_chars`` characters is appended to the one
-    before, so the words that overlap are there twice.
-    """
+def raw_windows(w: Column, span: int, overlap: int) -> Column:
+    """Array of (text, token_count) of an array of words: windows of ``span`` words, the last one clipped; no words, no windows."""
     span, step = max(span, 1), max(span - overlap, 1)
     n = F.size(w)
-    count = F.when(n <= span, 1).otherwise(1 + F.ceil((n - span) / step)).cast("int")
-    made = F.transform(
-        F.sequence(F.lit(0), count - 1),
+    count = F.when(n <= span, F.least(n, F.lit(1))).otherwise(1 + F.ceil((n - span) / step)).cast("int")
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), count), lambda i: i < count),
         lambda i: F.struct(
             F.array_join(F.slice(w, i * step + 1, F.lit(span)), " ").alias("text"),
             F.least(F.lit(span), n - i * step).cast("long").alias("token_count"),
         ),
     )
-    last, before = F.element_at(made, -1), F.try_element_at(made, F.lit(-2))
+
+
+def merged_tail(made: Column, min_chars: int = MIN_CHARS) -> Column:
+    """Windows of which a last one of fewer than ``min_chars`` characters is appended to the one before, so the words that overlap are there twice."""
+    last, before = F.try_element_at(made, F.lit(-1)), F.try_element_at(made, F.lit(-2))
     merged = F.struct(
         F.concat_ws(" ", before["text"], last["text"]).alias("text"), (before["token_count"] + last["token_count"]).alias("token_count")
     )
-    short = (count > 1) & (F.length(last["text"]) < min_chars)
-    made = F.when(short, F.concat(F.slice(made, 1, F.greatest(count - 2, F.lit(0))), F.array(merged))).otherwise(made)
-    return F.when(n > 0, made).otherwise(F.slice(made, 1, 0))
+    short = (F.size(made) > 1) & (F.length(last["text"]) < min_chars)
+    return F.when(short, F.concat(F.slice(made, 1, F.greatest(F.size(made) - 2, F.lit(0))), F.array(merged))).otherwise(made)
+
+
+def windows(w: Column, span: int, overlap: int, min_chars: int = MIN_CHARS) -> Column:
+    return merged_tail(raw_windows(w, span, overlap), min_chars)
+
+
+def with_windows(df: DataFrame, text: str, span: int, overlap: int, name: str = "__windows") -> DataFrame:
+    """Append the windows of a text.
+
+    Words and raw windows are rows of a generator of one row each: Catalyst
+    doesn't merge across it, so neither is computed once for every mention.
+    """
+    made = df.select("*", F.explode(F.array(words(F.col(text)))).alias("__words"))
+    made = made.select("*", F.explode(F.array(raw_windows(F.col("__words"), span, overlap))).alias("__raw")).drop("__words")
+    return made.withColumn(name, merged_tail(F.col("__raw"))).drop("__raw")
 
 
 def chunk_documents(docs: DataFrame, span: int, overlap: int, text: str = "text", min_node: int = MIN_NODE_CHARS) -> DataFrame:
@@ -43,9 +57,8 @@ def chunk_documents(docs: DataFrame, span: int, overlap: int, text: str = "text"
     Appends seq, chunk and token_count; a chunk equal to an earlier one of its
     document goes, as does one of fewer than ``min_node`` characters.
     """
-    # words and windows are columns of their own, so that each is computed once
     kept = F.filter(F.col("__windows"), lambda c: F.length(c["text"]) >= min_node)
-    made = docs.withColumn("__words", words(F.col(text))).withColumn("__windows", windows(F.col("__words"), span, overlap))
+    made = with_windows(docs, text, span, overlap)
     exploded = made.select(*[c for c in docs.columns if c != text], F.posexplode(F.array_distinct(kept)).alias("seq", "c"))
     return exploded.withColumns(
         {"seq": F.col("seq").cast("long"), "chunk": F.col("c.text"), "token_count": F.col("c.token_count")}
@@ -55,8 +68,8 @@ def chunk_documents(docs: DataFrame, span: int, overlap: int, text: str = "text"
 def chunk_segments(segments: DataFrame, span: int, overlap: int, doc: str = "doc_id", min_node: int = MIN_NODE_CHARS) -> DataFrame:
     """Chunks of documents of many segments, numbered without gaps in the order of the segments' keys (nulls last)."""
     order = [F.asc_nulls_last(c) for c in ORDER_KEYS] + [F.asc("ord"), F.asc("sub_order"), F.asc("part")]
-    parts = segments.withColumn("__words", words(F.col("text")))
-    parts = parts.select("*", F.posexplode(windows(F.col("__words"), span, overlap)).alias("part", "c")).drop("__words")
+    parts = with_windows(segments, "text", span, overlap)
+    parts = parts.select("*", F.posexplode("__windows").alias("part", "c")).drop("__windows")
     parts = parts.withColumns({"chunk": F.col("c.text"), "token_count": F.col("c.token_count")}).drop("c", "text")
     parts = parts.where(F.length("chunk") >= min_node)
     first = F.row_number().over(Window.partitionBy(doc, F.sha2("chunk", 256)).orderBy(*order))

@@ -212,8 +212,9 @@ def e13_sampled_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT p_brand, p_partkey, 'name: ' || p_name || '; type: ' || p_type || '; size: ' || p_size AS said FROM part),
-t AS (SELECT p_brand AS table_id, list(said ORDER BY p_partkey) AS said FROM s GROUP BY p_brand)
+WITH s AS (SELECT CASE WHEN p_size < 5 THEN 'small' || (p_partkey // 200) ELSE 'big' || (p_partkey // 5000) END AS table_id, p_partkey,
+        'name: ' || p_name || '; type: ' || p_type || '; size: ' || p_size AS said FROM part),
+t AS (SELECT table_id, list(said ORDER BY p_partkey) AS said FROM s GROUP BY table_id)
 SELECT table_id, CAST(least(len(said), {tables.MOST_ROWS}) AS BIGINT) AS n_sentences, sha256(array_to_string(said[1:{tables.MOST_ROWS}], chr(10))) AS sentences_sha256,
     CASE WHEN len(said) <= {tables.PARENT_ROWS} THEN array_to_string(said, chr(10)) ELSE 'name; type; size' END AS parent_text,
     len(said) BETWEEN 1 AND {tables.PARENT_ROWS} AS parent_is_complete, len(said) > {tables.MOST_ROWS} AS truncated,
@@ -224,7 +225,10 @@ def i11_exploded_tables(spark: SparkSession, folder: str) -> DataFrame:
     cell = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("v"))
     row = F.array(cell("id", "p_partkey"), cell("name", "p_name"), cell("type", "p_type"), cell("size", "p_size"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"])
-    made = table(spark, folder, "part").groupBy(F.col("p_brand").alias("table_id")).agg(rows.alias("rows"))
+    # a table has 5,000 parts at most, whatever the scale
+    part_of = lambda name, n: F.concat(F.lit(name), F.floor(F.col("p_partkey") / n).cast("string"))
+    table_id = F.when(F.col("p_size") < 5, part_of("small", 200)).otherwise(part_of("big", 5000))
+    made = table(spark, folder, "part").groupBy(table_id.alias("table_id")).agg(rows.alias("rows"))
     headers = F.array(*map(F.lit, ("id", "name", "type", "size")))
     out = tables.explode_tables(made.withColumn("headers", headers))
     said = F.sha2(F.array_join("sentences", "\n"), 256)

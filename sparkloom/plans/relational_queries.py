@@ -287,6 +287,24 @@ def g5_keys_in_first_seen_order(spark: SparkSession, folder: str) -> DataFrame:
     return first.groupBy("conv_id").agg(F.count("*").alias("n_keys"), F.sha2(F.array_join(keys, ","), 256).alias("keys_sha256"))
 
 
+@query("""
+SELECT p_partkey, list_sort(list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x NOT IN ('red', 'blue', 'green')))::VARCHAR AS unknown FROM part
+""")
+def g4_unknown_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    known = F.array(*map(F.lit, ("red", "blue", "green")))
+    unknown = F.array_sort(F.array_except(F.split("p_name", " "), known))
+    return table(spark, folder, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(unknown, ", "), F.lit("]")).alias("unknown"))
+
+
+@query("""
+WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS ids FROM s WHERE n = 1 GROUP BY conv_id
+""")
+def g6_distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
+    asked = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(asked), ",").alias("ids"))
+
+
 @query("""
 WITH conf AS (SELECT c_nationkey AS workspace_id, CASE c_custkey % 2 WHEN 0 THEN 'tokens' ELSE 'cost_micros' END AS metric, 'month' AS period, max(c_custkey) AS limit_value
     FROM customer WHERE c_nationkey % 3 <> 0 AND c_custkey % 5 < 2 AND c_nationkey < 20 GROUP BY ALL),
