@@ -16,7 +16,7 @@ from sparkloom import streaming
 from sparkloom.functions import text as tx
 from sparkloom.operators import chunking, mutation, relational, retrieval, tables, usage
 from sparkloom.plans.registry import QUERIES, SQL, query  # noqa: F401
-from sparkloom.sources import table
+from sparkloom.sources import documents, table
 
 SPAN, OVERLAP = 354, 35
 
@@ -47,7 +47,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BI
 FROM f WHERE nth = 1
 """)
 def e3_chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return chunking.chunk_documents(docs, SPAN, OVERLAP).select("doc_id", "seq", "token_count", F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
@@ -62,7 +62,7 @@ FROM documents
 def h5_text_features(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     tokens = F.col("tokens")
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return docs.select("doc_id", "text", F.explode(F.array(tx.english_tokens(text))).alias("tokens")).select(
         "doc_id",
         F.size(tokens).cast("long").alias("n_tokens"),
@@ -82,8 +82,8 @@ SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS documents,
 FROM tf, n GROUP BY term
 """)
 def d17_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    terms = retrieval.term_statistics(docs.select(F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens")), docs.count())
+    docs = documents(spark, folder)
+    terms = retrieval.term_statistics(docs.select(F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens")), table(spark, folder, "documents").count())
     return terms.withColumn("idf", F.round("idf", 6))
 
 
@@ -122,11 +122,11 @@ def i3_dense_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), tx.english_words(F.col("text")).alias("tokens"))
     asked = table(spark, folder, "benchmark").where("item_id % 100 = 0")
     asked = asked.select(F.col("item_id").alias("query_id"), tx.english_tokens(F.col("text")).alias("tokens"))
-    return retrieval.sparse_search(chunks, asked, DEPTH, docs.count())
+    return retrieval.sparse_search(chunks, asked, DEPTH, table(spark, folder, "documents").count())
 
 
 @query(f"WITH {_SPARSE_SQL} SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank, score FROM sparse")
@@ -165,7 +165,7 @@ SELECT query_id, chunk_id, CAST(pos AS BIGINT) AS pos, score FROM k ANTI JOIN lo
 def i7_relevant(spark: SparkSession, folder: str) -> DataFrame:
     found = _sparse(spark, folder).withColumnRenamed("rank", "pos")
     # only candidates are tokenised, once: the join of an array is a barrier
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(found, "chunk_id")
+    docs = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "text").join(found, "chunk_id")
     found = docs.select("query_id", "chunk_id", "pos", "score", F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens"))
     kept = retrieval.drop_near_duplicates(retrieval.floors(found, share=0.2))
     return kept.select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), "score")

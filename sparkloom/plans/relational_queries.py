@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as tx
 from sparkloom.operators import relational, statistics, usage
 from sparkloom.plans.registry import query
-from sparkloom.sources import table
+from sparkloom.sources import documents, table
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +52,7 @@ def b5_chunks_in_space(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src3', 'src5') AND doc_id % 2 = 0")
 def b7_documents_by_payload(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     payload = F.struct("lang", "source", (F.col("doc_id") % 2 == 0).alias("even"), F.lit(None).cast("string").alias("space"))
     rows = docs.select("doc_id", payload.alias("payload"))
     found = rows.where(relational.payload_filter({"lang": ["en", "de"], "source": ["src0", "src3", "src5"], "even": True}))
@@ -141,7 +141,7 @@ WITH c AS (SELECT doc_id, count(*) AS chunk_count, count(*) FILTER (WHERE s = ''
 SELECT d.doc_id, coalesce(chunk_count, 0) AS chunk_count FROM documents d LEFT JOIN c USING (doc_id)
 """)
 def d6_chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     chunks = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("chunk"))
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     return docs.join(counts, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
@@ -173,7 +173,7 @@ SELECT path, count(*) AS num, CAST(sum(len(content)) AS BIGINT) AS total_len, av
 FROM b GROUP BY path
 """)
 def d21_block_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = table(spark, folder, "documents").select((F.col("doc_id") % 50).alias("path"), F.col("text").alias("content"))
+    blocks = documents(spark, folder).select((F.col("doc_id") % 50).alias("path"), F.col("text").alias("content"))
     return statistics.block_statistics(blocks, "path").withColumn("short_ratio", F.round("short_ratio", 9))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as tx
 from sparkloom.operators import relational, retrieval
 from sparkloom.plans.registry import query
-from sparkloom.sources import table
+from sparkloom.sources import documents, table
 
 K = 8
 DEPTH = retrieval.search_depth(K)
@@ -46,7 +46,7 @@ def i2_nearest_by_metric(spark: SparkSession, folder: str) -> DataFrame:
 
 def _points(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that have a vector, with payload; tokens once each, behind a barrier."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens"))
+    docs = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "text", "lang", F.explode(F.array(tx.english_tokens(F.col("text")))).alias("tokens"))
     points = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return docs.join(points, "chunk_id").withColumn("payload", F.struct((F.col("chunk_id") % 2).cast("int").alias("workspace_id"), "lang"))
 
@@ -102,7 +102,7 @@ def i9_recalled_memories(spark: SparkSession, folder: str) -> DataFrame:
     points = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5).alias("agent_key"))
     asked = points.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"), "agent_key")
     deleted = F.when(F.col("doc_id") % 7 == 0, F.lit("2024-01-01"))
-    items = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", deleted.alias("deleted_at"))
+    items = documents(spark, folder).select(F.col("doc_id").alias("chunk_id"), "lang", deleted.alias("deleted_at"))
     return retrieval.recall(points, asked, items, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "lang")
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
 from sparkloom.functions import text as tx
-from sparkloom.operators import chunking, documents, embedding, structure, summarize, tables
+from sparkloom.operators import chunking, embedding, structure, summarize, tables
+from sparkloom.operators import documents as parsing
 from sparkloom.plans.registry import query
-from sparkloom.sources import table
+from sparkloom.sources import documents, table
 
 _KEYWORDS = ", ".join(f"'{w}'" for w in sc.HEADING_KEYWORDS)
 _STOP = ", ".join(f"'{w}'" for w in sc.TITLE_STOP_WORDS)
@@ -32,7 +33,7 @@ n AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM l WHERE t
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     k, raw, pos = F.col("pos") % 7, F.col("raw"), F.col("pos").cast("string")
     text = (
         F.when(k == 3, F.concat(F.lit("Scope "), pos, F.lit(":"))).when(k == 4, F.concat(F.substring(raw, 1, 20), F.lit(" | x | y")))
@@ -197,7 +198,7 @@ SELECT doc, max_by(lang, (doc_id, id)) AS lang, max_by(doc_id, (doc_id, id)) AS
 """)
 def n3_reusable_summaries(spark: SparkSession, folder: str) -> DataFrame:
     letter = F.char(97 + F.col("doc_id") % 5)
-    stored = table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 3).alias("doc"), "lang", F.col("doc_id").alias("built_at"), letter.alias("id"), F.col("doc_id").alias("summary"))
+    stored = documents(spark, folder).select(F.floor(F.col("doc_id") / 3).alias("doc"), "lang", F.col("doc_id").alias("built_at"), letter.alias("id"), F.col("doc_id").alias("summary"))
     return summarize.reusable(stored, "en", "doc")
 
 
@@ -215,7 +216,7 @@ def m4_json_tables(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit('[{"grid":["a\\tb","'), size, F.lit('  2"],"said":"words"}]')))
     )
     docs = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), shapes.alias("text"), pair.alias("first"))
-    found = documents.tables_of_json(docs).join(docs.select("doc_id", "first"), "doc_id")
+    found = parsing.tables_of_json(docs).join(docs.select("doc_id", "first"), "doc_id")
     return found.select("doc_id", "table_id", F.array_join("headers", ",").alias("headers"), F.size("rows").alias("n_rows"), "first")
 
 
@@ -225,7 +226,7 @@ SELECT p_partkey AS doc_id, '$.a.note' AS path, p_name || chr(10) || p_brand AS
 def m5_json_texts(spark: SparkSession, folder: str) -> DataFrame:
     inner = F.array(F.struct(F.col("p_name").alias("note")), F.struct(F.col("p_brand").alias("note")))
     body = F.to_json(F.struct(inner.alias("a"), F.col("p_type").alias("b"), F.lit(3).alias("k")))
-    return documents.texts_of_json(table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("text")))
+    return parsing.texts_of_json(table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("text")))
 
 
 @query("""

@@ -13,7 +13,7 @@ from sparkloom.functions import scalars as sc
 from sparkloom.functions import text as tx
 from sparkloom.operators import usage
 from sparkloom.plans.registry import query
-from sparkloom.sources import table
+from sparkloom.sources import documents, table
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 SCRIPT = "ابتثجحخدذرزسشصضطفعغيإقكلمنه"[: len(LATIN)]
@@ -46,7 +46,7 @@ k AS (SELECT *, CASE WHEN coalesce(arabic + latin, 0) = 0 THEN 'unknown' WHEN ar
 
 @query(f"WITH {_TEXTS} SELECT doc_id, sha256(normal) AS normal_sha256, language, 2 * arabic > len(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS rtl FROM k")
 def h1_normalized_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", varied(F.col("text")).alias("t"))
+    docs = documents(spark, folder).select("doc_id", varied(F.col("text")).alias("t"))
     t = F.col("t")
     return docs.select("doc_id", F.sha2(tx.normalize_arabic(t), 256).alias("normal_sha256"), tx.detect_language(t).alias("language"), tx.is_rtl(t).alias("rtl"))
 
@@ -66,7 +66,7 @@ SELECT a.doc_id, language, CAST(CASE language WHEN 'arabic' THEN len(ar) WHEN 'e
 FROM a LEFT JOIN both_kinds b USING (doc_id)
 """)
 def h3_tokens_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", varied(F.col("text")).alias("t"))
+    docs = documents(spark, folder).select("doc_id", varied(F.col("text")).alias("t"))
     # the join of an array is a barrier: tokens are made once for the columns that follow
     said = docs.select("doc_id", tx.detect_language(F.col("t")).alias("language"), F.explode(F.array(tx.tokenize(F.col("t")))).alias("tokens"))
     return said.select("doc_id", "language", F.size("tokens").cast("long").alias("n_tokens"), F.length(F.array_join("tokens", "")).cast("long").alias("token_chars"))
@@ -98,7 +98,7 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n_chars, sha256(t) AS clean_sha256 FROM
 """)
 def h12_clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     dirty = F.concat(F.lit("page  12 "), F.col("text"), F.lit(" ~~~~ x == {{{ y Page 3, [---] Pages 4"))
-    docs = table(spark, folder, "documents").select("doc_id", tx.clean_text(dirty).alias("t"))
+    docs = documents(spark, folder).select("doc_id", tx.clean_text(dirty).alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("clean_sha256"))
 
 
@@ -109,7 +109,7 @@ SELECT doc_id, CAST(CASE WHEN len(parts) > 1 THEN len(parts) ELSE len(lines) END
     sha256(array_to_string(CASE WHEN len(parts) > 1 THEN parts ELSE lines END, '|')) AS sentences_sha256 FROM s
 """)
 def h14_json_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.explode(F.array(sc.json_sentences(F.col("text")))).alias("s"))
+    docs = documents(spark, folder).select("doc_id", F.explode(F.array(sc.json_sentences(F.col("text")))).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.sha2(F.array_join("s", "|"), 256).alias("sentences_sha256"))
 
 
@@ -228,7 +228,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos,
 FROM s
 """)
 def h37_line_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     kind, raw = F.col("pos") % 6, F.col("raw")
     raw = (
         F.when(kind == 1, F.concat(F.lit("2.1 "), raw)).when(kind == 2, F.upper(F.substring(raw, 1, 24))).when(kind == 3, "Scope:")
@@ -263,7 +263,7 @@ SELECT doc_id, sha256(left(chosen, {sc.SNIPPET_MOST})) AS snippet_sha256, CAST(l
 """)
 def h22_snippets(spark: SparkSession, folder: str) -> DataFrame:
     highlights = F.filter(F.split("text", tx.SENTENCE_SPLIT), lambda s: F.length(s) > 20)
-    docs = table(spark, folder, "documents").select("doc_id", sc.snippet(F.col("text"), highlights).alias("s"))
+    docs = documents(spark, folder).select("doc_id", sc.snippet(F.col("text"), highlights).alias("s"))
     return docs.select("doc_id", F.sha2("s", 256).alias("snippet_sha256"), F.length("s").alias("n_chars"))
 
 

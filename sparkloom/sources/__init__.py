@@ -14,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few pieces dealt out to all cores, for work that costs more than moving them; a table of enough pieces stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, ext, text) of text files, one row for each; other extensions are left out, as are empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -225,3 +225,46 @@ def test_text_documents(spark, tmp_path):
     (tmp_path / "c.csv").write_text("a,b")
     got = sources.text_documents(spark, str(tmp_path)).collect()
     assert sorted((r["ext"], r["text"]) for r in got) == [("csv", "a,b"), ("txt", "hello")]
+
+
+def test_points_are_laid_out_by_tenant_and_space(spark, tmp_path):
+    rows = [(i, f"w{i % 2}", "s" if i % 3 else None, [float(i)]) for i in range(12)]
+    points = spark.createDataFrame(rows, "chunk_id long, workspace_id string, space string, vector array<double>")
+    retrieval.write_points(points, str(tmp_path / "points"))
+    stored = spark.read.parquet(str(tmp_path / "points"))
+    assert stored.count() == 12 and stored.where("workspace_id = 'w1' AND space = 's'").count() == 4
+    plan = stored.where("workspace_id = 'w1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(workspace_id" in plan
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, folder):
+    few = sources.table(spark, folder, "documents").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert sources.spread(few).rdd.getNumPartitions() == cores
+    many = few.repartition(cores + 3)
+    assert sources.spread(many) is many
+
+
+def test_long_lists_are_joined(spark):
+    frame = spark.range(5000).withColumnRenamed("id", "k")
+    wanted = list(range(0, 4000, 2)) + [7, 7]
+    assert relational.any_of(frame, "k", wanted).count() == 2001
+    assert relational.any_of(frame, "k", [1, 2, 9999]).count() == 2 and relational.any_of(frame, "k", []).count() == 0
+
+
+def test_delivery_stream_splits_sinks_once(spark, tmp_path):
+    """Entries of a file stream are dispatched in micro-batches; a second run over the same files gives nothing new."""
+    rows = [(f"{i}", "click" if i % 3 else "odd", "w", None, i % 7 == 0) for i in range(50)]
+    frame = spark.createDataFrame(rows, "id string, type string, workspace_id string, data string, failed boolean")
+    made = frame.select("failed", streaming.envelope(F.col("id"), F.col("type"), F.col("workspace_id"), F.current_timestamp(), F.col("data")).alias("ce"), F.lit(5).alias("delivery_count"))
+    made.coalesce(2).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def sinks(batch, number):
+        done = streaming.dispatched(batch, ["click"])
+        seen.extend((r["id"], r["outcome"]) for r in done.select("id", "outcome").collect())
+
+    for _ in range(2):
+        stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+        streaming.run_split(stream, str(tmp_path / "checkpoint"), sinks).awaitTermination()
+    assert len(seen) == 50 and dict(seen)["0"] == "skipped" and dict(seen)["7"] == "dead_letter" and dict(seen)["1"] == "handled"
