@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkloom.llm.textops import Slice, slices
+from sparkloom.llm.textops import SLICE_BYTES, Slice, slices
 
 #: Rows per Arrow batch: texts differ a lot in length, so batches are kept short.
 BATCH_ROWS = 1000
@@ -23,17 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer pieces than there are cores is dealt out to all of them."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a local one where it names none (tests)."""
+    """The checkpoint folder that the session names; a session of one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    folder = os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints")
-    return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store its path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -44,6 +67,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and broadcasts of frames that are done with.
+
+    The cleaner goes by the driver's garbage collections, which a driver with
+    little to do puts off for long; so a job of many steps asks for one between
+    them, and neither files nor the driver's heap pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint_dealt(df: DataFrame) -> DataFrame:
     """``checkpoint`` of a frame whose last step is ``repartition``, that later joins and groupings on its key know of.
 
@@ -63,7 +97,7 @@ def append_columns(
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[Slice], list]],
-    slice_bytes: int = 2 << 20,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Add columns computed from a text column, a slice of documents at a time.
 

@@ -27,12 +27,12 @@ cost links.
 
 Defined results: null and empty texts have the empty set and link with nothing.
 Rows that repeat give a row each.  A document without an id is linked like any
-other; its component is the least id in it, or null.  Only id and text are read.
+other; its component is the least id in it, or null.  Only id, text and columns to carry are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 from math import comb, isqrt
@@ -42,8 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkloom.llm.common import BATCH_ROWS, checkpoint, partitions, table
+from sparkloom.llm.common import BATCH_ROWS, checkpoint, documents, partitions, release, table
 from sparkloom.llm.components import components
 from sparkloom.llm.textops import mix, shingle_sets, slices
 
@@ -62,7 +63,12 @@ BLOCK = 1024
 PROBE, MEMBER = 1, 2
 #: Words of sketches compared at once.
 CELLS = 1 << 20
-FILTER_BITS = 1 << 23
+#: Most bits of the filter of documents whose shingles are needed (32 MB); it has 64 for each set below that.
+MOST_FILTER_BITS = 1 << 28
+#: Bytes of shingles that one cell of the verification holds, about.
+CELL_BYTES = 64 << 20
+#: Groups of copies whose component is sent to all tasks; of the rest none holds more than one part in as many.
+HEAVY_KEYS = 1024
 
 
 def overlap_needed(n, m):
@@ -118,9 +124,9 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- pass 1: sets and frequent shingles
 
+#: Columns of pass 1 behind the id and what is carried along with it.
 _SCAN = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("key", T.LongType()),
         T.StructField("sketch", T.BinaryType()),
@@ -131,46 +137,47 @@ _SCAN = T.StructType(
 )
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    held: list[np.ndarray] = []
-    size = 0
+def _scan(fields: list[T.StructField]):
+    """Rows (id, what is carried, set) of documents (id, text, what is carried), and reports of frequent shingles."""
+    schema = to_arrow_schema(T.StructType(fields + _SCAN.fields))
+    width = len(fields)
 
-    def report() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        keep = counts >= REPORT_LEAST
-        n = int(keep.sum())
-        empty = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
-            names=_SCAN.names,
-        )
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
 
-    for batch in batches:
-        for lo in range(0, batch.num_rows, BATCH_ROWS):
-            rows = batch.slice(lo, BATCH_ROWS)
-            n, key, bits, small = [], [], [], []
-            for _, tokens in _sets(rows):
-                n.append(len(tokens))
-                key.append(set_key(tokens) if len(tokens) else None)
-                bits.append(sketch(tokens) if len(tokens) else None)
-                small.append(small_sketch(bits[-1], len(tokens)) if len(tokens) else None)
-                if len(tokens) and key[-1] not in seen:
-                    seen.add(key[-1])
-                    held.append(tokens)
-                    size += len(tokens)
-            none = pa.nulls(rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())]
-                + [pa.array(x, pa.binary()) for x in (bits, small)]
-                + [none, none],
-                names=_SCAN.names,
-            )
-            if size >= CHUNK_TOKENS:
-                yield report()
-                held, size = [], 0
-    if held:
-        yield report()
+        def out(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        def report() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = counts >= REPORT_LEAST
+            blank = pa.nulls(int(keep.sum()))
+            return out([blank] * (width + 4) + [pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                rows = batch.slice(lo, BATCH_ROWS)
+                n, key, bits, small = [], [], [], []
+                for _, tokens in _sets(rows):
+                    n.append(len(tokens))
+                    key.append(set_key(tokens) if len(tokens) else None)
+                    bits.append(sketch(tokens) if len(tokens) else None)
+                    small.append(small_sketch(bits[-1], len(tokens)) if len(tokens) else None)
+                    if len(tokens) and key[-1] not in seen:
+                        seen.add(key[-1])
+                        held.append(tokens)
+                        size += len(tokens)
+                none = pa.nulls(rows.num_rows)
+                yield out([rows.column(0), *rows.columns[2:], n, key, bits, small, none, none])
+                if size >= CHUNK_TOKENS:
+                    yield report()
+                    held, size = [], 0
+        if held:
+            yield report()
+
+    return run
 
 
 # ---------------------------------------------------------------- pass 2: keys of lists
@@ -451,23 +458,28 @@ def _cross(best: bool):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]):
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        scanned = checkpoint(self.rows.mapInArrow(_scan, _SCAN))
-        self.members = scanned.where("token is null").select("doc_id", "n", "key", "sketch", "small")
+        self.carry = list(carry)
+        carried = docs.select(*carry).schema.fields
+        scan = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+        fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(f.name, f.dataType) for f in carried]]
+        scanned = checkpoint(scan.mapInArrow(_scan(fields), T.StructType(fields + _SCAN.fields)))
+        self.members = scanned.where("token is null").select("doc_id", *carry, "n", "key", "sketch", "small")
         self.tokens = scanned.where("token is not null").select("token", "count")
         self.sets = checkpoint(
             self.members.where("key is not null")
             .groupBy("key")
-            .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "small")])
+            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sketch", "small")])
         )
 
     def order_and_boundary(self):
         hot = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HOT_TOKENS)
         got = hot.toArrow()
         tokens, counts = got["token"].to_numpy().view(np.uint64), got["count"].to_numpy()
-        total = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        total, n_sets = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        self.filter_bits = min(MOST_FILTER_BITS, 1 << max(16, (64 * n_sets).bit_length()))
         length = 1 + float((counts.astype(float) ** 2).sum()) / max(1, total)
         boundary = next((n for n in range(1, MOST_LIGHT) if subset_cost(n) > prefix_length(n) * length), MOST_LIGHT)
         return self.spark.sparkContext.broadcast((tokens, counts)), boundary  # HOT_TOKENS pairs of numbers
@@ -482,18 +494,19 @@ class _Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of checkpointed pairs."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = self.sets.select("key", "rep").join(ends, "key", "left_semi").select("rep")
-        spot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+        wanted = checkpoint(self.sets.select("key", "rep", "n").join(ends, "key", "left_semi"))
+        size = self.filter_bits
+        spot = F.pmod(F.xxhash64("rep"), F.lit(size))
         word = wanted.groupBy(F.floor(spot / 64).cast("int").alias("word"))
-        bits = word.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-        got = bits.toArrow()  # FILTER_BITS bits at most: documents outside are surely not needed
-        mask = np.zeros(FILTER_BITS // 64, np.int64)
+        bits = word.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {size}) % 64 as int))")).alias("bits"), F.sum("n").alias("n"))
+        got = bits.toArrow()  # MOST_FILTER_BITS bits at most: documents outside are surely not needed
+        mask = np.zeros(size // 64, np.int64)
         mask[got["word"].to_numpy()] = got["bits"].to_numpy()
         shared = self.spark.sparkContext.broadcast(mask)
         schema = T.StructType(
             [T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("tokens", T.BinaryType())]
         )
-        rows = self.rows.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+        rows = self.rows.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
 
         def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -516,18 +529,24 @@ class _Join:
                     )
 
         # pairs lie in the cells of a grid of blocks of sets, and each set goes once to every cell that needs it
-        side = max(1, isqrt(2 * partitions(self.spark)))
+        shingles = sum(got["n"].to_pylist())
+        side = max(1, isqrt(2 * partitions(self.spark)), -(-2 * 8 * shingles // CELL_BYTES))
         block = {c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("a", "b")}
         cells = pairs.select("a", "b", F.least(*block.values()).alias("i"), F.greatest(*block.values()).alias("j"))
         needed = cells.select(F.explode(F.array("a", "b")).alias("key"), F.col("i").alias("p"), F.col("j").alias("q")).distinct()
-        needed = needed.join(self.sets.select("key", "rep"), "key")
+        needed = needed.join(wanted.select("key", "rep"), "key")
         found = rows.mapInArrow(some, schema).withColumnRenamed("key", "own")
         # a set all of whose documents lack an id has none as its representative
         placed = found.join(needed, (F.col("own") == F.col("key")) & found["rep"].eqNullSafe(needed["rep"])).select("p", "q", "key", "tokens")
-        return checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar, _CROSS))
+        release(self.spark)
+        links = checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar, _CROSS))
+        shared.unpersist()
+        return links
 
     def grouped(self, links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        release(self.spark)
+        return groups
 
     def open_pairs(self, member: DataFrame, groups: DataFrame, sketch: str, best: bool) -> DataFrame:
         """Plausible pairs of different components in lists (list, key)."""
@@ -561,6 +580,8 @@ class _Join:
         buckets = 4 * n
         entries = self.rows.mapInArrow(_index(order, boundary, buckets), _ENTRIES)
         lists = checkpoint(entries.repartition(n, "bucket").mapInArrow(_lists, _LISTS))
+        order.unpersist()
+        release(self.spark)
         stars = checkpoint(self.plausible(lists.where("list is null").select("a", "b").distinct()))
         links = self.verify(stars)
         groups = self.grouped(links)
@@ -578,19 +599,39 @@ class _Join:
         if not rest.isEmpty():
             groups = self.grouped(links.unionByName(self.verify(rest)))
 
-        named = self.members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "__group", F.coalesce("component", "key")
-        )
-        smallest = named.where("__group is not null").groupBy("__group").agg(F.min("doc_id").alias("component_id"))
-        return named.join(smallest, "__group", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        placed = checkpoint(self.sets.select("key", "rep", "copies").join(groups.withColumnRenamed("node", "key"), "key", "left"))
+        linked = placed.where("component is not null")
+        least = checkpoint(linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")))
+        named = looked_up(linked, least, "component", "size").select("key", "component", "component_id", "copies")
+        alone = placed.where("component is null").select("key", F.col("key").alias("component"), F.col("rep").alias("component_id"), "copies")
+        named = checkpoint(named.unionByName(alone))
+        rows = self.members.drop("sketch", "small")
+        blank = rows.where("key is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+        full = looked_up(rows.where("key is not null"), named, "key", "copies")
+        return full.select(blank.columns).unionByName(blank).select(
+            "doc_id", *self.carry, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group")
         )
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; the id is taken as a long."""
-    return _Join(docs, id_col, text_col).run()
+def looked_up(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows with the columns of ``values``, which has each key once and the number of its rows as ``weight``.
+
+    The keys of most rows go to all tasks, so that their rows stay where they are.
+    """
+    heavy = values.orderBy(F.desc(weight), key).limit(HEAVY_KEYS)
+    there = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values, key)
+    return there.unionByName(rest)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_shingles and component_id of each row; the id is taken as a long.
+
+    ``group`` names the component also where no document in it has an id; it is
+    null for a document without words.
+    """
+    return _Join(docs, id_col, text_col, carry).run()
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(documents(spark, sf_dir)).drop("group")
