@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -55,12 +55,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class PrefixHash:
-    """Position-independent 64-bit hash of any substring of a byte array."""
+    """Position-independent 64-bit hash of any run of an array of bytes, or of 64-bit hashes (of words, say)."""
 
     def __init__(self, data: np.ndarray):
         self.prefix = np.empty(len(data) + 1, _U)
         self.prefix[0] = 0
-        np.cumsum(_BYTE_WEIGHT[data] * powers(_BASE, len(data) + 1)[:-1], out=self.prefix[1:])
+        weight = _BYTE_WEIGHT[data] if data.dtype == np.uint8 else data
+        np.cumsum(weight * powers(_BASE, len(data) + 1)[:-1], out=self.prefix[1:])
         self.inverse = powers(_BASE_INVERSE, len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
