@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import append_columns, checkpoint, table
+from sparkloom.llm.common import append_columns, checkpoint, documents
 from sparkloom.llm.textops import Slice
 
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
@@ -50,10 +50,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_NATIONAL = re.compile(r"(?<![\w+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
+# what stands before these is looked at afterwards: patterns that begin with a sign are searched faster
+_NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
 _SPELLED = re.compile(r"[\[(]at[\])]|[\[(]AT[\])]")
 _ASSIGNED = re.compile(r"[=:][ \t]?[\"']?([A-Za-z0-9+/_-]{8,})")
-_ADDRESSED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\.? ([^\W\d_]+(?: [^\W\d_]+)?)")
+_ADDRESSED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\.? ([^\W\d_]+(?: [^\W\d_]+)?)")
 
 #: Words that announce a kind, looked for in the text just before a span (English, French, German, Spanish).
 GAZETTEER = {
@@ -88,7 +89,8 @@ GIVEN = (
     "María", "Marie", "Mark", "Martin", "Mary", "Matthias", "Michael", "Miguel", "Nicolas", "Olivia", "Pablo", "Patricia", "Paul",
     "Pedro", "Peter", "Philippe", "Pierre", "Robert", "Sarah", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "William", "Wolfgang",
 )
-_GIVEN = re.compile(r"\b(?:" + "|".join(GIVEN) + r") [^\W\d_a-z][^\W\d_]+")
+#: A capitalised word before another one; whether it is a given name is looked up.
+_CAPITALISED = re.compile(r"([A-ZÀ-ÖØ-Þ][^\W\d_]+) (?=[^\W\d_a-zß-ÿ]([^\W\d_]+))")
 _MIXED = re.compile(r"[0-9][^0-9]|[^0-9][0-9]|[a-z][A-Z]")
 _FIRST_WORD = re.compile(r"[^\W\d_]+")
 GIVEN_SET = frozenset(GIVEN)
@@ -149,6 +151,11 @@ def _has_digit(text: str) -> bool:
     return _DIGIT.search(text) is not None
 
 
+def _begins(text: str, at: int, beside: str) -> bool:
+    """Whether no letter, digit or sign of ``beside`` stands before a place."""
+    return at == 0 or not (text[at - 1].isalnum() or text[at - 1] in beside)
+
+
 def _entropy(s: str) -> float:
     _, n = np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_counts=True)
     p = n / n.sum()
@@ -159,7 +166,7 @@ def candidates(text: str, base: list[tuple[int, int, int]], failed: list[tuple[i
     """(kind, start, end, votes) of spans that no base span touches; votes as a bit mask over VOTES."""
     found = [(k, a, b, False) for k, a, b in failed]
     if _has_digit(text):
-        found += [(3, *m.span(), True) for m in _NATIONAL.finditer(text)]
+        found += [(3, *m.span(), True) for m in _NATIONAL.finditer(text) if _begins(text, m.start(), "_+")]
     for m in _SPELLED.finditer(text):
         left = re.search(r"[\w.+-]{1,64} ?\Z", text[max(0, m.start() - 65) : m.start()])
         right = re.match(r" ?[\w-]{1,64}(?: ?[\[(](?:dot|DOT)[\])] ?[\w-]{1,64}|\.[\w-]{1,64})+", text[m.end() : m.end() + 260])
@@ -170,10 +177,8 @@ def candidates(text: str, base: list[tuple[int, int, int]], failed: list[tuple[i
             token = m[1]
             strict = len(token) >= 16 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
             found.append((5, *m.span(1), strict))
-    for m in _ADDRESSED.finditer(text):
-        found.append((4, *m.span(1), m[1].istitle()))
-    for m in _GIVEN.finditer(text):
-        found.append((4, *m.span(), True))
+    found += [(4, *m.span(1), m[1].istitle()) for m in _ADDRESSED.finditer(text) if _begins(text, m.start(), "_")]
+    found += [(4, m.start(), m.end(2), True) for m in _CAPITALISED.finditer(text) if m[1] in GIVEN_SET and _begins(text, m.start(), "")]
     if not found:
         return []
     # base spans as maximal runs, so that one look-up tells whether a candidate touches any
@@ -381,5 +386,5 @@ def personal_data(docs: DataFrame, model: SpanModel, text_col: str = "text", red
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return personal_data(docs, train(docs)).drop("text")
