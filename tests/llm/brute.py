@@ -86,3 +86,20 @@ def personal_data(text: str | None):
     card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
     return {"email": email, "ip": ip, "card": card, "phone": phone}
+
+
+def repeated_words(texts, length):
+    """Words of each text that lie in a run of ``length`` words that another text has too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    where: dict[tuple, set[int]] = {}
+    for i, ws in enumerate(split):
+        for k in range(len(ws) - length + 1):
+            where.setdefault(tuple(ws[k : k + length]), set()).add(i)
+    out = []
+    for ws in split:
+        hit = [False] * len(ws)
+        for k in range(len(ws) - length + 1):
+            if len(where[tuple(ws[k : k + length])]) > 1:
+                hit[k : k + length] = [True] * length
+        out.append(sum(hit))
+    return out

@@ -142,14 +142,17 @@ def test_suffix_dedup_brute_force(spark, keep, chunk):
         parts = [" ".join(words(rng, rng.randrange(30))) for _ in range(3)]
         parts.insert(1, rng.choice(passages)[rng.randrange(5) :])
         texts.append(" é ".join(parts))
-    texts += ["ab" * 200, "", None, texts[0], texts[0]]
+    texts += ["ab" * 200, "", None, texts[0], texts[0], " ".join([*words(rng, 15)] * 3), "\n".join(words(rng, 25))]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = suffix_dedup.suffix_dedup(frame, keep=keep, length=60, gram=20, chunk_bytes=chunk).orderBy("doc_id").collect()
     assert [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got] == brute.suffix_dedup(texts, 60, keep)
+    for passage in (12, 20):
+        frame_got = suffix_dedup.suffix_dedup(frame, keep=keep, length=60, gram=20, chunk_bytes=chunk, passage=passage).orderBy("doc_id").collect()
+        assert [r["n_repeat_words"] for r in frame_got] == brute.repeated_words(texts, passage)
 
 
 def test_suffix_dedup_query(spark, folder, docs):
-    got = {r["doc_id"]: tuple(r)[1:] for r in registry.QUERIES["op8_suffix_dedup"](spark, folder).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in registry.QUERIES["op8_suffix_dedup"](spark, folder).collect()}
     rows = docs.select("doc_id", "text").collect()
     wanted = brute.suffix_dedup([r["text"] for r in rows], 400, "none")
     assert got == {r["doc_id"]: w for r, w in zip(rows, wanted, strict=True)}
@@ -160,9 +163,14 @@ def test_suffix_dedup_cuts_long_documents(spark, monkeypatch):
     rng = random.Random(9)
     shared = " ".join(words(rng, 200))
     for text in (" ".join(words(rng, 300)) + shared, shared + " ".join(words(rng, 50))):
-        cut = suffix_dedup.segments(pa.array([text]), 60, 20)
+        cut = suffix_dedup.segments(pa.array([text]), suffix_dedup.Unit(False, 60, 20))
         assert [int(s["first"]) for s in cut[1:]] == [int(s["last"]) + 1 for s in cut[:-1]]
         assert (int(cut[0]["first"]), int(cut[-1]["last"])) == (0, len(text) - 60)
+        part = next(iter(suffix_dedup.slices(pa.array([text]))))
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 20)
+        whole = suffix_dedup._word_hashes(part)
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+        assert all(np.array_equal(a, b) for a, b in zip(suffix_dedup._word_hashes(part), whole, strict=True))
 
 
 def test_packing_round_trip(spark, docs, odd_docs):
@@ -201,6 +209,29 @@ def test_personal_data_base_and_redaction(spark, docs, odd_docs):
         assert not r["spans"] or r["clean"] != r["text"]
 
 
+def test_personal_data_added_spans(spark):
+    """Names, secrets, spelled-out addresses and national numbers among look-alikes: what is added is right, and most is added."""
+    rng = random.Random(41)
+    wrong, right, rows = set(), set(), []
+    for i in range(400):
+        token = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        made = [
+            (f"api_key = {token} ok", token, True), (f"password: \"{token}\" set", token, True), ("Signed by Dr. Jane Rowe today", "Jane Rowe", True),
+            (f"call ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} now", None, True), ("ratio:abcdefgh words", "abcdefgh", False),
+            ("see key=configuration file", "configuration", False), ("number 2123465659789240 here", "2123465659789240", False),
+        ]
+        text, span, good = rng.choice(made)
+        span = span or text[text.index("(") : text.index(" now")]
+        lead = " ".join(words(rng, 12)) + " "
+        rows.append((i, lead + text))
+        begin = len(lead) + text.index(span)
+        (right if good else wrong).add((i, begin, begin + len(span)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.personal_data(frame, pii.train(frame)).collect()
+    got = {(r["doc_id"], int(a), int(b)) for r in found for s in r["spans"].split(",") if s for _, a, b in [s.split(":")]}
+    assert len(got & right) >= 0.95 * len(right) and len(got - right) <= 0.05 * len(got) and not got & wrong
+
+
 def test_decontamination(spark, odd_docs):
     rng = random.Random(11)
     item = " ".join(words(rng, 60, 5000))
@@ -250,6 +281,33 @@ def test_decontamination_brute_force(spark):
         assert (d, i) in least or r["edits"] <= (len(passage) + r["edits"]) * 4 // 80
 
 
+def test_decontamination_of_runs_and_repeats():
+    """Long runs of a short period, and phrases that repeat in item and text, cost no more than other text."""
+    import time
+
+    rng = random.Random(19)
+    item = " ".join(words(rng, 20)) + " " * 60 + " ".join(words(rng, 20)) + "-" * 200 + " ".join(words(rng, 10))
+    phrase = " ".join(words(rng, 3))
+    index = decontaminate.Index.of([0, 1], [item, " ".join([phrase] * 30)])
+    begun = time.process_time()
+    for text, found in [(" " * 1_000_000, set()), ("-" * 1_000_000, set()), ("ab" * 500_000, set()), (f"x {item} y", {0}), (f"{phrase} " * 2000, {1})]:
+        got = [m for part in decontaminate.slices(pa.array([text])) for m in decontaminate.matches(part, index)]
+        assert {m[1] for m in got} == found
+    assert time.process_time() - begun < 20
+
+
+def test_decontamination_counts_by_row(spark, monkeypatch):
+    """Rows are judged one by one, without an id, over all blocks of the benchmark."""
+    rng = random.Random(29)
+    items = [(i, " ".join(words(rng, 40, 5000))) for i in range(6)]
+    rows = [(1, f"x {items[0][1]} y {items[5][1]}"), (1, "clean text"), (None, items[2][1]), (None, None)]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (16 << 20, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = [(r["doc_id"], r["n"]) for r in decontaminate.count_items(frame, bench, "n").collect()]
+        assert sorted(got, key=str) == sorted([(1, 2), (1, 0), (None, 1), (None, 0)], key=str)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [(i, " ".join(words(rng, 40, 5000))) for i in range(20)]
@@ -259,6 +317,44 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(20)}
 
 
+def test_empty_tables(spark, folder, odd_docs):
+    """Every operator gives an empty table of its columns for an empty table."""
+    none = odd_docs.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([], "url string, bad int")
+    made = [
+        quality_rules.quality_rules(none, clean_col="clean"), jaccard_join.jaccard_components(none), pii.personal_data(none, pii.train(none)),
+        decontaminate.contaminated(none, table(spark, folder, "benchmark")), packing.pack(none, packing.default_tokenizer()),
+        suffix_dedup.suffix_dedup(none), url_filter.url_filter(pages, outcomes),
+    ]
+    for frame in made:
+        assert frame.columns and frame.count() == 0
+
+
+def test_clashing_names(spark, odd_docs):
+    """Columns of the input that bear the names of results are replaced or left alone, never mixed up."""
+    clash = odd_docs.withColumns({c: F.lit("x") for c in ("component_id", "n_shingles", "start", "length", "n_bytes", "spans", "kept", "group", "n", "key")})
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(clash).where("doc_id IN (5, 6, 7)").collect()} == {5}
+    assert {r["n_bytes"] for r in suffix_dedup.suffix_dedup(clash).where("doc_id = 10").collect()} == {3000}
+    assert packing.pack(clash, packing.default_tokenizer()).where("length > 0").count() > 13
+    assert {r["kept"] for r in quality_rules.quality_rules(clash).collect()} <= {True, False}
+    assert "x" not in {r["spans"] for r in pii.personal_data(clash, pii.train(clash)).collect()}
+
+
+def test_samples_are_bounded(spark):
+    """An id with many rows takes no more than its class's places, and a huge text none."""
+    from sparkloom.llm import labelled
+
+    rows = [(1, f"copy {i}") for i in range(200)] + [(i, f"text {i}") for i in range(2, 40)] + [(50, "z" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 40), 50]], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", F.lit(True), 10, 16_000).collect()
+    count = [sum(r["y"] == y for r in got) for y in (0, 1)]
+    assert count[0] in (9, 10) and count[1] == 10 and max(len(r["text"]) for r in got) < 100
+    few = labelled.sample(docs, labels, "quality", F.lit(True), 100, 160).collect()
+    assert sum(len(r["text"]) for r in few if r["y"] == 0) <= 160
+
+
 def marked(spark, n=240):
     """Documents of which every third has marked words, and their labels."""
     rng = random.Random(17)
@@ -371,6 +467,52 @@ def test_url_filter_rules_and_reputation(spark):
     assert url_filter.url_filter(pages, bad.limit(0)).where("verdict = 'block'").count() == 3
 
 
+def test_url_filter_equals_sql_where_reputation_blocks(spark, tmp_path):
+    """Hosts good and bad under suffixes of one and two labels, against the query's SQL."""
+    import duckdb
+
+    rng = random.Random(31)
+    pages, labels = [], []
+    for host, rate, n in [("bad.co.uk", 0.9, 60), ("www.bad.co.uk", 0.8, 30), ("good.co.uk", 0.05, 80), ("spam.github.io", 1.0, 40),
+                          ("me.github.io", 0.0, 40), ("a.mixed.example.org", 0.5, 30), ("co.uk", 0.4, 5), ("one", 0.9, 9), ("fine.example.com", 0.1, 70)]:
+        for _ in range(n):
+            doc = len(labels)
+            pages.append((doc, f"https://{host}/x/{doc}.html"))
+            labels.append((doc, 1, int(rng.random() < rate)))
+        pages.append((len(labels) + 10_000, f"http://{host}/not/labelled"))
+    pages += [(99_999, None), (99_998, "nothing")]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(map(repr, r)) for r in registry.QUERIES["op9_url_filter"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(tuple(map(repr, r)) for r in con.sql(registry.SQL["op9_url_filter"]).fetchall())
+    verdicts = {r[1].strip("'"): r[4].strip("'") for r in got if r[3] == "None"}
+    assert verdicts["bad.co.uk"] == verdicts["spam.github.io"] == "block"
+    assert verdicts["good.co.uk"] == verdicts["me.github.io"] == verdicts[""] == "allow"
+
+
+def test_public_suffixes(spark):
+    hosts = ["www.bbc.co.uk", "bbc.co.uk", "co.uk", "x.y.example.com", "example.com", "com", "me.github.io", ""]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter._levels(frame, url_filter.SUFFIXES).collect()}
+    assert got["www.bbc.co.uk"] == got["bbc.co.uk"] == ("bbc.co.uk", "co.uk") and got["co.uk"] == ("co.uk", "co.uk")
+    assert got["x.y.example.com"] == ("example.com", "com") and got["com"] == ("com", "com") and got["me.github.io"] == ("me.github.io", "github.io")
+
+
+def test_posterior_of_a_rate(spark):
+    """Against the beta distribution's own sums for whole parameters."""
+    from math import comb
+
+    cases = [(1, 1), (3, 5), (40, 60), (2, 30), (400, 600)]
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    for (a, b), r in zip(cases, frame.select(url_filter.exceeds(F.col("a"), F.col("b"), 0.35).alias("p")).collect(), strict=True):
+        n = a + b - 1
+        exact = sum(comb(n, j) * 0.35**j * 0.65 ** (n - j) for j in range(a))
+        assert abs(r["p"] - exact) < 1e-4
+
+
 def test_pipeline(spark, folder):
     docs = table(spark, folder, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -384,6 +526,22 @@ def test_pipeline(spark, folder):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_judges_rows_of_one_id_and_of_none(spark, folder):
+    """The near-duplicate stage against brute force over rows: different texts of one id, rows without one, names that clash."""
+    rng = random.Random(37)
+    base = [" ".join(words(rng, 80, 5000)) for _ in range(4)]
+    near = lambda t, k: " ".join(w if i != k else "changed" for i, w in enumerate(t.split()))
+    rows = [(5, base[0]), (5, base[1]), (3, near(base[0], 9)), (None, base[2]), (None, near(base[2], 3)), (8, base[2]), (None, base[3]), (8, base[2]), (9, ""), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row_h1": F.lit("x"), "group": F.lit(1), "n": F.lit(2), "toxicity": F.lit(0)})
+    kept = corpus_pipeline.keep_one_of_similar(spark, frame, folder)
+    assert kept.columns == frame.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, base[1]), (3, near(base[0], 9)), (8, base[2]), (None, base[3]), (9, ""), (4, None)], key=str)
+    bench = table(spark, folder, "benchmark").first()["text"]
+    leaky = spark.createDataFrame([(1, bench), (1, base[0]), (None, bench)], "doc_id long, text string")
+    assert [r["text"] for r in corpus_pipeline.drop_benchmark_leaks(spark, leaky, folder).collect()] == [base[0]]
+
+
 def test_pipeline_stages_on_odd_and_empty_tables(spark, folder, odd_docs):
     frame = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("extra", F.lit(1))
     for docs in (frame, frame.limit(0)):
