@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BATCH_ROWS, append_columns, table
+from sparkloom.llm.common import BATCH_ROWS, append_columns, documents, table
 from sparkloom.llm.textops import LOWER_ASCII, SEPARATOR, Slice, slices
 
 Q = 12
@@ -357,4 +357,4 @@ def _scanner(shared, schema: T.StructType):
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import append_columns, remainder, table
+from sparkloom.llm.common import append_columns, documents, remainder
 from sparkloom.llm.labelled import byte_ngrams, first_rows, fitted, spaced, text_slices
 from sparkloom.llm.textops import LOWER_ASCII, PrefixHash, Slice, mix
 
@@ -287,7 +287,7 @@ def _labelled(part: Slice, words: Words, marginal: np.ndarray, languages: list[s
 
 
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = train(docs.select("doc_id", "text", "lang"), remainder("doc_id", 5) != 0)
     return predict(docs.select("doc_id", "text"), model).select(
         "doc_id",

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BATCH_ROWS, checkpoint, table
+from sparkloom.llm.common import BATCH_ROWS, checkpoint, documents
 from sparkloom.llm.textops import PrefixHash, Slice, slices
 
 SEQUENCE = 4096
@@ -221,4 +221,4 @@ def pack(
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(documents(spark, sf_dir), default_tokenizer())

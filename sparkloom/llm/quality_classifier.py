@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import append_columns, remainder, table
+from sparkloom.llm.common import append_columns, documents, remainder, table
 from sparkloom.llm.labelled import byte_ngrams, fitted, sample, spaced, text_slices, texts_and_labels
 from sparkloom.llm.textops import PrefixHash, Slice
 
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Embeddings, text_col: str = "text", score_col:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1)
     return score(docs, model).select(
         "doc_id",

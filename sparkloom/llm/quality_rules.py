@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import append_columns, table
+from sparkloom.llm.common import append_columns, documents
 from sparkloom.llm.textops import LOWER_ASCII, SEPARATOR, PrefixHash, Slice, mix
 
 MIN_WORDS = 50
@@ -160,7 +160,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", clean_col: str | None
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality_rules(docs).drop("text")
 
 
