@@ -103,3 +103,32 @@ def repeated_words(texts, length):
                 hit[k : k + length] = [True] * length
         out.append(sum(hit))
     return out
+
+
+def ngram_buckets(text: str, sizes, bits: int, lower: bool = False) -> list[int]:
+    """Buckets of the byte n-grams inside words, with a blank at one end or none, one by one."""
+    raw = text.encode()
+    raw = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if lower and 65 <= b <= 90 else b for b in raw)
+    padded, out = b" " * 8 + raw + b" " * 8, []
+    for n in sizes:
+        for k in range(len(padded) - n + 1):
+            gram = padded[k : k + n]
+            if 32 in gram[1:-1] or (gram[0] == gram[-1] == 32):
+                continue
+            value = (int.from_bytes(gram, "little") + (n << 56)) * 0x9E3779B97F4A7C15 % (1 << 64)
+            value = (value ^ (value >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            out.append(value >> (64 - bits))
+    return out
+
+
+def toxicity_score(text, model, sizes, bits: int) -> float:
+    total = model.bias + sum(float(model.weight[b]) for b in set(ngram_buckets(text or "", sizes, bits, True)))
+    return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+
+
+def quality_score(text, model, word_bucket, sizes, bits: int, span: int) -> float:
+    words = WORD.findall(text or "")
+    buckets = [word_bucket(w) for w in words] + ngram_buckets(text or "", sizes, bits)
+    buckets += [(1 << bits) + k - 1 for k in range(1, span + 1) for i in range(k, len(words)) if words[i] == words[i - k]]
+    mean = sum(float(model.folded[b]) for b in buckets) / max(1, len(buckets))
+    return 1 / (1 + np.exp(-np.clip(model.bias + mean, -60, 60)))

@@ -382,6 +382,46 @@ def test_classifiers_learn_and_score_anything(spark, odd_docs, module, label):
     assert module.score(frame.limit(0), model).count() == 0
 
 
+def test_classifier_scores_one_by_one(spark, docs, odd_docs):
+    """Scores of whole texts against features counted one by one, with the same model."""
+    from sparkloom.llm.textops import PrefixHash
+
+    frame, labels = marked(spark)
+    rows = docs.where("length(text) < 4000").select("doc_id", "text").limit(40).unionByName(odd_docs.where("doc_id < 8").select("doc_id", "text"))
+    word = lambda w: int(PrefixHash(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([len(w.encode())]))[0] >> np.uint64(64 - quality_classifier.BITS))
+    toxic = toxicity.train(frame, labels, "toxic", F.lit(True))
+    good = quality_classifier.train(frame, labels, "quality", F.lit(True))
+    for r in toxicity.score(rows, toxic).collect():
+        assert r["score"] == pytest.approx(brute.toxicity_score(r["text"], toxic, toxicity.NGRAMS, toxicity.BITS), abs=1e-5)
+    for r in quality_classifier.score(rows, good).collect():
+        wanted = brute.quality_score(r["text"], good, word, quality_classifier.NGRAMS, quality_classifier.BITS, quality_classifier.REPEAT_SPAN)
+        assert r["score"] == pytest.approx(wanted, abs=1e-4)
+
+
+def test_a_text_of_megabytes(spark, folder):
+    """One text of four megabytes among small ones goes through every operator whole."""
+    rng = random.Random(43)
+    lines = [" ".join(words(rng, 11, 50_000)) + "." for _ in range(55_000)]
+    text = "\n".join(lines)
+    item = table(spark, folder, "benchmark").orderBy("item_id").first()
+    tail = f"{text}\n{item['text']}\nwrite to some.body@example.org"
+    frame = spark.createDataFrame([(1, tail, "en"), (2, "small text of five words", "en"), (3, lines[7] * 30, "en")], "doc_id long, text string, lang string")
+    assert len(tail) > 4_000_000
+    got = quality_rules.quality_rules(frame).where("doc_id = 1").first()
+    assert got["n_words"] == len(tail.split()) and got["kept"]
+    assert jaccard_join.jaccard_components(frame).where("doc_id = 1").first()["n_shingles"] > 500_000
+    assert {r["doc_id"] for r in decontaminate.contaminated(frame, table(spark, folder, "benchmark")).where(f"item_id = {item['item_id']}").collect()} == {1}
+    assert pii.personal_data(frame, pii.train(frame)).where("doc_id = 1").first()["n_email"] == 1
+    packed = packing.pack(frame, packing.default_tokenizer()).where("doc_id = 1").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).first()
+    assert packed["n"] == packed["all"] > 600_000
+    assert suffix_dedup.suffix_dedup(frame, keep="none", clean_col=None).where("doc_id = 1").first()["n_bytes"] == len(tail.encode())
+    model, labels = marked(spark)
+    for module, label in ((toxicity, "toxic"), (quality_classifier, "quality")):
+        assert 0 <= module.score(frame, module.train(model, labels, label, F.lit(True))).where("doc_id = 1").first()["score"] <= 1
+    crf = language_crf.train(table(spark, folder, "documents"), F.lit(True), per_language=20)
+    assert language_crf.predict(frame, crf).where("doc_id = 1").first()["lang_pred"] in crf.languages
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_quality_classifier", "quality", 0.9), ("op5_toxicity", "toxic", 0.8)])
 def test_classifier_queries(spark, folder, name, label, least):
     got = registry.QUERIES[name](spark, folder)
