@@ -48,6 +48,19 @@ def rollups(ledger: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("cost_micros").alias("cost_micros"))
 
 
+def captured(ledger: DataFrame, rollup: DataFrame, charges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger, rollups) after charges arrive: only those of operations that are new count, each once.
+
+    Both are functions of state and batch, so a stream keeps them by calling this
+    for each micro-batch; a batch that is delivered again changes nothing.
+    """
+    keys = ["workspace_id", "operation_id"]
+    fresh = deduplicated(charges).join(ledger.select(*keys), keys, "left_anti").select(*ledger.columns)
+    by = [c for c in rollup.columns if c not in ("tokens", "cost_micros")]
+    grown = rollup.unionByName(rollups(fresh).select(*rollup.columns)).groupBy(*by).agg(*[F.sum(c).cast("long").alias(c) for c in ("tokens", "cost_micros")])
+    return ledger.unionByName(fresh), grown
+
+
 def summary(rolled: DataFrame, period: str = "month") -> DataFrame:
     """The latest period of each workspace by line: total, agent or provider."""
     rows = rolled.where(F.col("period") == period)

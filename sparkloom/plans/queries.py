@@ -340,6 +340,15 @@ def d9_usage_rollups(spark: SparkSession, folder: str) -> DataFrame:
     return usage.rollups(ledger(spark, folder))
 
 
+@query(f"WITH {_ROLLUP_SQL} SELECT * FROM roll")
+def d10_incremental_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches that overlap by a third give what all charges give at once."""
+    charges = ledger(spark, folder)
+    known = charges.where("operation_id % 3 <> 0")
+    arriving = charges.where("operation_id % 3 <> 1")
+    return usage.captured(known, usage.rollups(known), arriving.unionByName(arriving))[1]
+
+
 @query(f"""
 WITH {_ROLLUP_SQL}
 SELECT workspace_id, period_start, agent_key, provider, tokens, cost_micros,

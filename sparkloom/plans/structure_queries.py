@@ -65,6 +65,25 @@ def m8_table_titles(spark: SparkSession, folder: str) -> DataFrame:
     return structure.with_breadcrumbs(lines, F.col("pos") % 7 == 4).select("doc_id", "pos", "title")
 
 
+@query("""
+WITH r AS (SELECT p_partkey // 60 AS sheet, CAST(p_partkey % 60 AS INTEGER) AS i, p_name, CAST(p_size AS VARCHAR) AS size FROM part),
+d AS (SELECT sheet, i // 12 AS block, i, p_name, size FROM r WHERE i % 12 BETWEEN 1 AND 10 AND NOT (sheet = 0 AND i < 12))
+SELECT CAST(sheet AS VARCHAR) AS sheet, CAST(dense_rank() OVER (PARTITION BY sheet ORDER BY block) - 1 AS INTEGER) AS block_no, CAST(0 AS INTEGER) AS part, 'name,size' AS headers, n_rows, rows_sha256 FROM (
+    SELECT sheet, block, CAST(count(*) AS INTEGER) AS n_rows, sha256(string_agg(p_name || '=' || size, ';' ORDER BY i)) AS rows_sha256 FROM d
+    WHERE (sheet, block) IN (SELECT (sheet, i // 12) FROM r WHERE i % 12 = 0) GROUP BY ALL HAVING count(*) >= 2)
+""")
+def m1_sheet_tables(spark: SparkSession, folder: str) -> DataFrame:
+    i = (F.col("p_partkey") % 60).cast("int")
+    kind = i % 12
+    first = F.when(kind == 0, "name").when(kind < 11, F.col("p_name"))
+    second = F.when(kind == 0, "size").when(kind < 11, F.col("p_size").cast("string"))
+    rows = table(spark, folder, "part").select(F.floor(F.col("p_partkey") / 60).cast("string").alias("sheet"), i.alias("row"), F.posexplode(F.array(first, second)).alias("col", "value"))
+    # the first sheet lacks its first row, and so the header of its first block
+    found = structure.sheet_tables(rows.where("NOT (sheet = '0' AND row < 12)"))
+    text = F.array_join(F.transform("rows", lambda r: F.array_join(r, "=")), ";")
+    return found.select("sheet", "block_no", "part", F.array_join("headers", ",").alias("headers"), F.size("rows").alias("n_rows"), F.sha2(text, 256).alias("rows_sha256"))
+
+
 @query(f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber >= 2 AND coalesce(CASE WHEN l_partkey % 5 <> 0 THEN l_quantity * 2 END, 100) >= {structure.LEAST_ACCURACY}
 """)
