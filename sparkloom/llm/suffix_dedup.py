@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkloom.llm.common import checkpoint, checkpoint_dealt, documents, partitions
+from sparkloom.llm.common import checkpoint, checkpoint_dealt, documents, partitions, release
 from sparkloom.llm.textops import SEPARATOR, PrefixHash, Slice, slices
 
 LENGTH = 400
@@ -451,11 +451,16 @@ def suffix_dedup(
     n = partitions(docs.sparkSession)
     units = (Unit(False, length, gram), Unit(True, passage, min(passage, PASSAGE_GRAM)))
     chunks = checkpoint_dealt(docs.mapInArrow(_packer(text_col, units, chunk_bytes), _CHUNK).repartition(n, "chunk"))
+    release(docs.sparkSession)
     sent = chunks.mapInArrow(_segment_entries(units, n), _ENTRIES)
     first = checkpoint(sent.repartitionById(n, F.col("bucket") % n).mapInArrow(_ordered(1, n), _ANSWERS))
+    del sent
+    release(docs.sparkSession)
     by_chunk = chunks.groupBy("chunk")
     sent = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_factor_entries(text_col, units, n), _ENTRIES)
     second = checkpoint(sent.repartitionById(n, F.col("bucket") % n).mapInArrow(_ordered(2, n), _ANSWERS))
+    del sent
+    release(docs.sparkSession)
     remove = _remover(text_col, units, n, wanted, carried, clean_col, to_arrow_schema(schema))
     return by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(remove, schema)
 
