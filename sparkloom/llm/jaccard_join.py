@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkloom.llm.common import BATCH_ROWS, checkpoint, documents, partitions, release, table
+from sparkloom.llm.common import BATCH_ROWS, checkpoint, documents, partitions, release
 from sparkloom.llm.components import components
 from sparkloom.llm.textops import mix, shingle_sets, slices
 

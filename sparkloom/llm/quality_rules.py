@@ -18,7 +18,6 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import append_columns, documents
