@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.decontaminate import op4_decontaminate
 from sparkloom.llm.jaccard_join import op3_jaccard_join
 from sparkloom.llm.language_crf import op10_language_crf
+from sparkloom.llm.lexical_search import OP11_SQL, op11_lexical_search
 from sparkloom.llm.packing import op7_packing
 from sparkloom.llm.pii import op6_pii
 from sparkloom.llm.quality_classifier import op2_quality_classifier
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_crf": op10_language_crf,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_lexical_search": OP11_SQL,
 }

@@ -94,13 +94,13 @@ class Slice:
     def raw(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, data: np.ndarray | None = None, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words, and for each document its first word (n + 1 entries)."""
         data = self.data if data is None else data
         n = len(data)
         if not n:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(self) + 1, np.int64)
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         begins = inside.copy()
