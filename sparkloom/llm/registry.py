@@ -15,6 +15,7 @@ from sparkloom.llm.pii import op6_pii
 from sparkloom.llm.quality_classifier import op2_quality_classifier
 from sparkloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from sparkloom.llm.suffix_dedup import op8_suffix_dedup
+from sparkloom.llm.token_alignment import op12_token_alignment
 from sparkloom.llm.toxicity import op5_toxicity
 from sparkloom.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_language_crf": op10_language_crf,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {
