@@ -32,7 +32,7 @@ other; its component is the least id in it, or null.  Only id, text and columns
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 from math import comb, isqrt
@@ -67,6 +67,8 @@ CELLS = 1 << 20
 MOST_FILTER_BITS = 1 << 28
 #: Bytes of shingles that one cell of the verification holds, about.
 CELL_BYTES = 64 << 20
+#: Bytes of entries of one bucket of lists, about.
+BUCKET_BYTES = 16 << 20
 #: Groups of copies whose component is sent to all tasks; of the rest none holds more than one part in as many.
 HEAVY_KEYS = 1024
 
@@ -84,10 +86,10 @@ def partner_sizes(n: int) -> range:
     return range(-(-3 * n // 4), 4 * n // 3 + 1)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of rows whose second column is the text."""
     for part in slices(batch.column(1)):
-        hashes, first, counts = shingle_sets(part, WIDTH)
+        hashes, first, counts = shingle_sets(part, width)
         for i in range(len(part)):
             yield part.first + i, np.unique(hashes[first[i] : first[i] + counts[i]])
 
@@ -137,40 +139,44 @@ _SCAN = T.StructType(
 )
 
 
-def _scan(fields: list[T.StructField]):
-    """Rows (id, what is carried, set) of documents (id, text, what is carried), and reports of frequent shingles."""
-    schema = to_arrow_schema(T.StructType(fields + _SCAN.fields))
-    width = len(fields)
+def _scan(fields: T.StructType, first: int, width: int, sketch: Callable[[np.ndarray], tuple[np.ndarray, dict[str, bytes]]]):
+    """Rows (id, what is carried, set) of documents (id, text, what is carried), and reports of frequent tokens; ``first`` is the number of columns before the set's."""
+    schema = to_arrow_schema(fields)
+    columns = schema.names[first:]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def out(columns: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        def out(known: list[pa.Array], values: dict[str, list | np.ndarray], n: int) -> pa.RecordBatch:
+            """A batch of the columns known and given; the others are null."""
+            arrays = known or [pa.nulls(n, t) for t in schema.types[:first]]
+            arrays = [x.cast(t) for x, t in zip(arrays, schema.types[:first], strict=True)]
+            arrays += [pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in zip(columns, schema.types[first:], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         def report() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= REPORT_LEAST
-            blank = pa.nulls(int(keep.sum()))
-            return out([blank] * (width + 4) + [pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])])
+            return out([], {"token": tokens[keep].view(np.int64), "count": counts[keep]}, int(keep.sum()))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_ROWS):
                 rows = batch.slice(lo, BATCH_ROWS)
-                n, key, bits, small = [], [], [], []
-                for _, tokens in _sets(rows):
-                    n.append(len(tokens))
-                    key.append(set_key(tokens) if len(tokens) else None)
-                    bits.append(sketch(tokens) if len(tokens) else None)
-                    small.append(small_sketch(bits[-1], len(tokens)) if len(tokens) else None)
-                    if len(tokens) and key[-1] not in seen:
-                        seen.add(key[-1])
+                values: dict[str, list] = {c: [] for c in columns if c not in ("token", "count")}
+                for _, shingles in _sets(rows, width):
+                    key, tokens, made = None, shingles, {}
+                    if len(shingles):
+                        key = set_key(shingles)
+                        tokens, made = sketch(shingles)
+                    for c, v in ({"n": len(shingles), "key": key} | {c: made.get(c) for c in values if c not in ("n", "key")}).items():
+                        values[c].append(v)
+                    if key is not None and key not in seen:
+                        seen.add(key)
                         held.append(tokens)
                         size += len(tokens)
-                none = pa.nulls(rows.num_rows)
-                yield out([rows.column(0), *rows.columns[2:], n, key, bits, small, none, none])
+                yield out([rows.column(0), *rows.columns[2:]], values, rows.num_rows)
                 if size >= CHUNK_TOKENS:
                     yield report()
                     held, size = [], 0
@@ -203,8 +209,7 @@ class Order:
         place[rank] = np.arange(len(hot))
         self.rank = place[by_hash]
 
-    def prefix(self, tokens: np.ndarray) -> np.ndarray:
-        need = prefix_length(len(tokens))
+    def prefix(self, tokens: np.ndarray, need: int) -> np.ndarray:
         if not len(self.hot):
             return tokens[:need]
         at = np.searchsorted(self.hot, tokens)
@@ -234,12 +239,24 @@ def list_keys(tokens: np.ndarray, order: Order, boundary: int) -> tuple[np.ndarr
             keys.append(mix(chosen + np.uint64(min(n, m) * 1000003 + max(n, m) * 7919)))
             sides.append(np.full(len(chosen), int(n > m), np.uint8))
     if n >= boundary or 4 * n >= 3 * boundary:
-        prefix = order.prefix(tokens)
+        prefix = order.prefix(tokens, prefix_length(n))
         keys.append(mix(prefix))
         sides.append(np.full(len(prefix), 2, np.uint8))
     return np.concatenate(keys), np.concatenate(sides)
 
 
+def blobs(tokens: np.ndarray, keys: np.ndarray, sides: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries of lists (token, set, side) by bucket of the token."""
+    entry = np.empty(len(tokens), _ENTRY)
+    entry["token"], entry["key"], entry["side"] = tokens, keys, sides
+    bucket = ((tokens & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    there = np.flatnonzero(np.diff(edges))
+    packed = [_pack(entry[by[edges[b] : edges[b + 1]]]) for b in there]
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(packed, pa.binary())], names=_ENTRIES.names)
+
+
 def _index(shared, boundary: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(*shared.value)
@@ -248,17 +265,8 @@ def _index(shared, boundary: int, buckets: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate([h[0] for h in held])
-            entry = np.empty(len(keys), _ENTRY)
-            entry["token"] = keys
-            entry["key"] = np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
-            entry["side"] = np.concatenate([h[2] for h in held])
-            bucket = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            there = np.flatnonzero(np.diff(edges))
-            blobs = [_pack(entry[by[edges[b] : edges[b + 1]]]) for b in there]
-            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], names=_ENTRIES.names)
+            keys, sides = (np.concatenate([h[c] for h in held]) for c in (0, 2))
+            return blobs(keys, np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held]), sides, buckets)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_ROWS):
@@ -297,14 +305,25 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _LISTS = T.StructType([T.StructField("list", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star pairs (list null) and the members (b null) of lists of three or more sets."""
-    held: dict[int, list[bytes]] = {}
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of one bucket after the other."""
+    last, held = None, []
     for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(raw)
-    for bucket in list(held):
-        token, key, side = (np.concatenate(x) for x in zip(*map(_unpack, held.pop(bucket)), strict=True))
+        for k in range(batch.num_rows):
+            bucket = batch.column(0)[k].as_py()
+            if held and bucket != last:
+                yield held
+                held = []
+            last = bucket
+            held.append(batch.column(1)[k].as_py())
+    if held:
+        yield held
+
+
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Star pairs (list null) and the members (b null) of lists of three or more sets; rows come sorted by bucket."""
+    for held in _by_bucket(batches):
+        token, key, side = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
         order = np.lexsort((key, token))
         token, key, side = token[order], key[order], side[order]
         again = np.zeros(len(token), bool)
@@ -364,15 +383,19 @@ def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The pairs of a cell whose sets are similar."""
-    tokens = dict(zip(sets["key"].to_pylist(), sets["tokens"].to_pylist(), strict=True))
-    keep = []
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-        x, y = np.frombuffer(tokens[a], np.uint64), np.frombuffer(tokens[b], np.uint64)
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        keep.append(int((both[1:] == both[:-1]).sum()) >= overlap_needed(len(x), len(y)))
-    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _similar(needed: Callable[[int, int], int]):
+    """The pairs of a cell whose sets have the intersection that their sizes need."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        tokens = dict(zip(sets["key"].to_pylist(), sets["tokens"].to_pylist(), strict=True))
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = np.frombuffer(tokens[a], np.uint64), np.frombuffer(tokens[b], np.uint64)
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 _CROSS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -400,12 +423,36 @@ def _joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _FOUND = T.StructType([T.StructField("list", T.LongType()), *_CROSS.fields])
 
 
+def chosen(pairs: np.ndarray, rows: pa.Table, best: bool) -> pa.Table:
+    """Pairs (probe, member, distance) of a block as rows of ``_FOUND``.
+
+    With ``best`` only each probe's nearest one for each component, of those the
+    ones that join components not joined before, and the keys of the others in
+    rows of their own under the list's name.
+    """
+    key, comp = rows["key"].to_numpy(), rows["component"].to_numpy()
+    left = np.empty(0, np.int64)
+    if best and len(pairs):
+        order = np.lexsort((key[pairs[:, 1]], pairs[:, 2], comp[pairs[:, 1]], pairs[:, 0]))
+        pairs = pairs[order]
+        head = np.ones(len(pairs), bool)
+        head[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (comp[pairs[1:, 1]] != comp[pairs[:-1, 1]])
+        heads = np.flatnonzero(head)
+        heads = heads[np.argsort(pairs[heads, 2], kind="stable")]
+        taken = heads[_joining(comp[pairs[heads, 0]], comp[pairs[heads, 1]])]
+        left = np.unique(key[np.delete(pairs, taken, axis=0)[:, :2]])
+        pairs = pairs[taken]
+    x, y = key[pairs[:, 0]], key[pairs[:, 1]]
+    out = pa.table({"list": pa.nulls(len(x), pa.int64()), "a": np.minimum(x, y), "b": np.maximum(x, y)})
+    name = np.full(len(left), rows["list"][0].as_py())
+    return pa.concat_tables([out, pa.table({"list": pa.array(name, pa.int64()), "a": left, "b": pa.nulls(len(left), pa.int64())})])
+
+
 def _cross(best: bool):
     """Plausible pairs of different components between a block of probes of a list and a block of its members.
 
-    A pair of probes is met twice and kept where the smaller one probes.  With
-    ``best`` only each probe's likeliest pair for each component is returned,
-    and the list's name in a row of its own if there are others.
+    A pair of probes is met twice and kept where the smaller one probes.  The
+    distance of a pair is by how much its sketches differ beyond what they may.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -434,22 +481,7 @@ def _cross(best: bool):
                         margin = differ - (n[some] + n[k] - 2 * overlap_needed(n[some], n[k]))
                         hit = margin <= 0
                         found.append(np.stack([np.full(hit.sum(), k), some[hit], margin[hit]], 1))
-        pairs = np.concatenate(found)
-        left = np.empty(0, np.int64)
-        if best and len(pairs):
-            order = np.lexsort((key[pairs[:, 1]], pairs[:, 2], comp[pairs[:, 1]], pairs[:, 0]))
-            pairs = pairs[order]
-            head = np.ones(len(pairs), bool)
-            head[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (comp[pairs[1:, 1]] != comp[pairs[:-1, 1]])
-            heads = np.flatnonzero(head)
-            heads = heads[np.argsort(pairs[heads, 2], kind="stable")]
-            taken = heads[_joining(comp[pairs[heads, 0]], comp[pairs[heads, 1]])]
-            left = np.unique(key[np.delete(pairs, taken, axis=0)[:, :2]])
-            pairs = pairs[taken]
-        x, y = key[pairs[:, 0]], key[pairs[:, 1]]
-        out = pa.table({"list": pa.nulls(len(x), pa.int64()), "a": np.minimum(x, y), "b": np.maximum(x, y)})
-        name = np.full(len(left), rows["list"][0].as_py())
-        return pa.concat_tables([out, pa.table({"list": pa.array(name, pa.int64()), "a": left, "b": pa.nulls(len(left), pa.int64())})])
+        return chosen(np.concatenate(found), rows, best)
 
     return run
 
@@ -457,39 +489,58 @@ def _cross(best: bool):
 # ---------------------------------------------------------------- the join
 
 
-class _Join:
+class SetJoin:
+    """What joins of shingle sets share: sets and frequent tokens, verification, components, and what is left to compare in lists.
+
+    A subclass says what a set is compared by before it is read again whole: the
+    binary columns ``sketches`` (the first is compared first) that ``scan`` gives,
+    ``entries`` (the lists that each set belongs to), ``plausible`` and ``cross``.
+    """
+
+    width = WIDTH
+    needed = staticmethod(overlap_needed)
+    sketches = ("small", "sketch")
+
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]):
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.carry = list(carry)
-        carried = docs.select(*carry).schema.fields
-        scan = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-        fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(f.name, f.dataType) for f in carried]]
-        scanned = checkpoint(scan.mapInArrow(_scan(fields), T.StructType(fields + _SCAN.fields)))
-        self.members = scanned.where("token is null").select("doc_id", *carry, "n", "key", "sketch", "small")
+        if {c.lower() for c in carry} & {"doc_id", "n_shingles", "component_id", "group"}:
+            raise ValueError("a column to carry has the name of a column of the result")
+        # under names of their own until the end
+        self.carry = {f"carried_{k}": c for k, c in enumerate(carry)}
+        scan = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in self.carry.items()])
+        fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(k, scan.schema[k].dataType) for k in self.carry]]
+        fields = T.StructType(fields + [f for f in _SCAN.fields if f.dataType != T.BinaryType() or f.name in self.sketches])
+        scanned = checkpoint(scan.mapInArrow(_scan(fields, len(self.carry) + 1, self.width, self.sketch), fields))
+        self.members = scanned.where("token is null").select("doc_id", *self.carry, "n", "key", *self.sketches)
         self.tokens = scanned.where("token is not null").select("token", "count")
         self.sets = checkpoint(
             self.members.where("key is not null")
             .groupBy("key")
-            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sketch", "small")])
+            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *self.sketches)])
         )
 
-    def order_and_boundary(self):
-        hot = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HOT_TOKENS)
-        got = hot.toArrow()
-        tokens, counts = got["token"].to_numpy().view(np.uint64), got["count"].to_numpy()
-        total, n_sets = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        self.filter_bits = min(MOST_FILTER_BITS, 1 << max(16, (64 * n_sets).bit_length()))
-        length = 1 + float((counts.astype(float) ** 2).sum()) / max(1, total)
-        boundary = next((n for n in range(1, MOST_LIGHT) if subset_cost(n) > prefix_length(n) * length), MOST_LIGHT)
-        return self.spark.sparkContext.broadcast((tokens, counts)), boundary  # HOT_TOKENS pairs of numbers
+    @staticmethod
+    def sketch(tokens: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
+        """The tokens of a set to count, and its sketches by column."""
+        raise NotImplementedError
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        sets = self.sets
-        full = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa")), "a").join(
-            sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb")), "b"
-        )
-        return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible, _CROSS)
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent tokens and their counts (HOT_TOKENS pairs of numbers at most)."""
+        hot = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HOT_TOKENS).toArrow()
+        self.shingles, self.n_sets = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        self.filter_bits = min(MOST_FILTER_BITS, 1 << max(16, (64 * self.n_sets).bit_length()))
+        return hot["token"].to_numpy().view(np.uint64), hot["count"].to_numpy()
+
+    def entries(self, buckets: Callable[[int], int]) -> DataFrame:
+        """Entries of lists in blobs by bucket; ``buckets`` gives their number from that of entries."""
+        raise NotImplementedError
+
+    def with_sets(self, pairs: DataFrame, sketch: str) -> DataFrame:
+        """a, b, their sizes na and nb, and their sketches sa and sb."""
+        for k in ("a", "b"):
+            pairs = pairs.join(self.sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(sketch).alias(f"s{k}")), k)
+        return pairs.select("a", "b", "na", "nb", "sa", "sb")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of checkpointed pairs."""
@@ -506,6 +557,7 @@ class _Join:
         schema = T.StructType(
             [T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("tokens", T.BinaryType())]
         )
+        width = self.width
         rows = self.rows.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
 
         def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,7 +570,7 @@ class _Join:
                     part = batch.slice(lo, BATCH_ROWS)
                     ids = part["doc_id"].to_pylist()
                     keys, reps, blobs = [], [], []
-                    for i, tokens in _sets(part):
+                    for i, tokens in _sets(part, width):
                         if len(tokens) and (key := (set_key(tokens), ids[i])) not in seen:
                             seen.add(key)
                             keys.append(key[0])
@@ -539,7 +591,7 @@ class _Join:
         # a set all of whose documents lack an id has none as its representative
         placed = found.join(needed, (F.col("own") == F.col("key")) & found["rep"].eqNullSafe(needed["rep"])).select("p", "q", "key", "tokens")
         release(self.spark)
-        links = checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar, _CROSS))
+        links = checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar(self.needed), _CROSS))
         shared.unpersist()
         return links
 
@@ -572,15 +624,12 @@ class _Join:
         members = left.select(*columns, role, at["wide"].alias("i"), every["high"].alias("j"))
         probes = left.where(F.col("other") & (F.col("wide") > 1))
         probes = probes.select(*columns, F.lit(PROBE).alias("role"), every["wide"].alias("i"), at["high"].alias("j"))
-        return members.unionByName(probes).groupBy("list", "i", "j").applyInArrow(_cross(best), _FOUND)
+        return members.unionByName(probes).groupBy("list", "i", "j").applyInArrow(self.cross(best), _FOUND)
 
     def run(self) -> DataFrame:
-        order, boundary = self.order_and_boundary()
         n = partitions(self.spark)
-        buckets = 4 * n
-        entries = self.rows.mapInArrow(_index(order, boundary, buckets), _ENTRIES)
-        lists = checkpoint(entries.repartition(n, "bucket").mapInArrow(_lists, _LISTS))
-        order.unpersist()
+        entries = self.entries(lambda size: max(4 * n, -(-size * _ENTRY.itemsize // BUCKET_BYTES)))
+        lists = checkpoint(entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS))
         release(self.spark)
         stars = checkpoint(self.plausible(lists.where("list is null").select("a", "b").distinct()))
         links = self.verify(stars)
@@ -588,13 +637,13 @@ class _Join:
 
         # first the likeliest pairs, by small sketches, as most links that they give join the components of others
         member = lists.where("list is not null").select("list", F.col("a").alias("key")).distinct()
-        found = checkpoint(self.open_pairs(member, groups, "small", best=True))
+        found = checkpoint(self.open_pairs(member, groups, self.sketches[0], best=True))
         likely = checkpoint(found.where("list is null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(self.verify(likely)))
         groups = self.grouped(links)
         # then all that are left
         member = found.where("list is not null").select("list", F.col("a").alias("key")).distinct()
-        found = self.open_pairs(member, groups, "sketch", best=False).select("a", "b").distinct()
+        found = self.open_pairs(member, groups, self.sketches[-1], best=False).select("a", "b").distinct()
         rest = checkpoint(found.join(stars.unionByName(likely), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             groups = self.grouped(links.unionByName(self.verify(rest)))
@@ -605,14 +654,36 @@ class _Join:
         named = looked_up(linked, least, "component", "size").select("key", "component", "component_id", "copies")
         alone = placed.where("component is null").select("key", F.col("key").alias("component"), F.col("rep").alias("component_id"), "copies")
         named = checkpoint(named.unionByName(alone))
-        rows = self.members.drop("sketch", "small")
+        rows = self.members.drop(*self.sketches)
         blank = rows.where("key is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
         full = looked_up(rows.where("key is not null"), named, "key", "copies")
         return full.select(blank.columns).unionByName(blank).select(
-            "doc_id", *self.carry, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group")
+            "doc_id", *[F.col(k).alias(c) for k, c in self.carry.items()], F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("group")
         )
 
 
+class _HeavyLight(SetJoin):
+    """Subsets for light sets, inverted lists of prefixes for heavy ones; parity sketches before whole sets."""
+
+    cross = staticmethod(_cross)
+
+    @staticmethod
+    def sketch(tokens: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
+        full = sketch(tokens)
+        return tokens, {"sketch": full, "small": small_sketch(full, len(tokens))}
+
+    def entries(self, buckets: Callable[[int], int]) -> DataFrame:
+        tokens, counts = self.frequent()
+        length = 1 + float((counts.astype(float) ** 2).sum()) / max(1, self.shingles)
+        boundary = next((n for n in range(1, MOST_LIGHT) if subset_cost(n) > prefix_length(n) * length), MOST_LIGHT)
+        order = self.spark.sparkContext.broadcast((tokens, counts))  # HOT_TOKENS pairs of numbers
+        # a prefix is about a quarter of a set
+        return self.rows.mapInArrow(_index(order, boundary, buckets(self.shingles // 4)), _ENTRIES)
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        return self.with_sets(pairs, "small").mapInArrow(_plausible, _CROSS)
+
+
 def looked_up(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
     """Rows with the columns of ``values``, which has each key once and the number of its rows as ``weight``.
 
@@ -630,7 +701,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``group`` names the component also where no document in it has an id; it is
     null for a document without words.
     """
-    return _Join(docs, id_col, text_col, carry).run()
+    return _HeavyLight(docs, id_col, text_col, carry).run()
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from sparkloom.llm.decontaminate import op4_decontaminate
 from sparkloom.llm.jaccard_join import op3_jaccard_join
 from sparkloom.llm.language_crf import op10_language_crf
 from sparkloom.llm.lexical_search import OP11_SQL, op11_lexical_search
+from sparkloom.llm.minhash_dedup import op13_minhash_dedup
 from sparkloom.llm.packing import op7_packing
 from sparkloom.llm.pii import op6_pii
 from sparkloom.llm.quality_classifier import op2_quality_classifier
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_crf": op10_language_crf,
     "op11_lexical_search": op11_lexical_search,
     "op12_token_alignment": op12_token_alignment,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 SQL: dict[str, str] = {
