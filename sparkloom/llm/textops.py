@@ -154,8 +154,10 @@ def shingle_sets(part: Slice, width: int = 5) -> tuple[np.ndarray, np.ndarray, n
     hashed = PrefixHash(data).of(starts, ends)
     padded = np.concatenate([hashed, np.zeros(width - 1, _U)])
     total = np.zeros(len(hashed), _U)
+    # no factor may be a plain function of its place: with a progression "a b b a" and "b a a b" would be the same
+    factor = mix((np.arange(width) + 1).astype(_U) * _U(0xA24BAED4963EE407)) | _U(1)
     for k in range(width):
-        total += padded[k : k + len(hashed)] * _U((0xA24BAED4963EE407 + 2 * k * 0x9FB21C651E98DF25) % (1 << 64) | 1)
+        total += padded[k : k + len(hashed)] * factor[k]
     for i in np.flatnonzero((n_words > 0) & (n_words < width)):
         lo, hi = first[i], first[i + 1]
         seed = np.array([hi - lo]).astype(_U)
