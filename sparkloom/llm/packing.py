@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ CACHE_WORDS = 1_000_000
 #: Words to encode with one call.
 CALL_WORDS = 2_000
 
+MARKS = ".,;:!?"
+#: Below it are the letters that all versions of Unicode in use agree on (Latin, Greek, Cyrillic).
+SETTLED = "\u0530"
+
 #: The model's own word rule, on lower-case ASCII.
 _ASCII_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -93,16 +98,21 @@ class Encoder:
         return np.concatenate(flat), np.concatenate(counts)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words end to end and how many each has, by way of the units that the model cuts a word into where that is certain."""
+        """Ids of words end to end and how many each has, by way of the units that the model cuts a word into where that is certain.
+
+        The model composes and lower-cases a word before it cuts it, which can make
+        a letter into a letter and a mark; so it is the changed word that is judged.
+        """
         number: dict[str, int] = {}
         place = number.setdefault
         parts: list[int] = []  # units of all words
         n_parts, other = [], []
         for k, w in enumerate(words):
             before = len(parts)
-            if w.isalpha():
+            x = w if w.isascii() else normalize("NFC", w).lower()
+            if x.isalpha():
                 parts.append(place(w, len(number)))
-            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+            elif x[:-1].isalpha() and w[-1] in MARKS and max(x) < SETTLED:
                 parts.append(place(w[:-1], len(number)))
                 parts.append(place(w[-1], len(number)))
             elif w.isascii() and "<|" not in w and w.isprintable():
