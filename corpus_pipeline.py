@@ -54,7 +54,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Spans of personal data are replaced by their kinds; null texts stay null, and n_chars follows the text."""
     model = pii.train(docs)
     # what the operator appends must not take the place of columns of that name
-    apart = {c: free_name(docs, f"kept_{c}") for c in docs.columns if c in pii.COLUMNS}
+    taken = {c.lower() for c in pii.COLUMNS}
+    apart = {c: free_name(docs, f"kept_{c}") for c in docs.columns if c.lower() in taken}
     clean = free_name(docs, "redacted")
     found = pii.personal_data(docs.withColumnsRenamed(apart), model, redacted_col=clean)
     text = F.when(F.col("text").isNotNull(), F.col(clean))

@@ -102,12 +102,12 @@ def append_columns(
     """Add columns computed from a text column, a slice of documents at a time.
 
     ``make`` runs once per task and returns the function that turns a slice into
-    one array per field.  A column of ``df`` that has the name of a new one is
-    replaced.  Null texts reach the function as empty ones.
+    one array per field.  A column of ``df`` that has the name of a new one, in
+    whatever case, is replaced.  Null texts reach the function as empty ones.
     """
-    names = {f.name for f in fields}
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names or c == text_col])
-    kept = [f for f in df.schema.fields if f.name not in names]
+    names = {f.name.lower() for f in fields}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names or c == text_col])
+    kept = [f for f in df.schema.fields if f.name.lower() not in names]
     schema = T.StructType(kept + fields)
     arrow = to_arrow_schema(T.StructType(fields))
     keep = [f.name for f in kept]

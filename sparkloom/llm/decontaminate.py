@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BATCH_ROWS, append_columns, documents, table
+from sparkloom.llm.common import BATCH_ROWS, append_columns, documents, free_name, table
 from sparkloom.llm.textops import LOWER_ASCII, SEPARATOR, Slice, slices
 
 Q = 12
@@ -319,12 +319,12 @@ def count_items(docs: DataFrame, benchmark: DataFrame, count_col: str, text_col:
 
         return make
 
-    total = F.lit(0).cast("long")
-    for k, block in enumerate(_blocks(benchmark, item_col)):
-        name = f"{count_col}_{k}"
+    total, names = F.lit(0).cast("long"), []
+    for block in _blocks(benchmark, item_col):
+        name = free_name(docs, f"{count_col}_of_block")
+        names.append(name)
         docs = append_columns(docs, text_col, [T.StructField(name, T.LongType())], counter(docs.sparkSession.sparkContext.broadcast(block)))
         total += F.col(name)
-    names = [f"{count_col}_{i}" for i in range(k + 1)]
     return docs.withColumn(count_col, total).drop(*names)
 
 

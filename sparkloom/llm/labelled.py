@@ -21,23 +21,24 @@ MOST_BYTES = 32 << 20
 def first_rows(rows: DataFrame, by: str, size: str, order: list[Column], most: int, most_bytes: int) -> DataFrame:
     """Of each value of ``by`` the first ``most`` rows in the order given, as far as their texts hold ``most_bytes`` together.
 
-    Each task keeps its own first rows before anything is shuffled.  A text of
-    more than a sixteenth of ``most_bytes`` is left out, so that it takes no other's place.
+    Texts of more than a sixteenth of ``most_bytes`` come after all others, so
+    that they take no other's place.
     """
-    rows = rows.where(F.col(size) <= most_bytes // 16)
-    line = Window.partitionBy(by).orderBy(*order)
+    line = Window.partitionBy(by).orderBy(F.col(size) > most_bytes // 16, *order)
     first = rows.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= most)
     held = F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return first.withColumn("__held", held).where(F.col("__held") <= most_bytes).drop("__n", "__held")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` learning rows of each class, whose texts hold ``most_bytes`` a class together.
+    """(doc_id, text, y) of at most ``per_class`` distinct learning rows of each class, whose texts hold ``most_bytes`` a class together.
 
     Rows are taken in the order of a hash of their id and then of their text, so
     a sample does not depend on partitioning, and an id with many rows takes no
-    more than its class's places.  Of several labels of one document the largest
-    counts.
+    more than its class's places.  Rows are ranked by numbers alone, of which a
+    task passes on no more than the places of a class, however large the class;
+    only those picked fetch their texts.  Of several labels of one document the
+    largest counts.
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
@@ -51,8 +52,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
         both = one if both is None else both.unionByName(one)
     # at most 2 * per_class rows of two numbers
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(both), "doc_id")
-    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
-    return first_rows(rows, "y", "size", [order, F.col("doc_id"), F.xxhash64("text")], per_class, most_bytes).drop("size")
+    numbers = rows.select("doc_id", "y", F.xxhash64("text").alias("t"), F.octet_length("text").cast("long").alias("size")).distinct()
+    first = None
+    for y in (0, 1):
+        one = numbers.where(F.col("y") == y).orderBy(F.col("size") > most_bytes // 16, order, "doc_id", "t").limit(per_class)
+        first = one if first is None else first.unionByName(one)
+    first = first_rows(first, "y", "size", [order, F.col("doc_id"), F.col("t")], per_class, most_bytes).drop("size")
+    texts = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(first), ["doc_id", "y", "t"])  # at most 2 * per_class rows of three numbers
+    return texts.select("doc_id", "text", "y").distinct()
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:

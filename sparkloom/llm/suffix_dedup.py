@@ -443,8 +443,8 @@ def suffix_dedup(
     fields += [T.StructField("kept_sha256", T.StringType()), T.StructField("n_repeat_words", T.LongType())]
     if clean_col:
         fields.append(T.StructField(clean_col, T.StringType()))
-    fresh = {f.name for f in fields}
-    names = [c for c in docs.columns if c not in fresh]
+    fresh = {f.name.lower() for f in fields}
+    names = [c for c in docs.columns if c.lower() not in fresh]
     schema = T.StructType([docs.schema[c] for c in names if c != text_col] + fields)
     carried = [c for c in names if c != text_col]
     docs = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))

@@ -341,8 +341,35 @@ def test_clashing_names(spark, odd_docs):
     assert "x" not in {r["spans"] for r in pii.personal_data(clash, pii.train(clash)).collect()}
 
 
+@pytest.mark.parametrize("case", [str, str.upper, str.title])
+def test_clashing_names_in_any_case(spark, folder, odd_docs, case):
+    """Extra columns with the names of results and of helper columns, in any case, crash nothing, and results can be told apart."""
+    results = ["kept", "base_failed", "n_bytes", "n_spans", "spans", "base_sha256", "n_email", "lang_pred", "predicted", "sequence_id", "component_id", "group"]
+    helpers = ["benchmark_items", "benchmark_items_0", "benchmark_items_of_block", "row_h1", "toxicity", "redacted", "key", "sketch", "small", "token", "count", "chunk"]
+    few = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (8, 9)").drop("score", "component")
+    clash = few.withColumns({case(c): F.lit("x") for c in results + helpers})
+    benchmark = table(spark, folder, "benchmark")
+    made = [quality_rules.quality_rules(clash), suffix_dedup.suffix_dedup(clash), pii.personal_data(clash, pii.train(clash)), packing.pack(clash, packing.default_tokenizer())]
+    made += [jaccard_join.jaccard_components(clash, carry=[case(c) for c in helpers])]
+    for frame in made:
+        assert len({c.lower() for c in frame.columns}) == len(frame.columns)
+        assert frame.select(*[f"`{c}`" for c in frame.columns]).count() >= 11
+    assert decontaminate.contaminated(clash, benchmark).count() == 0
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, clash, folder).columns == clash.columns and stage(spark, clash, folder).count() >= 7
+
+
+def test_sample_plan_cuts_before_it_shuffles(spark, docs, folder):
+    """No more rows than a class has places leave a task, beyond the size up to which windows are cut by themselves."""
+    from sparkloom.llm import labelled
+
+    frame = labelled.sample(docs, table(spark, folder, "labels"), "toxic", F.lit(True), 3000)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject(limit=3000") >= 2
+
+
 def test_samples_are_bounded(spark):
-    """An id with many rows takes no more than its class's places, and a huge text none."""
+    """An id with many rows takes no more than its class's places, and a huge text none that another could have."""
     from sparkloom.llm import labelled
 
     rows = [(1, f"copy {i}") for i in range(200)] + [(i, f"text {i}") for i in range(2, 40)] + [(50, "z" * 5000)]
@@ -350,7 +377,10 @@ def test_samples_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 40), 50]], "doc_id long, quality int")
     got = labelled.sample(docs, labels, "quality", F.lit(True), 10, 16_000).collect()
     count = [sum(r["y"] == y for r in got) for y in (0, 1)]
-    assert count[0] in (9, 10) and count[1] == 10 and max(len(r["text"]) for r in got) < 100
+    assert count == [10, 10] and sum(len(r["text"]) > 100 for r in got) <= 1
+    assert len(labelled.sample(docs.unionByName(docs), labels, "quality", F.lit(True), 10, 16_000).collect()) == len(got)
+    every = labelled.sample(docs, labels, "quality", F.lit(True), 300, 4000).collect()
+    assert len(every) == 239 and max(len(r["text"]) for r in every) < 100
     few = labelled.sample(docs, labels, "quality", F.lit(True), 100, 160).collect()
     assert sum(len(r["text"]) for r in few if r["y"] == 0) <= 160
 
@@ -454,6 +484,14 @@ def test_every_language_is_learned(spark):
     assert np.mean([got[i] == lang for i, _, lang in rows]) >= 0.9 and got[rows[-1][0]] == "l79"
 
 
+def test_language_of_long_texts_only_is_learned(spark, monkeypatch):
+    """Texts above a sixteenth of the bytes of a language come last, not never."""
+    monkeypatch.setattr(language_crf, "MOST_BYTES", 20_000)
+    rows = [(i, " ".join(["lorem ipsum dolor"] * 120), "aa") for i in range(4)] + [(10 + i, "der die das und", "bb") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_crf.train(docs, F.lit(True)).languages) == {"aa", "bb"}
+
+
 def test_language_of_words_in_mixed_text(spark, odd_docs):
     rng = random.Random(23)
     vocabulary = {"aa": [f"{x}é{y}" for x in "bdgk" for y in "lmn"], "bb": [f"{x}ou{y}" for x in "fpst" for y in "rvz"]}
