@@ -33,6 +33,7 @@ other; its component is the least id in it, or null.  Only id, text and columns
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 from math import comb, isqrt
@@ -369,18 +370,82 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(key[rows]), pa.nulls(len(rows), pa.int64())], names=_LISTS.names)
 
 
-def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that their sizes and sketches allow to be similar; columns a, b, na, nb, sa, sb."""
-    for batch in batches:
-        na, nb = (batch[c].to_numpy() for c in ("na", "nb"))
-        limit = na + nb - 2 * overlap_needed(na, nb)
-        keep = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)).tolist()
-        sa, sb = batch["sa"].to_pylist(), batch["sb"].to_pylist()
-        for i in np.flatnonzero(keep):
-            x, y = np.frombuffer(sa[i], np.uint64)[None], np.frombuffer(sb[i], np.uint64)[None]
-            size = min(x.shape[1], y.shape[1])
-            keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= limit[i]
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+@dataclass(frozen=True)
+class Similarity:
+    """When sets are similar, and by what their sketches tell that they aren't.
+
+    A sketch is a parity sketch behind ``head`` bytes, of which ``alike`` says
+    which rows of a matrix (many, one or row by row) can belong to similar sets.
+    """
+
+    percent: int = 75
+    head: int = 0
+    alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+    def needed(self, n, m):
+        """Least intersection of similar sets of these sizes."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def sizes_allow(self, n, m):
+        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+
+    def heads(self, raw: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join([x[: self.head] for x in raw]), np.uint8).reshape(len(raw), self.head)
+
+    def plausible(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that their sizes and sketches allow to be similar; columns a, b, na, nb, sa, sb."""
+        for batch in batches:
+            na, nb = (batch[c].to_numpy() for c in ("na", "nb"))
+            limit = na + nb - 2 * self.needed(na, nb)
+            at = np.flatnonzero(self.sizes_allow(na, nb))
+            sa, sb = batch["sa"].to_pylist(), batch["sb"].to_pylist()
+            if self.alike:
+                at = at[self.alike(self.heads([sa[i] for i in at]), self.heads([sb[i] for i in at]))]
+            keep = np.zeros(len(na), bool)
+            for i in at.tolist():
+                x, y = (np.frombuffer(s[i], np.uint64, offset=self.head)[None] for s in (sa, sb))
+                size = min(x.shape[1], y.shape[1])
+                keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= limit[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def cross(self, best: bool):
+        """Plausible pairs of different components between a block of probes of a list and a block of its members.
+
+        A pair of probes is met twice and kept where the smaller one probes.  The
+        distance of a pair is by how much its sketches differ beyond what they may.
+        """
+
+        def run(rows: pa.Table) -> pa.Table:
+            key, comp, n, role, other = (rows[c].to_numpy() for c in ("key", "component", "n", "role", "other"))
+            raw = rows["sketch"].to_pylist()
+            words = np.array([(len(s) - self.head) // 8 for s in raw])
+            heads = self.heads(raw) if self.alike else None
+            probes, members = np.flatnonzero(role & PROBE), np.flatnonzero(role & MEMBER)
+            found = [np.empty((0, 3), np.int64)]
+            for size in np.unique(words[probes]):
+                own = probes[words[probes] == size]
+                for wide in (size // 2, size, 2 * size):
+                    near = members[words[members] == wide]
+                    if not wide or not len(near):
+                        continue
+                    least = min(size, wide)
+                    bits = fold(np.frombuffer(b"".join([raw[k][self.head :] for k in near]), np.uint64).reshape(-1, wide), least)
+                    for k in own.tolist():
+                        ok = (comp[near] != comp[k]) & (~other[near] | (key[near] > key[k])) & self.sizes_allow(n[near], n[k])
+                        at = np.flatnonzero(ok)
+                        if self.alike:
+                            at = at[self.alike(heads[near[at]], heads[k])]
+                        mine = fold(np.frombuffer(raw[k], np.uint64, offset=self.head)[None], least)
+                        for lo in range(0, len(at), CELLS // least + 1):
+                            some = at[lo : lo + CELLS // least + 1]
+                            differ = np.bitwise_count(bits[some] ^ mine).sum(axis=1, dtype=np.int64)
+                            some = near[some]
+                            margin = differ - (n[some] + n[k] - 2 * self.needed(n[some], n[k]))
+                            hit = margin <= 0
+                            found.append(np.stack([np.full(hit.sum(), k), some[hit], margin[hit]], 1))
+            return chosen(np.concatenate(found), rows, best)
+
+        return run
 
 
 def _similar(needed: Callable[[int, int], int]):
@@ -448,44 +513,6 @@ def chosen(pairs: np.ndarray, rows: pa.Table, best: bool) -> pa.Table:
     return pa.concat_tables([out, pa.table({"list": pa.array(name, pa.int64()), "a": left, "b": pa.nulls(len(left), pa.int64())})])
 
 
-def _cross(best: bool):
-    """Plausible pairs of different components between a block of probes of a list and a block of its members.
-
-    A pair of probes is met twice and kept where the smaller one probes.  The
-    distance of a pair is by how much its sketches differ beyond what they may.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        key, comp, n, role, other = (rows[c].to_numpy() for c in ("key", "component", "n", "role", "other"))
-        raw = rows["sketch"].to_pylist()
-        words = np.array([len(s) // 8 for s in raw])
-        probes, members = np.flatnonzero(role & PROBE), np.flatnonzero(role & MEMBER)
-        found = [np.empty((0, 3), np.int64)]
-        for size in np.unique(words[probes]):
-            own = probes[words[probes] == size]
-            for wide in (size // 2, size, 2 * size):
-                near = members[words[members] == wide]
-                if not wide or not len(near):
-                    continue
-                least = min(size, wide)
-                bits = fold(np.frombuffer(b"".join([raw[k] for k in near]), np.uint64).reshape(-1, wide), least)
-                for k in own.tolist():
-                    ok = (comp[near] != comp[k]) & (~other[near] | (key[near] > key[k]))
-                    ok &= 4 * np.minimum(n[near], n[k]) >= 3 * np.maximum(n[near], n[k])
-                    at = np.flatnonzero(ok)
-                    mine = fold(np.frombuffer(raw[k], np.uint64)[None], least)
-                    for lo in range(0, len(at), CELLS // least + 1):
-                        some = at[lo : lo + CELLS // least + 1]
-                        differ = np.bitwise_count(bits[some] ^ mine).sum(axis=1, dtype=np.int64)
-                        some = near[some]
-                        margin = differ - (n[some] + n[k] - 2 * overlap_needed(n[some], n[k]))
-                        hit = margin <= 0
-                        found.append(np.stack([np.full(hit.sum(), k), some[hit], margin[hit]], 1))
-        return chosen(np.concatenate(found), rows, best)
-
-    return run
-
-
 # ---------------------------------------------------------------- the join
 
 
@@ -493,12 +520,12 @@ class SetJoin:
     """What joins of shingle sets share: sets and frequent tokens, verification, components, and what is left to compare in lists.
 
     A subclass says what a set is compared by before it is read again whole: the
-    binary columns ``sketches`` (the first is compared first) that ``scan`` gives,
-    ``entries`` (the lists that each set belongs to), ``plausible`` and ``cross``.
+    binary columns ``sketches`` (the first is compared first) that ``sketch`` gives,
+    and ``entries`` (the lists that each set belongs to).
     """
 
     width = WIDTH
-    needed = staticmethod(overlap_needed)
+    similarity = Similarity()
     sketches = ("small", "sketch")
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]):
@@ -536,11 +563,11 @@ class SetJoin:
         """Entries of lists in blobs by bucket; ``buckets`` gives their number from that of entries."""
         raise NotImplementedError
 
-    def with_sets(self, pairs: DataFrame, sketch: str) -> DataFrame:
-        """a, b, their sizes na and nb, and their sketches sa and sb."""
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        sketch = self.sketches[0]
         for k in ("a", "b"):
             pairs = pairs.join(self.sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(sketch).alias(f"s{k}")), k)
-        return pairs.select("a", "b", "na", "nb", "sa", "sb")
+        return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(self.similarity.plausible, _CROSS)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of checkpointed pairs."""
@@ -591,7 +618,7 @@ class SetJoin:
         # a set all of whose documents lack an id has none as its representative
         placed = found.join(needed, (F.col("own") == F.col("key")) & found["rep"].eqNullSafe(needed["rep"])).select("p", "q", "key", "tokens")
         release(self.spark)
-        links = checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar(self.needed), _CROSS))
+        links = checkpoint(cells.groupBy("i", "j").cogroup(placed.groupBy("p", "q")).applyInArrow(_similar(self.similarity.needed), _CROSS))
         shared.unpersist()
         return links
 
@@ -624,7 +651,7 @@ class SetJoin:
         members = left.select(*columns, role, at["wide"].alias("i"), every["high"].alias("j"))
         probes = left.where(F.col("other") & (F.col("wide") > 1))
         probes = probes.select(*columns, F.lit(PROBE).alias("role"), every["wide"].alias("i"), at["high"].alias("j"))
-        return members.unionByName(probes).groupBy("list", "i", "j").applyInArrow(self.cross(best), _FOUND)
+        return members.unionByName(probes).groupBy("list", "i", "j").applyInArrow(self.similarity.cross(best), _FOUND)
 
     def run(self) -> DataFrame:
         n = partitions(self.spark)
@@ -665,8 +692,6 @@ class SetJoin:
 class _HeavyLight(SetJoin):
     """Subsets for light sets, inverted lists of prefixes for heavy ones; parity sketches before whole sets."""
 
-    cross = staticmethod(_cross)
-
     @staticmethod
     def sketch(tokens: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
         full = sketch(tokens)
@@ -680,9 +705,6 @@ class _HeavyLight(SetJoin):
         # a prefix is about a quarter of a set
         return self.rows.mapInArrow(_index(order, boundary, buckets(self.shingles // 4)), _ENTRIES)
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        return self.with_sets(pairs, "small").mapInArrow(_plausible, _CROSS)
-
 
 def looked_up(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
     """Rows with the columns of ``values``, which has each key once and the number of its rows as ``weight``.

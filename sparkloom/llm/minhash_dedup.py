@@ -4,7 +4,9 @@ A document's set of distinct word shingles has a signature of ``COORDINATES``
 minima under as many hash functions; two sets of Jaccard similarity J agree in
 each coordinate with probability J.  Documents are posted under their
 (coordinate, value) pairs, and pairs of documents that collide in at least a
-match threshold of coordinates are retained and confirmed on their full sets.
+match threshold of coordinates are retained and confirmed on their full sets,
+after exact bounds from parity sketches, which spare most of those that are only
+nearly similar.
 
 * The threshold is the largest that a similar pair misses with a probability of
   at most ``MISS``, by the binomial distribution.
@@ -39,12 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import documents
-from sparkloom.llm.jaccard_join import _CROSS, _ENTRIES, CHUNK_TOKENS, MEMBER, PROBE, Order, SetJoin, blobs, chosen
+from sparkloom.llm.jaccard_join import _ENTRIES, CHUNK_TOKENS, Order, SetJoin, Similarity, blobs, sketch, small_sketch
 from sparkloom.llm.textops import mix
 
 WIDTH = 4
 PERCENT = 80
 COORDINATES = 64
+SIGNATURE_BYTES = 4 * COORDINATES
 #: Probability that a pair just similar enough is missed, at most.
 MISS = 1e-8
 #: Coordinates counted before pairs that can't get there any more are left out.
@@ -54,11 +57,6 @@ _RANDOM = np.random.RandomState(20240613).randint(0, 1 << 62, (2, COORDINATES)).
 _FACTOR, _SHIFT = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
 
 
-def overlap_needed(n, m):
-    """Least intersection of similar sets of these sizes."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
-
-
 def match_threshold(coordinates: int, similarity: float, miss: float) -> int:
     """The largest number of matches that fewer of the pairs of this similarity than ``miss`` fall short of."""
     below, t = 0.0, 0
@@ -73,7 +71,7 @@ THRESHOLD = match_threshold(COORDINATES, PERCENT / 100, MISS)
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """The least value of a set's hashes under each function."""
+    """The least values of a set's hashes, one for each function."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(tokens), 4096):
         values = tokens[lo : lo + 4096, None] * _FACTOR + _SHIFT
@@ -86,55 +84,20 @@ def postings(minima: np.ndarray) -> np.ndarray:
     return mix(minima.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
 
 
-def collisions(many: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which signatures of many reach the threshold with one (or row by row), and their numbers of matches."""
+def collisions(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which signatures of many (rows of bytes) reach the threshold with one (or row by row)."""
+    many, one = many.view("<u4"), np.broadcast_to(one.view("<u4"), (len(many), COORDINATES))
     alive = np.arange(len(many))
     count = np.zeros(len(many), np.int64)
-    one = np.broadcast_to(one, many.shape)
     for lo in range(0, COORDINATES, STEP):
         count = count + (many[alive, lo : lo + STEP] == one[alive, lo : lo + STEP]).sum(axis=1)
         keep = count >= THRESHOLD - (COORDINATES - lo - STEP)
         alive, count = alive[keep], count[keep]
-    return alive, count
-
-
-def _sizes_allow(n, m):
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    return alive
 
 
 def _minima(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
-
-
-def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that collide often enough; columns a, b, na, nb, sa, sb."""
-    for batch in batches:
-        at = np.flatnonzero(_sizes_allow(*[batch[c].to_numpy() for c in ("na", "nb")]))
-        batch = batch.take(pa.array(at))
-        found, _ = collisions(_minima(batch["sa"]), _minima(batch["sb"]))
-        yield batch.select(["a", "b"]).take(pa.array(found))
-
-
-def _cross(best: bool):
-    """Pairs of different components that collide often enough, between a block of probes of a list and a block of its members.
-
-    A pair of probes is met twice and kept where the smaller one probes.  The
-    distance of a pair is the number of coordinates without a match.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        key, comp, n, role, other = (rows[c].to_numpy() for c in ("key", "component", "n", "role", "other"))
-        minima = _minima(rows["sketch"])
-        probes, members = np.flatnonzero(role & PROBE), np.flatnonzero(role & MEMBER)
-        found = [np.empty((0, 3), np.int64)]
-        for k in probes.tolist():
-            ok = (comp[members] != comp[k]) & (~other[members] | (key[members] > key[k])) & _sizes_allow(n[members], n[k])
-            some = members[ok]
-            hit, count = collisions(minima[some], minima[k])
-            found.append(np.stack([np.full(len(hit), k), some[hit], COORDINATES - count], 1))
-        return chosen(np.concatenate(found), rows, best)
-
-    return run
+    return np.frombuffer(b"".join([x[:SIGNATURE_BYTES] for x in column.to_pylist()]), "<u4").reshape(-1, COORDINATES)
 
 
 def _index(shared, buckets: int):
@@ -155,23 +118,21 @@ def _index(shared, buckets: int):
 
 
 class _Coordinates(SetJoin):
+    """Pairs collide often enough and, by parity sketches behind the signatures, may be similar before whole sets are read."""
+
     width = WIDTH
-    needed = staticmethod(overlap_needed)
-    sketches = ("sketch",)
-    cross = staticmethod(_cross)
+    similarity = Similarity(PERCENT, SIGNATURE_BYTES, collisions)
 
     @staticmethod
     def sketch(tokens: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
-        minima = signature(tokens)
-        return postings(minima), {"sketch": minima.tobytes()}
+        minima, parity = signature(tokens), sketch(tokens)
+        head = minima.tobytes()
+        return postings(minima), {"small": head + small_sketch(parity, len(tokens)), "sketch": head + parity}
 
     def entries(self, buckets: Callable[[int], int]) -> DataFrame:
         order = self.spark.sparkContext.broadcast(self.frequent())  # HOT_TOKENS pairs of numbers
         size = self.n_sets * (COORDINATES - THRESHOLD + 1)
-        return self.sets.select("key", "sketch").mapInArrow(_index(order, buckets(size)), _ENTRIES)
-
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        return self.with_sets(pairs, "sketch").mapInArrow(_plausible, _CROSS)
+        return self.sets.select("key", "small").mapInArrow(_index(order, buckets(size)), _ENTRIES)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
