@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import words
 from sparkloom.functions.vectors import cosine_distance
+from sparkloom.operators.folds import Fold, folded, greedy
 
 MIN_CHARS, MIN_NODE_CHARS = 24, 15
 ORDER_KEYS = ("page_number", "position_in_doc", "paragraph_number", "chunk_index")
@@ -126,8 +128,14 @@ def even_sample(rows: DataFrame, by: str, order: str, k: int = 8) -> DataFrame:
     return picked.withColumn("gap", gap).drop("__spots")
 
 
+def batched(rows: DataFrame, by: list[str], order: list[str], limits: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Append batch numbers to the rows of each key in order: ``limits`` has, for each new column, the column of sizes, the most items and the most size of a batch."""
+    folds = [Fold(name, T.IntegerType(), (size,), greedy(items, most)) for name, (size, items, most) in limits.items()]
+    return folded(rows, by, order, folds)
+
+
 def greedy_batches(sizes: Column, most_items: int = 6, most_size: int = 24_000) -> Column:
-    """Batch number of each size in an array: a new batch at ``most_items`` items or beyond ``most_size``."""
+    """Batch number of each size in a short array: a new batch at ``most_items`` items or beyond ``most_size``; ``batched`` takes rows without a bound."""
     zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
 
     def step(state: Column, size: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.operators.folds import Fold, folded
 
 
 def first_of_batch(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -77,20 +80,24 @@ def admitted(requests: DataFrame, group: str, order: list[str], size: str, used:
 
     A request that is turned away uses nothing, so later smaller ones may fit: a
     fold over each group's requests.  One of more than ``most`` is another rule's
-    to refuse and passes here.  A group's requests meet in one task, as rows of
-    their order and size only.
+    to refuse and passes here.  A size or use that is null counts as nothing.
     """
-    line = F.sort_array(F.collect_list(F.struct(*order, F.col(size).alias("size"))))
-    start = F.struct(F.max(F.coalesce(F.col(used), F.lit(0))).cast("long").alias("used"), F.array().cast("array<boolean>").alias("said"))
 
-    def step(state: Column, request: Column) -> Column:
-        fits = (request["size"] > most) | (state["used"] + request["size"] <= ceiling)
-        return F.struct((state["used"] + F.when(fits, request["size"]).otherwise(0)).alias("used"), F.concat(state["said"], F.array(fits)).alias("said"))
+    def start():
+        held = None
+
+        def step(before: int, asked: int) -> bool:
+            nonlocal held
+            held = before if held is None else held
+            fits = asked > most or held + asked <= ceiling
+            held += asked if fits else 0
+            return fits
+
+        return step
 
-    folded = requests.groupBy(group).agg(line.alias("line"), start.alias("start"))
-    folded = folded.select(group, F.explode(F.arrays_zip("line", F.aggregate("line", F.col("start"), step)["said"].alias("said"))).alias("x"))
-    verdicts = folded.select(group, *[F.col(f"x.line.{c}").alias(c) for c in order], F.col("x.said").alias("accepted"))
-    return requests.join(verdicts, [group, *order])
+    numbers = {"__used": F.max(F.coalesce(F.col(used), F.lit(0))).over(Window.partitionBy(group)).cast("long"), "__size": F.coalesce(F.col(size), F.lit(0)).cast("long")}
+    fold = Fold("accepted", T.BooleanType(), ("__used", "__size"), start)
+    return folded(requests.withColumns(numbers), [group], order, [fold], together=True).drop(*numbers)
 
 
 def rotate_keys(keys: DataFrame, new: DataFrame, by: str, at: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import scalars as sc
 from sparkloom.functions import text as tx
+from sparkloom.operators.folds import Fold, folded
 
 # Fixed values.
 LEAST_ROWS, LEAST_COLUMNS, SHEET_ROWS, HEADER_SCAN = 2, 2, 500, 5
@@ -68,90 +69,151 @@ def is_header_row(row: Column, following: Column) -> Column:
     return F.when(F.size(values) == 0, False).otherwise(~code & ~first.contains("---") & (now < HEADER_LIKE) & ~falls)
 
 
-def sheet_tables(cells: DataFrame, rows_per_part: int = SHEET_ROWS) -> DataFrame:
-    """(sheet, block_no, part, headers, rows) of cells (sheet, row, col, value).
+def _block_numbers():
+    """Numbers of the blocks of a sheet's rows: -1 for a blank row, which ends a block, as a header does below ``LEAST_ROWS`` rows of which the last is none."""
+    block, held, header_before = 0, 0, False
+
+    def step(blank: bool, header: bool) -> int:
+        nonlocal block, held, header_before
+        opens = held >= LEAST_ROWS and header and not header_before
+        if blank or opens:
+            block, held = block + 1, 0
+        if blank:
+            header_before = False
+            return -1
+        held, header_before = held + 1, header
+        return block
+
+    return step
+
+
+def sheet_tables(cells: DataFrame, rows_per_part: int = SHEET_ROWS, by: tuple[str, ...] = ("sheet",)) -> DataFrame:
+    """(``by``, block_no, part, headers, rows) of cells (``by``, row, col, value); ``by`` names the sheet, of a file where there are more.
 
     A blank row ends a block, and so does a header-like row after a row that is
     none, once the block has two rows.  Blocks need two rows and two columns of
-    data; a long block is split by rows.  Only a row's number and two flags meet
-    Python, where the blocks of a sheet are numbered one row after the other.
+    data; a long block is split by rows.  Rows are dealt out by sheet once: their
+    flags are folded into block numbers as they come, and what a block is (its
+    header, its number of rows) follows in windows over its own rows.
     """
+    keys = list(by)
     trimmed = F.nullif(F.trim("value"), F.lit(""))
-    wide = cells.groupBy("sheet").agg(F.max("col").alias("__last"), F.min("row").alias("__from"), F.max("row").alias("__to"))
-    rows = cells.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", trimmed.alias("v")))).alias("__m"))
-    every = wide.select("sheet", "__last", F.explode(F.sequence("__from", "__to")).alias("row"))
-    rows = every.join(rows, ["sheet", "row"], "left").select(
-        "sheet", "row", F.transform(F.sequence(F.lit(0), F.col("__last")), lambda c: F.try_element_at(F.col("__m"), c)).alias("cells")
+    wide = cells.groupBy(*keys).agg(F.max("col").alias("__last"), F.min("row").alias("__from"), F.max("row").alias("__to"))
+    rows = cells.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", trimmed.alias("v")))).alias("__m"))
+    every = wide.select(*keys, "__last", F.explode(F.sequence("__from", "__to")).alias("row"))
+    rows = every.join(rows, [*keys, "row"], "left").select(
+        *keys, "row", F.transform(F.sequence(F.lit(0), F.col("__last")), lambda c: F.try_element_at(F.col("__m"), c)).alias("cells")
     )
-    order = Window.partitionBy("sheet").orderBy("row")
+    order = Window.partitionBy(*keys).orderBy("row")
     blank = ~F.exists("cells", lambda c: c.isNotNull())
     flags = rows.withColumns({"blank": blank, "header": is_header_row(F.col("cells"), F.lead("cells").over(order))})
-
-    def numbered(sheet: pd.DataFrame) -> pd.DataFrame:
-        sheet = sheet.sort_values("row")
-        blocks, block, held, before = [], 0, 0, False
-        for is_blank, header in zip(sheet["blank"], sheet["header"], strict=True):
-            if is_blank:
-                block, held, before = block + 1, 0, False
-                blocks.append(-1)
-                continue
-            if held >= LEAST_ROWS and header and not before:
-                block, held = block + 1, 0
-            held, before = held + 1, header
-            blocks.append(block)
-        return sheet[["sheet", "row"]].assign(block=blocks)
-
-    placed = flags.select("sheet", "row", "blank", "header").groupBy("sheet").applyInPandas(numbered, "sheet string, row int, block int")
-    body = flags.drop("blank").join(placed, ["sheet", "row"]).where("block >= 0")
-    line = Window.partitionBy("sheet", "block").orderBy("row")
-    body = body.withColumn("n", F.row_number().over(line))
-    chosen = body.where((F.col("n") <= HEADER_SCAN) & F.col("header")).groupBy("sheet", "block").agg(F.min("n").alias("at"))
-    body = body.join(chosen, ["sheet", "block"], "left").withColumn("at", F.coalesce("at", F.lit(1)))
-    heads = body.where("n = at").select("sheet", "block", F.transform("cells", lambda c, i: F.coalesce(c, F.concat(F.lit("Column_"), (i + 1).cast("string")))).alias("headers"))
-    data = body.where("n > at").withColumn("part", F.floor((F.col("n") - F.col("at") - 1) / rows_per_part).cast("int"))
+    body = folded(flags, keys, ["row"], [Fold("block", T.IntegerType(), ("blank", "header"), _block_numbers)], together=True).where("block >= 0")
+    whole = Window.partitionBy(*keys, "block")
+    body = body.withColumn("n", F.row_number().over(whole.orderBy("row")))
+    found_at = F.min(F.when((F.col("n") <= HEADER_SCAN) & F.col("header"), F.col("n"))).over(whole)
+    body = body.withColumns({"at": F.coalesce(found_at, F.lit(1)), "last": F.max("n").over(whole)})
+    names = F.transform("cells", lambda c, i: F.coalesce(c, F.concat(F.lit("Column_"), (i + 1).cast("string"))))
+    body = body.withColumn("headers", F.max(F.when(F.col("n") == F.col("at"), names)).over(whole))
+    data = body.where((F.col("n") > F.col("at")) & (F.col("last") - F.col("at") >= LEAST_ROWS) & (F.size("headers") >= LEAST_COLUMNS))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("block")) - 1
+    data = data.withColumns({"block_no": number, "part": F.floor((F.col("n") - F.col("at") - 1) / rows_per_part).cast("int")})
     # a part is a bounded number of rows
     packed = F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"])
-    parts = data.groupBy("sheet", "block", "part").agg(packed.alias("rows"), F.count("*").alias("k"))
-    total = parts.groupBy("sheet", "block").agg(F.sum("k").alias("total")).where(F.col("total") >= LEAST_ROWS)
-    found = parts.join(total, ["sheet", "block"]).join(heads.where(F.size("headers") >= LEAST_COLUMNS), ["sheet", "block"])
-    number = F.dense_rank().over(Window.partitionBy("sheet").orderBy("block")) - 1
-    return found.select("sheet", number.alias("block_no"), "part", "headers", "rows")
+    return data.groupBy(*keys, "block_no", "part").agg(F.first("headers").alias("headers"), packed.alias("rows")).select(*keys, "block_no", "part", "headers", "rows")
 
 
 # ---------------------------------------------------------------- page tables
 
 
+def word_tables(words: DataFrame, by: tuple[str, ...] = ("doc_id", "page"), gap_y: float = 3.0, gap_x: float = 12.0, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(``by``, table_no, x0, top, x1, bottom, n_columns, rows) of positioned words (``by``, x0, top, x1, bottom, text): gaps and islands.
+
+    Words whose vertical extents overlap, or are less than ``gap_y`` apart, form
+    a line.  Within a line words less than ``gap_x`` apart form a cell.  Lines of
+    two cells or more that follow each other make a table, whose columns are the
+    islands of its cells' horizontal extents; a table needs ``least_rows`` lines
+    and two columns.  All steps are windows and groups over one page's words; a
+    cell of a line and column holds its texts from left to right.
+    """
+    keys = list(by)
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def islands(rows: DataFrame, within: list[str], start: str, end: str, gap: float, name: str, ties: list[str]) -> DataFrame:
+        """Number the islands of intervals that are no further than ``gap`` apart."""
+        line = Window.partitionBy(*within).orderBy(start, end, *ties)
+        opens = F.coalesce(F.col(start) - F.max(end).over(before(line)) > gap, F.lit(True))
+        return rows.withColumn("__opens", opens.cast("int")).withColumn(name, F.sum("__opens").over(to_here(line))).drop("__opens")
+
+    solid = words.where(F.trim("text") != "")
+    solid = islands(solid, keys, "top", "bottom", gap_y, "line", ["x0", "text"])
+    solid = islands(solid, [*keys, "line"], "x0", "x1", gap_x, "cell", ["top", "text"])
+    lines = solid.groupBy(*keys, "line").agg(F.max("cell").alias("n_cells"))
+    order = Window.partitionBy(*keys).orderBy("line")
+    tabular = F.col("n_cells") >= LEAST_COLUMNS
+    lines = lines.withColumn("__run", F.sum((~tabular).cast("int")).over(to_here(order))).where(tabular)
+    placed = solid.join(lines.select(*keys, "line", "__run"), [*keys, "line"])
+    placed = islands(placed, [*keys, "__run"], "x0", "x1", gap_x, "column", ["line", "text"])
+    shape = placed.groupBy(*keys, "__run").agg(
+        *[F.min(c).alias(c) for c in ("x0", "top")], *[F.max(c).alias(c) for c in ("x1", "bottom")],
+        F.max("column").cast("int").alias("n_columns"), F.count_distinct("line").alias("n_rows"),
+    )
+    shape = shape.where((F.col("n_columns") >= LEAST_COLUMNS) & (F.col("n_rows") >= least_rows))
+    shape = shape.withColumn("table_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("__run")) - 1).cast("int"))
+    said = F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY x0, top, text)")
+    cells = placed.groupBy(*keys, "__run", "line", "column").agg(said.alias("text"))
+    filled = cells.groupBy(*keys, "__run", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("__m"))
+    rows = filled.join(shape, [*keys, "__run"]).withColumn(
+        "__row", F.transform(F.sequence(F.lit(1), F.col("n_columns")), lambda c: F.coalesce(F.try_element_at(F.col("__m"), c.cast("long")), F.lit("")))
+    )
+    kept = [*keys, "table_no", "x0", "top", "x1", "bottom", "n_columns"]
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("line", "__row"))), lambda r: r["__row"])
+    return rows.groupBy(*kept).agg(packed.alias("rows"))
+
+
 def solid_tables(tables: DataFrame) -> DataFrame:
     """Tables of two columns or more whose accuracy, where it is known, is at least 60."""
     return tables.where((F.col("n_columns") >= LEAST_COLUMNS) & (F.coalesce("accuracy", F.lit(100.0)) >= LEAST_ACCURACY))
 
 
+def _alike(a: tuple, b: tuple) -> bool:
+    """Whether two tables (columns, x0, x1) stand in the same place with the same width and number of columns."""
+    middles, widths = [(x[1] + x[2]) / 2 for x in (a, b)], [x[2] - x[1] for x in (a, b)]
+    return a[0] == b[0] and abs(middles[0] - middles[1]) <= SHIFT and abs(widths[0] - widths[1]) <= max(widths) * WIDTH_SHARE
+
+
+def _chains():
+    """The first table of the chain that each table ends; a state of the chains that end on the page before and on this one."""
+    at = None
+    before: dict[int, tuple] = {}
+    here: dict[int, tuple] = {}
+
+    def step(number: int, page: int, columns: int, x0: float, x1: float) -> int:
+        nonlocal at, before, here
+        if page != at:
+            before = here if at is not None and page == at + 1 else {}
+            at, here = page, {}
+        own = (columns, x0, x1)
+        # of several chains that it could continue the one that began first
+        first = min((f for f, end in before.items() if _alike(end, own)), default=number)
+        before.pop(first, None)
+        here[first] = own
+        return first
+
+    return step
+
+
 def continued_groups(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Append ``first`` to tables (doc, table_no, page, n_columns, x0, x1): the table that each one continues, itself if none.
 
     A table continues one on the page before with as many columns, in the same
-    place and of the same width.  Each is taken once, chains going forward: a
-    fold over a document's few tables, of which only these numbers are seen.
+    place and of the same width; each is continued once, and tables are numbered
+    page by page.  A document's tables are folded in order; the state is what two
+    pages hold.
     """
-
-    def chained(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("table_no")
-        items = list(rows.itertuples(index=False))
-        first: dict[int, int] = {}
-        for i, a in enumerate(items):
-            if a.table_no in first:
-                continue
-            first[a.table_no], reference = a.table_no, a
-            for b in items[i + 1 :]:
-                wide, other = reference.x1 - reference.x0, b.x1 - b.x0
-                near = abs((reference.x0 + reference.x1) - (b.x0 + b.x1)) / 2 <= SHIFT and abs(wide - other) <= max(wide, other) * WIDTH_SHARE
-                if b.table_no not in first and b.page - reference.page == 1 and b.n_columns == reference.n_columns and near:
-                    first[b.table_no], reference = a.table_no, b
-        return rows[[doc, "table_no"]].assign(first=[first[t] for t in rows["table_no"]])
-
-    small = tables.select(doc, "table_no", "page", "n_columns", F.col("x0").cast("double"), F.col("x1").cast("double"))
-    kinds = f"{doc} {tables.schema[doc].dataType.simpleString()}, table_no int, first int"
-    return tables.join(small.groupBy(doc).applyInPandas(chained, kinds), [doc, "table_no"])
+    numbers = {"__x0": F.col("x0").cast("double"), "__x1": F.col("x1").cast("double")}
+    fold = Fold("first", tables.schema["table_no"].dataType, ("table_no", "page", "n_columns", "__x0", "__x1"), _chains)
+    return folded(tables.withColumns(numbers), [doc], ["page", "table_no"], [fold]).drop(*numbers)
 
 
 def merged_tables(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -192,26 +254,25 @@ def images_to_read(images: DataFrame, doc: str, page: str, pos: str, most_page:
     """Append ``read`` to images (doc, page, pos, sha1, width, height): the first of equal ones, large enough, within the page's and the document's budget.
 
     What a full page leaves unlooked-at may still be read on a later page, so a
-    document's images are folded in order, as numbers and hashes only.
+    document's images are folded in order; the state holds the hashes looked at.
     """
-    line = F.sort_array(F.collect_list(F.struct(page, pos, "sha1", ((F.col("width") >= pixels) & (F.col("height") >= pixels)).alias("large"))))
-    start = F.struct(
-        F.array().cast("array<string>").alias("seen"), F.lit(None).cast("long").alias("page"), F.lit(0).alias("here"), F.lit(0).alias("before"), F.array().cast("array<boolean>").alias("said")
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(s["page"] == x[page], F.lit(False))
-        here = F.when(same, s["here"]).otherwise(0)
-        before = F.when(same, s["before"]).otherwise(s["before"] + s["here"])
-        looked = here < F.least(F.lit(most_page), most - before)
-        fresh = looked & ~F.array_contains(s["seen"], x["sha1"])
-        good = fresh & x["large"]
-        return F.struct(
-            F.when(fresh, F.concat(s["seen"], F.array(x["sha1"]))).otherwise(s["seen"]).alias("seen"), x[page].cast("long").alias("page"),
-            (here + good.cast("int")).alias("here"), before.alias("before"), F.concat(s["said"], F.array(good)).alias("said"),
-        )
-
-    folded = images.groupBy(doc).agg(line.alias("line"))
-    folded = folded.select(doc, F.explode(F.arrays_zip("line", F.aggregate("line", start, step)["said"].alias("said"))).alias("x"))
-    return images.join(folded.select(doc, F.col(f"x.line.{page}").alias(page), F.col(f"x.line.{pos}").alias(pos), F.col("x.said").alias("read")), [doc, page, pos])
 
+    def start():
+        seen: set[str] = set()
+        at, here, before = None, 0, 0
+
+        def step(number: int, digest: str, large: bool) -> bool:
+            nonlocal at, here, before
+            if number != at:
+                at, here, before = number, 0, before + here
+            if here >= min(most_page, most - before) or digest in seen:
+                return False
+            seen.add(digest)
+            here += bool(large)
+            return bool(large)
+
+        return step
+
+    large = (F.col("width") >= pixels) & (F.col("height") >= pixels)
+    fold = Fold("read", T.BooleanType(), (page, "sha1", "__large"), start)
+    return folded(images.withColumn("__large", large), [doc], [page, pos, "sha1"], [fold]).drop("__large")

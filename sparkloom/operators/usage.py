@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 ANY = "*"
 #: Metric, period and limit of a workspace that sets none.
@@ -61,6 +62,55 @@ def captured(ledger: DataFrame, rollup: DataFrame, charges: DataFrame) -> tuple[
     return ledger.unionByName(fresh), grown
 
 
+#: Columns of a ledger's table behind its day, and of a rollup's behind its bucket.
+LEDGER = "workspace_id long, operation_id long, agent_key string, provider string, tokens long, cost_micros long, created_at timestamp"
+ROLLUP = "workspace_id long, agent_key string, provider string, tokens long, cost_micros long"
+
+
+def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+
+
+def read_rollups(spark: SparkSession, root: str) -> DataFrame:
+    return _stored(spark, f"{root}/rollups", f"{ROLLUP}, period string, period_start date")
+
+
+def capture_batch(charges: DataFrame, root: str) -> None:
+    """Add charges to a ledger and its rollups, tables under ``root``; only the buckets that the charges fall in are rewritten.
+
+    The ledger lies by day, the rollups by period and start.  New operations
+    (each once, whenever they come again) go to the ledger; then the days of the
+    batch are summed again from the ledger's own days, and their months from the
+    days' rollups, each by an overwrite of just these partitions.  What is written
+    follows from the ledger alone, so a batch that fails anywhere and is run again
+    leaves the same tables as one that did not.
+    """
+    spark = charges.sparkSession
+    day = F.to_date("created_at").alias("day")
+    ledger = _stored(spark, f"{root}/ledger", f"{LEDGER}, day date")
+    keys = ["workspace_id", "operation_id"]
+    columns = ledger.columns[:-1]
+    fresh = deduplicated(charges.withColumn("created_at", F.col("created_at").cast("timestamp"))).join(ledger.select(*keys), keys, "left_anti")
+    fresh.select(*columns, day).write.mode("append").partitionBy("day").parquet(f"{root}/ledger")
+    # a row for each day of the batch: with it only those days' folders are read
+    days = F.broadcast(charges.select(day).distinct())
+    ledger = spark.read.schema(f"{LEDGER}, day date").parquet(f"{root}/ledger").join(days, "day", "left_semi")
+    put = lambda rows: rows.select(*[c.split()[0] for c in ROLLUP.split(", ")], "period", "period_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "period_start").parquet(f"{root}/rollups")
+    put(rollups(ledger).where("period = 'day'"))
+    month = F.trunc("period_start", "MM")
+    months = F.broadcast(days.select(F.trunc("day", "MM").alias("month")).distinct())
+    of_days = read_rollups(spark, root).where("period = 'day'").withColumn("month", month).join(months, "month", "left_semi")
+    by = ["workspace_id", "agent_key", "provider", F.lit("month").alias("period"), F.col("month").alias("period_start")]
+    put(of_days.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tokens", "cost_micros")]))
+
+
+def rollup_stream(charges: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep a ledger and its rollups from a stream of charges, over what is there."""
+    return charges.writeStream.foreachBatch(lambda batch, _: capture_batch(batch, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def summary(rolled: DataFrame, period: str = "month") -> DataFrame:
     """The latest period of each workspace by line: total, agent or provider."""
     rows = rolled.where(F.col("period") == period)

@@ -151,11 +151,7 @@ SELECT conv_id, turn, CAST(g AS INTEGER) AS sentence_group, CAST(b AS INTEGER) A
 """)
 def e11_packed_turns(spark: SparkSession, folder: str) -> DataFrame:
     sizes = table(spark, folder, "conversations").select("conv_id", "turn", F.size(tx.sentences(F.col("text"))).alias("n"), F.length("text").alias("c"))
-    line = sizes.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "n", "c"))).alias("line"))
-    groups = chunking.greedy_batches(F.transform("line", lambda x: x["n"]), 1 << 30, 8)
-    batches = chunking.greedy_batches(F.transform("line", lambda x: x["c"]), 3, 600)
-    each = line.select("conv_id", F.explode(F.arrays_zip("line", groups.alias("g"), batches.alias("b"))).alias("x"))
-    return each.select("conv_id", F.col("x.line.turn").alias("turn"), F.col("x.g").alias("sentence_group"), F.col("x.b").alias("batch"))
+    return chunking.batched(sizes, ["conv_id"], ["turn"], {"sentence_group": ("n", 1 << 30, 8), "batch": ("c", 3, 600)}).drop("n", "c")
 
 
 @query("""

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkloom.operators.folds import Admission, Fold, folded
+
 ENVELOPE = "id string, type string, workspaceid string, time string, data string"
 #: Days that outbox rows, processed events and idempotency keys are kept.
 RETENTION_DAYS = {"idempotency": 2, "processed": 30, "outbox": 90}
@@ -188,20 +191,12 @@ def admissions(attempts: DataFrame, key: str, at: str, order: list[str], ttl: in
     """Append ``admitted`` to connection attempts: one is admitted while fewer than ``most`` admitted within ``ttl`` seconds before it are held.
 
     Whether an attempt counts depends on those before it, so a key's attempts are
-    folded in order; the state is the times of at most ``most`` admissions.
+    folded in order; the state is the times of at most ``most`` admissions.  For
+    a stream see ``stateful.admission_stream``.
     """
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    line = F.sort_array(F.collect_list(F.struct(seconds.alias("s"), *order)))
-    start = F.struct(F.array().cast("array<double>").alias("held"), F.array().cast("array<boolean>").alias("said"))
-
-    def step(state: Column, x: Column) -> Column:
-        held = F.filter(state["held"], lambda t: t > x["s"] - ttl)
-        ok = F.size(held) < most
-        return F.struct(F.when(ok, F.concat(held, F.array(x["s"]))).otherwise(held).alias("held"), F.concat(state["said"], F.array(ok)).alias("said"))
-
-    folded = attempts.groupBy(key).agg(line.alias("line"))
-    folded = folded.select(key, F.explode(F.arrays_zip("line", F.aggregate("line", start, step)["said"].alias("said"))).alias("x"))
-    return attempts.join(folded.select(key, *[F.col(f"x.line.{c}").alias(c) for c in order], F.col("x.said").alias("admitted")), [key, *order])
+    micros = attempts.withColumn("__micros", F.unix_micros(F.col(at).cast("timestamp")))
+    fold = Fold("admitted", T.BooleanType(), ("__micros",), lambda: Admission(ttl * 1_000_000, most))
+    return folded(micros, [key], ["__micros", *order], [fold]).drop("__micros")
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
