@@ -135,6 +135,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def words_of_limit(token_limit: Column) -> Column:
+    """``max_words`` of a column."""
+    return F.greatest(F.floor(token_limit / 1.3 * 0.9), F.lit(32)).cast("int")
+
+
 def max_words(token_limit: int) -> int:
     """Words that surely fit a token limit: 1.3 tokens a word and a tenth in reserve."""
     return max(int(token_limit / 1.3 * 0.9), 32)

@@ -21,15 +21,30 @@ LEAST_PIXELS, IMAGES_A_PAGE, IMAGES_A_DOCUMENT = 200, 8, 40
 # ---------------------------------------------------------------- paragraphs
 
 
-def sections(paragraphs: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
+#: Names of the paragraph styles that mark a heading.
+HEADING_STYLE, TITLE_STYLES = "heading", ("title", "subtitle")
+
+
+def is_heading_style(style: Column) -> Column:
+    name = F.lower(F.trim(style))
+    return F.coalesce(F.startswith(name, F.lit(HEADING_STYLE)) | name.isin(*TITLE_STYLES), F.lit(False))
+
+
+def _titles(text: str, style: str | None) -> Column:
+    by_text = sc.is_heading(F.col(text))
+    return by_text | is_heading_style(F.col(style)) if style else by_text
+
+
+def sections(paragraphs: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text", style: str | None = None) -> DataFrame:
     """(doc, pos, title, content): a heading with the paragraphs up to the next one.
 
+    A heading is told by the name of its style, where there is one, or by its text.
     Blank paragraphs are left out.  A label above a tabular line is a caption,
     not a heading.  Before the first heading paragraphs stand alone, but for
     bullets, which make one block there.
     """
     order = Window.partitionBy(doc).orderBy(pos)
-    solid = paragraphs.where(F.trim(text) != "").withColumn("__title", sc.is_heading(F.col(text)))
+    solid = paragraphs.where(F.trim(text) != "").withColumn("__title", _titles(text, style))
     caption = sc.is_weak_heading(F.col(text)) & F.col("__title") & sc.looks_tabular(F.coalesce(F.lead(text).over(order), F.lit("")))
     opened = solid.withColumn("__opens", F.col("__title") & ~caption)
     number = F.sum(F.col("__opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -43,10 +58,10 @@ def sections(paragraphs: DataFrame, doc: str = "doc_id", pos: str = "pos", text:
     return made.select(doc, pos, "title", F.coalesce(F.col("content"), F.lit("")).alias("content"))
 
 
-def with_breadcrumbs(items: DataFrame, is_table: Column, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
+def with_breadcrumbs(items: DataFrame, is_table: Column, doc: str = "doc_id", pos: str = "pos", text: str = "text", style: str | None = None) -> DataFrame:
     """Tables of a document (rows where ``is_table``) with the last descriptive heading above them and the last label after that as ``title``."""
     order = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heading = ~is_table & sc.is_heading(F.col(text))
+    heading = ~is_table & _titles(text, style)
     weak = sc.is_weak_heading(F.col(text))
     last = lambda hit: F.max(F.when(hit, F.struct(F.col(pos).alias("pos"), F.col(text).alias("text")))).over(order)
     rows = items.withColumns({"__section": last(heading & ~weak), "__caption": last(heading & weak)})
@@ -55,6 +70,19 @@ def with_breadcrumbs(items: DataFrame, is_table: Column, doc: str = "doc_id", po
     return rows.where(is_table).withColumn("title", tx.breadcrumb(parts)).drop("__section", "__caption")
 
 
+def headed_tables(tables: DataFrame, rows: str = "rows") -> DataFrame:
+    """Tables (rows of cells) with the first row as ``headers``, an empty one named by its place; blank rows go, as do tables without a row of data.
+
+    Rows are padded and cut to the headers.
+    """
+    said = F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(F.trim(c), F.lit(""))))
+    solid = tables.withColumn(rows, F.filter(said, lambda r: F.exists(r, lambda c: c != ""))).where(F.size(rows) >= LEAST_ROWS)
+    names = F.transform(F.element_at(rows, 1), lambda c, i: F.when(c == "", F.concat(F.lit("Column_"), (i + 1).cast("string"))).otherwise(c))
+    solid = solid.withColumn("headers", names)
+    fit = lambda r: F.transform("headers", lambda _, i: F.coalesce(F.get(r, i), F.lit("")))
+    return solid.withColumn(rows, F.transform(F.slice(rows, 2, F.size(rows) - 1), fit))
+
+
 # ---------------------------------------------------------------- sheets
 
 
@@ -125,11 +153,11 @@ def sheet_tables(cells: DataFrame, rows_per_part: int = SHEET_ROWS, by: tuple[st
 # ---------------------------------------------------------------- page tables
 
 
-def word_tables(words: DataFrame, by: tuple[str, ...] = ("doc_id", "page"), gap_y: float = 3.0, gap_x: float = 12.0, least_rows: int = LEAST_ROWS) -> DataFrame:
+def word_tables(words: DataFrame, by: tuple[str, ...] = ("doc_id", "page"), gap_y: float = 0.0, gap_x: float = 12.0, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(``by``, table_no, x0, top, x1, bottom, n_columns, rows) of positioned words (``by``, x0, top, x1, bottom, text): gaps and islands.
 
-    Words whose vertical extents overlap, or are less than ``gap_y`` apart, form
-    a line.  Within a line words less than ``gap_x`` apart form a cell.  Lines of
+    Words whose vertical extents overlap, or are no more than ``gap_y`` apart, form
+    a line.  Within a line words no more than ``gap_x`` apart form a cell.  Lines of
     two cells or more that follow each other make a table, whose columns are the
     islands of its cells' horizontal extents; a table needs ``least_rows`` lines
     and two columns.  All steps are windows and groups over one page's words; a

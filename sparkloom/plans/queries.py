@@ -449,4 +449,4 @@ def j20_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # the other modules register theirs in the same place
-from sparkloom.plans import change_queries, relational_queries, retrieval_queries, structure_queries, text_queries  # noqa: E402, F401
+from sparkloom.plans import change_queries, ingest_queries, relational_queries, retrieval_queries, structure_queries, text_queries  # noqa: E402, F401

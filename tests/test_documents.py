@@ -71,6 +71,10 @@ def test_sheet_tables(spark):
     got = structure.sheet_tables(spark.createDataFrame(long, "sheet string, row int, col int, value string"))
     assert sorted(len(r["rows"]) for r in got.collect()) == [200, 500, 500]
     assert structure.sheet_tables(frame.limit(0)).count() == 0
+    # two files with a sheet of one name
+    twice = frame.withColumn("path", F.lit("a")).unionByName(frame.where("row < 3").withColumn("path", F.lit("b")))
+    got = structure.sheet_tables(twice, by=("path", "sheet")).groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in got} == {"a": 3, "b": 1}
 
 
 def test_json_shapes(spark):
@@ -113,6 +117,10 @@ def test_continued_tables(spark):
     frame = spark.createDataFrame(rows, "doc_id int, table_no int, page int, n_columns int, x0 double, x1 double")
     got = {(r["doc_id"], r["table_no"]): r["first"] for r in structure.continued_groups(frame).collect()}
     assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 3, (1, 4): 4, (2, 0): 0}
+    # two chains side by side, of which one ends; a table that both could take goes to the one that began first
+    pages = [(1, 0, 1, 2, 0.0, 100.0), (1, 1, 1, 2, 20.0, 120.0), (1, 2, 2, 2, 10.0, 110.0), (1, 3, 3, 2, 12.0, 112.0), (1, 4, 3, 2, 300.0, 400.0), (1, 5, 4, 2, 290.0, 390.0)]
+    frame = spark.createDataFrame(pages, "doc_id int, table_no int, page int, n_columns int, x0 double, x1 double")
+    assert {r["table_no"]: r["first"] for r in structure.continued_groups(frame).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 4}
     parts = [
         (1, 0, 0, ["Name", "Size"], [["a", "1"]]), (1, 1, 0, None, [["name ", "size"], ["b", "2"], ["", " "]]), (1, 2, 0, None, [["c", "3"]]), (1, 3, 3, ["X"], [["x"]]),
     ]
@@ -158,7 +166,7 @@ def test_file_router_and_office_files(spark, tmp_path):
     told = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["error"]) for r in routed.collect()}
     assert told["x.docx"] == ("docx", None) and told["z.TXT"] == ("text", None) and told["t.json"] == ("json", None)
     assert told["bomb.docx"][1] == "compression_ratio" and told["fake.docx"][1] == "not_an_archive"
-    assert "empty.md" not in told  # the reader leaves empty files out
+    assert told["empty.md"] == ("text", "empty_content")
     assert told["odd.exe"] == (None, "unsupported_type")
     items = files.docx_files(routed).where("path LIKE '%x.docx'").orderBy("pos").collect()
     assert [(r["kind"], r["style"], r["text"], r["rows"]) for r in items] == [
@@ -166,10 +174,87 @@ def test_file_router_and_office_files(spark, tmp_path):
     ]
     assert files.docx_files(routed).where("error IS NOT NULL").count() == 1
     got = files.xlsx_files(routed).orderBy("row", "col").collect()
+    assert {r["sheet_no"] for r in got} == {0}
     assert [(r["sheet"], r["row"], r["col"], r["value"]) for r in got] == [("One", 0, 0, "name"), ("One", 0, 27, "7"), ("One", 2, 1, "in")]
     assert [r["text"] for r in files.text_files(routed).collect()] == ["hello w rld"]
 
 
+def test_dates_and_styles_of_office_files():
+    s, w = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    row = "".join(f'<c r="{c}1" s="{k}"><v>{v}</v></c>' for c, k, v in (("A", 0, "45292"), ("B", 1, "45292"), ("C", 2, "45292.5"), ("D", 3, "0.25"), ("E", 4, "7")))
+    book = archive({
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f"""<styleSheet xmlns="{s}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode='0 "days"'/></numFmts>
+            <cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="20"/><xf numFmtId="171"/></cellXfs></styleSheet>""",
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData><row r="1">{row}</row></sheetData></worksheet>',
+    })
+    assert [x["value"] for x in files.xlsx_cells(book)] == ["45292", "2024-01-01T00:00:00", "2024-01-01T12:00:00", "06:00:00", "7"]
+    assert files.iso_date(0.5, True) == "12:00:00" and files.iso_date(1, True) == "1904-01-02T00:00:00"
+    word = archive({
+        "word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="x1"/></w:pPr><w:r><w:t>It is so.</w:t></w:r></w:p></w:body></w:document>',
+        "word/styles.xml": f'<w:styles xmlns:w="{w}"><w:style w:styleId="x1"><w:name w:val="heading 2"/></w:style></w:styles>',
+    })
+    assert files.docx_items(word) == [{"pos": 0, "kind": "paragraph", "style": "heading 2", "text": "It is so.", "rows": None}]
+
+
+def test_headings_by_style_and_headed_tables(spark):
+    rows = [(1, 0, "It is so.", "Heading 2"), (1, 1, "words of it.", None), (1, 2, "and it ends.", "Title"), (1, 3, "more words.", "Normal")]
+    frame = spark.createDataFrame(rows, "doc_id int, pos int, text string, style string")
+    got = structure.sections(frame, style="style").orderBy("pos").collect()
+    assert [(r["title"], r["content"]) for r in got] == [("It is so.", "words of it."), ("and it ends.", "more words.")]
+    assert structure.sections(frame).where("title IS NOT NULL").count() == 0
+    made = [(1, [["a", " ", "c"], ["1"], ["", None], ["x", "y", "z", "cut"]]), (2, [["only", "head"], [" ", ""]]), (3, [])]
+    got = structure.headed_tables(spark.createDataFrame(made, "k int, rows array<array<string>>")).collect()
+    assert [(r["k"], r["headers"], r["rows"]) for r in got] == [(1, ["a", "Column_2", "c"], [["1", "", ""], ["x", "y", "z"]])]
+
+
+def test_word_tables_across_columns_and_pages(spark):
+    word = lambda page, x0, y, text, wide=20.0: (page, float(x0), float(y), float(x0) + wide, float(y) + 8, text)
+    rows = [word(1, 10, 0, "Title", 150.0)]
+    rows += [word(1, x, y, f"r{y}c{x}") for y in (20, 31, 42) for x in (10, 100, 200) if (y, x) != (31, 100)]
+    rows += [word(1, 10, 70, "between", 150.0)] + [word(1, x, y, t) for y, x, t in ((90, 10, "k"), (90, 50, "v"), (101, 12, "k2"), (102, 50, "v2"))]
+    rows += [word(2, 10, 0, "lone"), word(2, 90, 0, "line"), word(3, 10, 0, " ")]
+    frame = spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double, text string")
+    got = structure.word_tables(frame, ("page",)).orderBy("page", "table_no").collect()
+    assert [(r["page"], r["table_no"], r["n_columns"], r["rows"]) for r in got] == [
+        (1, 0, 3, [["r20c10", "r20c100", "r20c200"], ["r31c10", "", "r31c200"], ["r42c10", "r42c100", "r42c200"]]),
+        (1, 1, 2, [["k", "v"], ["k2", "v2"]]),
+    ]
+    assert (got[0]["x0"], got[0]["top"], got[0]["x1"], got[0]["bottom"]) == (10.0, 20.0, 220.0, 50.0)
+    assert structure.word_tables(frame.limit(0), ("page",)).count() == 0
+
+
+def test_files_to_chunks(spark, tmp_path):
+    """Long prose in blocks and windows, a workbook's sheets, JSON outside tables; equal chunks once, numbers without gaps, broken files told."""
+    from sparkloom.operators import ingest
+
+    s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = "".join(f'<row r="{k + 1}">' + "".join(f'<c r="{c}{k + 1}" t="inlineStr"><is><t>{t}</t></is></c>' for c, t in zip("AB", row, strict=True)) + "</row>" for k, row in enumerate([["city", "people"], ["Aden town", "12"], ["Basra town", "15"]]))
+    book = {
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData>{sheet}</sheetData></worksheet>',
+    }
+    prose = " ".join(f"word{k} stands here." for k in range(900))
+    made = {"a.txt": prose.encode(), "b.xlsx": archive(book), "c.xlsx": archive(book), "d.json": b'{"note": "a note of its own here", "again": "a note of its own here"}', "e.md": b"", "f.docx": archive({"other.xml": "<a/>"})}
+    for name, raw in made.items():
+        (tmp_path / name).write_bytes(raw)
+    routed = files.routed_files(spark, str(tmp_path))
+    got = ingest.indexed_chunks(routed, 100, 10).orderBy("file_name", "seq").collect()
+    by = {n: [x for x in got if x["file_name"] == n] for n in made}
+    assert all([x["seq"] for x in rows] == list(range(len(rows))) for rows in by.values())
+    said = " ".join(x["chunk"] for x in by["a.txt"])
+    assert all(f"word{k} stands here." in said for k in range(0, 900, 50)) and max(x["token_count"] for x in by["a.txt"]) <= 110
+    for n in ("b", "c"):
+        assert [(x["chunk"], x["table_name"], x["parent_text"]) for x in by[f"{n}.xlsx"]] == [
+            ("city: Aden town; people: 12", f"{n}__table_0", "city: Aden town; people: 12\ncity: Basra town; people: 15"), ("city: Basra town; people: 15", f"{n}__table_0", "city: Aden town; people: 12\ncity: Basra town; people: 15"),
+        ]
+    assert [x["chunk"] for x in by["d.json"]] == ["a note of its own here"]
+    assert {r["path"].rsplit("/", 1)[1]: r["error"] for r in ingest.file_errors(routed).collect()} == {"e.md": "empty_content", "f.docx": "parse_failed: KeyError"}
+
+
 def test_table_segments(spark):
     rows = [(1, '{"headers":["id","n"],"rows":[{"id":"1","n":"x"},{"id":"2","n":"y"}]}'), (2, "prose"), (3, '{"headers":["a"],"rows":[]}'), (4, '{"rows":[{"a":"b"}]}')]
     got = tables.table_segments(spark.createDataFrame(rows, "k int, text string"), "k").orderBy("k", "sub_order").collect()

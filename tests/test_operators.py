@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,29 @@ def test_near_duplicates_are_not_transitive(spark):
     assert [r["pos"] for r in retrieval.drop_near_duplicates(frame, 0.9).collect()] == [1]
 
 
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
+    """Sets that share rare and common tokens, copies, empty sets; lists in blocks of a few sets."""
+    monkeypatch.setattr(retrieval, "BLOCK_SETS", 3)
+    rng, rows = random.Random(7), []
+    for k in range(120):
+        base = [f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 14))]
+        for _ in range(rng.randrange(1, 4)):
+            rows.append((len(rows), [w for w in base if rng.random() > 0.08] + ["the"] * (k % 2)))
+    frame = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(3)
+    got = {(r["a"], r["b"]): r["similarity"] for r in retrieval.similar_pairs(frame, "id", "tokens", 7, 10).collect()}
+    sets: dict = {}
+    for i, tokens in rows:
+        if tokens:
+            sets.setdefault(frozenset(tokens), i)
+    wanted = {}
+    for x, i in sets.items():
+        for y, j in sets.items():
+            if i < j and 10 * len(x & y) >= 7 * len(x | y):
+                wanted[i, j] = len(x & y) / len(x | y)
+    assert got == wanted and len(wanted) > 20
+    assert retrieval.similar_pairs(frame.limit(0), "id", "tokens", 7, 10).count() == 0
+
+
 def test_payload_filter(spark):
     frame = spark.createDataFrame([("a", {"x": "1"}), ("b", {"y": "1"})], "id string, payload map<string,string>")
     assert [r["id"] for r in frame.where(relational.payload_filter({"x": ["1", "2"]})).collect()] == ["a"]
