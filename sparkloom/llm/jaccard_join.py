@@ -134,6 +134,7 @@ _SCAN = T.StructType(
         T.StructField("key", T.LongType()),
         T.StructField("sketch", T.BinaryType()),
         T.StructField("small", T.BinaryType()),
+        T.StructField("signature", T.BinaryType()),
         T.StructField("token", T.LongType()),
         T.StructField("count", T.LongType()),
     ]
@@ -519,9 +520,9 @@ def chosen(pairs: np.ndarray, rows: pa.Table, best: bool) -> pa.Table:
 class SetJoin:
     """What joins of shingle sets share: sets and frequent tokens, verification, components, and what is left to compare in lists.
 
-    A subclass says what a set is compared by before it is read again whole: the
-    binary columns ``sketches`` (the first is compared first) that ``sketch`` gives,
-    and ``entries`` (the lists that each set belongs to).
+    A subclass says what a set is compared by before it is read again whole:
+    ``sketch`` gives its binary columns ``sketches``, of which ``small`` is compared
+    first and ``sketch`` last, and ``entries`` the lists that each set belongs to.
     """
 
     width = WIDTH
@@ -564,9 +565,8 @@ class SetJoin:
         raise NotImplementedError
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        sketch = self.sketches[0]
         for k in ("a", "b"):
-            pairs = pairs.join(self.sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(sketch).alias(f"s{k}")), k)
+            pairs = pairs.join(self.sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("small").alias(f"s{k}")), k)
         return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(self.similarity.plausible, _CROSS)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -664,13 +664,13 @@ class SetJoin:
 
         # first the likeliest pairs, by small sketches, as most links that they give join the components of others
         member = lists.where("list is not null").select("list", F.col("a").alias("key")).distinct()
-        found = checkpoint(self.open_pairs(member, groups, self.sketches[0], best=True))
+        found = checkpoint(self.open_pairs(member, groups, "small", best=True))
         likely = checkpoint(found.where("list is null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
         links = checkpoint(links.unionByName(self.verify(likely)))
         groups = self.grouped(links)
         # then all that are left
         member = found.where("list is not null").select("list", F.col("a").alias("key")).distinct()
-        found = self.open_pairs(member, groups, self.sketches[-1], best=False).select("a", "b").distinct()
+        found = self.open_pairs(member, groups, "sketch", best=False).select("a", "b").distinct()
         rest = checkpoint(found.join(stars.unionByName(likely), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             groups = self.grouped(links.unionByName(self.verify(rest)))

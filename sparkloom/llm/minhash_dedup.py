@@ -47,7 +47,6 @@ from sparkloom.llm.textops import mix
 WIDTH = 4
 PERCENT = 80
 COORDINATES = 64
-SIGNATURE_BYTES = 4 * COORDINATES
 #: Probability that a pair just similar enough is missed, at most.
 MISS = 1e-8
 #: Coordinates counted before pairs that can't get there any more are left out.
@@ -85,8 +84,12 @@ def postings(minima: np.ndarray) -> np.ndarray:
 
 
 def collisions(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Which signatures of many (rows of bytes) reach the threshold with one (or row by row)."""
-    many, one = many.view("<u4"), np.broadcast_to(one.view("<u4"), (len(many), COORDINATES))
+    """Which of many rows of signatures' lowest bytes reach the threshold with one (or row by row).
+
+    Bytes of equal values are equal, so no pair is lost; one in 256 of other
+    coordinates counts too, which later steps make good.
+    """
+    one = np.broadcast_to(one, many.shape)
     alive = np.arange(len(many))
     count = np.zeros(len(many), np.int64)
     for lo in range(0, COORDINATES, STEP):
@@ -97,7 +100,7 @@ def collisions(many: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _minima(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join([x[:SIGNATURE_BYTES] for x in column.to_pylist()]), "<u4").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
 
 
 def _index(shared, buckets: int):
@@ -118,21 +121,22 @@ def _index(shared, buckets: int):
 
 
 class _Coordinates(SetJoin):
-    """Pairs collide often enough and, by parity sketches behind the signatures, may be similar before whole sets are read."""
+    """Pairs that collide often enough and, by parity sketches behind the signatures, may be similar before whole sets are read."""
 
     width = WIDTH
-    similarity = Similarity(PERCENT, SIGNATURE_BYTES, collisions)
+    similarity = Similarity(PERCENT, COORDINATES, collisions)
+    sketches = ("small", "sketch", "signature")
 
     @staticmethod
     def sketch(tokens: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
         minima, parity = signature(tokens), sketch(tokens)
-        head = minima.tobytes()
-        return postings(minima), {"small": head + small_sketch(parity, len(tokens)), "sketch": head + parity}
+        head = minima.astype(np.uint8).tobytes()
+        return postings(minima), {"small": head + small_sketch(parity, len(tokens)), "sketch": head + parity, "signature": minima.tobytes()}
 
     def entries(self, buckets: Callable[[int], int]) -> DataFrame:
         order = self.spark.sparkContext.broadcast(self.frequent())  # HOT_TOKENS pairs of numbers
         size = self.n_sets * (COORDINATES - THRESHOLD + 1)
-        return self.sets.select("key", "small").mapInArrow(_index(order, buckets(size)), _ENTRIES)
+        return self.sets.select("key", "signature").mapInArrow(_index(order, buckets(size)), _ENTRIES)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
