@@ -100,6 +100,11 @@ def admitted(requests: DataFrame, group: str, order: list[str], size: str, used:
     return folded(requests.withColumns(numbers), [group], order, [fold], together=True).drop(*numbers)
 
 
+def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the whole sets of the values of ``by`` that rows have, in a table laid out by them; other values' files stay untouched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def rotate_keys(keys: DataFrame, new: DataFrame, by: str, at: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, audit): a new key (id, ``by``, actor) revokes the active one of its provider, or finds none.
 

@@ -214,8 +214,13 @@ def recall(points: DataFrame, queries: DataFrame, items: DataFrame, k: int, agen
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
     asked = queries.select("query_id", "query", F.col(agent).alias("__agent"))
-    scored = points.join(F.broadcast(asked), F.col(agent) == F.col("__agent"))
-    scored = scored.select("query_id", "chunk_id", similarity(F.col("query"), F.col("vector"), "cosine").alias("score"))
+    scored = None
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        one = points.join(F.broadcast(some), F.col(agent) == F.col("__agent"))
+        one = one.select("query_id", "chunk_id", similarity(F.col("query"), F.col("vector"), "cosine").alias("score"))
+        scored = one if scored is None else scored.unionByName(one)
     return hydrated(ranked(scored, k), items)
 
 

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.chunking import even_sample, greedy_batches
+from sparkloom.operators.chunking import batched, even_sample
 
 # Chunks read, folds, chunks of an overview and the mark of a gap.
 WINDOW, FOLDS, OVERVIEW, GAP = 240, 3, 8, "[…]"
+BATCH_ITEMS, BATCH_CHARS = 6, 24_000
 Summarizer = Callable[[str], str]
 
 
@@ -30,17 +31,6 @@ def _said(summarize: Summarizer, text: str) -> Column:
     return run(F.col(text))
 
 
-def _folded(notes: DataFrame, key: str, summarize: Summarizer) -> DataFrame:
-    """One note for each batch of a document's notes (key, pos, note)."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "note")))
-    rows = notes.groupBy(key).agg(ordered.alias("n"))
-    rows = rows.withColumn("b", greedy_batches(F.transform("n", lambda x: F.length(x["note"]))))
-    each = rows.select(key, F.explode(F.arrays_zip("n", "b")).alias("x")).select(key, "x.n.pos", "x.n.note", F.col("x.b").alias("batch"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "note"))), lambda x: x["note"]), "\n")
-    joined = each.groupBy(key, "batch").agg(text.alias("text"))
-    return joined.select(key, F.col("batch").alias("pos"), _said(summarize, "text").alias("note"))
-
-
 def _window(chunks: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(key, pos, note) of a document's first readable chunks, and (key, truncated)."""
     solid = chunks.where(F.trim("text") != "")
@@ -50,34 +40,43 @@ def _window(chunks: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFr
 
 
 def _batched(rows: DataFrame, key: str, text: str = "note") -> DataFrame:
-    """Append ``batch`` to (key, pos, text): a document's rows, window at most, are folded in one array of sizes."""
-    sizes = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.length(text).alias("size")))).alias("n"))
-    each = sizes.withColumn("b", greedy_batches(F.transform("n", lambda x: x["size"]))).select(key, F.explode(F.arrays_zip("n", "b")).alias("x"))
-    return rows.join(each.select(key, F.col("x.n.pos").alias("pos"), F.col("x.b").alias("batch")), [key, "pos"])
+    """Append ``batch`` to (key, pos, text), by a fold over each document's rows in order."""
+    sized = rows.withColumn("__size", F.length(text))
+    return batched(sized, [key], ["pos"], {"batch": ("__size", BATCH_ITEMS, BATCH_CHARS)}).drop("__size")
+
+
+def _joined(column: str, order: str = "pos") -> Column:
+    return F.expr(f"listagg({column}, '\n\n') WITHIN GROUP (ORDER BY {order})")
 
 
 def summaries(chunks: DataFrame, summarize: Summarizer = first_sentences, key: str = "doc_id", window: int = WINDOW, folds: int = FOLDS) -> DataFrame:
     """(key, summary, truncated) of chunks (key, seq, text): the first ``window`` readable chunks count, and truncated says if there are more.
 
     A document of one batch is summarised by one call.  Of others each batch is
-    mapped to a note, then notes are folded until they fit one batch, ``folds``
-    times at most, and reduced.  The number of steps is fixed, so the plan does
-    not depend on the data.
+    mapped to a note.  Notes that fit one batch are reduced; more are folded, a
+    note for each batch of them, and so on; what the last of ``folds`` levels has
+    is reduced as it is.  The plan has all levels, each document's notes leave it
+    at theirs.
     """
     rows, more = _window(chunks, key, window)
-    placed = _batched(rows, key)
-    text = F.expr("listagg(note, '\n') WITHIN GROUP (ORDER BY pos)")
-    parts = placed.groupBy(key, "batch").agg(text.alias("text"))
-    count = parts.groupBy(key).agg(F.count("*").alias("n_batches"))
-    parts = parts.join(count, key)
-    short = parts.where("n_batches = 1").select(key, _said(summarize, "text").alias("summary"))
-    part = F.concat(F.lit("## Part "), (F.col("batch") + 1).cast("string"), F.lit("\n"), F.col("note"))
-    notes = parts.where("n_batches > 1").select(key, F.col("batch").alias("pos"), _said(summarize, "text").alias("note"))
-    notes = notes.withColumn("batch", F.col("pos")).select(key, "pos", part.alias("note"))
-    for _ in range(folds):
-        notes = _folded(notes, key, summarize)
-    last = notes.groupBy(key).agg(text.alias("text")).select(key, _said(summarize, "text").alias("summary"))
-    return short.unionByName(last).join(more, key)
+    parts = _batched(rows, key).groupBy(key, "batch").agg(_joined("note").alias("text"))
+    parts = parts.withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    short = parts.where("n = 1").select(key, _said(summarize, "text").alias("summary"))
+    number = (F.col("batch") + 1).cast("string")
+    asked = F.concat(F.lit("Part "), number, F.lit(" of "), F.col("n").cast("string"), F.lit(".\n\n"), F.col("text"))
+    notes = parts.where("n > 1").withColumn("__asked", asked).select(key, F.col("batch").alias("pos"), number.alias("__number"), _said(summarize, "__asked").alias("note"))
+    notes = notes.select(key, "pos", F.concat(F.lit("## Part "), "__number", F.lit("\n"), "note").alias("note"))
+    last = None
+    for level in range(folds):
+        done = notes
+        if level < folds - 1:
+            placed = _batched(notes, key).withColumn("__batches", F.max("batch").over(Window.partitionBy(key)) + 1)
+            done = placed.where("__batches = 1").select(notes.columns)
+            grouped = placed.where("__batches > 1").groupBy(key, "batch").agg(_joined("note").alias("text"))
+            notes = grouped.select(key, F.col("batch").alias("pos"), _said(summarize, "text").alias("note"))
+        last = done if last is None else last.unionByName(done)
+    reduced = last.groupBy(key).agg(_joined("note").alias("text")).select(key, _said(summarize, "text").alias("summary"))
+    return short.unionByName(reduced).join(more, key)
 
 
 def overviews(chunks: DataFrame, summarize: Summarizer = first_sentences, key: str = "doc_id", sampled: int = OVERVIEW, marker: str = GAP) -> DataFrame:

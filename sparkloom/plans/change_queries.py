@@ -159,7 +159,7 @@ def l14_idempotency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT s_suppkey AS id, s_suppkey AS provider, CASE WHEN s_acctbal > 0 THEN 'active' ELSE 'revoked' END AS status FROM supplier),
-n AS (SELECT o_orderkey + 1000000 AS id, o_custkey % 200 AS provider, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS i, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey DESC) AS j FROM orders WHERE o_orderkey % 20 = 0)
+n AS (SELECT o_orderkey + 1000000 AS id, o_custkey % 200 AS provider, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS i, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey DESC) AS j FROM orders)
 SELECT 'key' AS kind, id, provider, CASE WHEN status = 'active' AND provider IN (SELECT provider FROM n) THEN 'revoked' ELSE status END AS status,
     CAST(CASE WHEN status = 'active' AND provider IN (SELECT provider FROM n) THEN 2 ELSE 1 END AS INTEGER) AS version FROM k
 UNION ALL SELECT 'key', id, provider, CASE WHEN j = 1 THEN 'active' ELSE 'revoked' END, CAST(CASE WHEN j = 1 THEN 1 ELSE 2 END AS INTEGER) FROM n
@@ -169,7 +169,7 @@ def l15_rotated_keys(spark: SparkSession, folder: str) -> DataFrame:
     keys = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("provider"), F.when(F.col("s_acctbal") > 0, "active").otherwise("revoked").alias("status"), F.lit(1).alias("version")
     )
-    new = table(spark, folder, "orders").where("o_orderkey % 20 = 0").select((F.col("o_orderkey") + 1_000_000).alias("id"), (F.col("o_custkey") % 200).alias("provider"), F.lit(7).alias("actor"))
+    new = table(spark, folder, "orders").select((F.col("o_orderkey") + 1_000_000).alias("id"), (F.col("o_custkey") % 200).alias("provider"), F.lit(7).alias("actor"))
     state, audit = mutation.rotate_keys(keys, new, "provider", F.lit("2024-05-01"), ["id"])
     said = audit.select(F.lit("audit").alias("kind"), F.col("credential_id").alias("id"), "provider", F.col("previous_status").alias("status"), F.lit(0).alias("version"))
     return state.select(F.lit("key").alias("kind"), "id", "provider", "status", "version").unionByName(said)
@@ -336,12 +336,12 @@ def j14_trimmed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, c_custkey AS session FROM events JOIN customer ON c_nationkey = user_id % 25 WHERE event_type = 'error' AND c_custkey <= 100
+SELECT event_id, o_orderkey AS session FROM events JOIN orders ON o_custkey = user_id WHERE event_type = 'error'
 """)
 def j15_notified(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "media.job.failed.v1").otherwise(F.col("event_type"))
-    events = table(spark, folder, "events").select("event_id", kind.alias("type"), (F.col("user_id") % 25).alias("workspace_id"))
-    sessions = table(spark, folder, "customer").where("c_custkey <= 100").select(F.col("c_nationkey").alias("workspace_id"), F.col("c_custkey").alias("session"))
+    events = table(spark, folder, "events").select("event_id", kind.alias("type"), F.col("user_id").alias("workspace_id"))
+    sessions = table(spark, folder, "orders").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderkey").alias("session"))
     return streaming.notified(events, sessions).select("event_id", "session")
 
 

@@ -307,13 +307,13 @@ def g6_distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH conf AS (SELECT c_nationkey AS workspace_id, CASE c_custkey % 2 WHEN 0 THEN 'tokens' ELSE 'cost_micros' END AS metric, 'month' AS period, max(c_custkey) AS limit_value
-    FROM customer WHERE c_nationkey % 3 <> 0 AND c_custkey % 5 < 2 AND c_nationkey < 20 GROUP BY ALL),
+    FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 9000 GROUP BY ALL),
 def AS (SELECT n_nationkey AS workspace_id, metric, 'month' AS period, limit_value FROM nation, (VALUES ('tokens', 5000000), ('cost_micros', 50000000)) AS v(metric, limit_value))
 SELECT workspace_id, metric, period, limit_value FROM conf UNION ALL SELECT def.* FROM def ANTI JOIN conf USING (workspace_id, metric, period)
 """)
 def g7_limits_with_defaults(spark: SparkSession, folder: str) -> DataFrame:
     metric = F.when(F.col("c_custkey") % 2 == 0, "tokens").otherwise("cost_micros")
-    users = table(spark, folder, "customer").where("c_nationkey % 3 <> 0 AND c_custkey % 5 < 2 AND c_nationkey < 20")
+    users = table(spark, folder, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000")
     configured = users.groupBy(F.col("c_nationkey").alias("workspace_id"), metric.alias("metric"), F.lit("month").alias("period")).agg(F.max("c_custkey").alias("limit_value"))
     given = spark.createDataFrame(usage.DEFAULT_LIMITS, "metric string, period string, limit_value long")
     defaults = table(spark, folder, "nation").select(F.col("n_nationkey").alias("workspace_id")).crossJoin(F.broadcast(given))  # two limits

@@ -27,7 +27,7 @@ _HEADING = f"""(t <> '' AND NOT regexp_matches(t, '[{sc.SENTENCE_ENDINGS}]$') AN
             AND len(list_filter(string_split(t, ' '), lambda x: regexp_matches(x, '\\p{{L}}') AND NOT list_contains([{_STOP}], lower(x)) AND NOT regexp_matches(x, '^\\p{{Lu}}'))) = 0)))))"""
 _LINES = f"""
 r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents),
-l AS (SELECT doc_id, pos, CASE pos % 7 WHEN 3 THEN 'Scope ' || pos || ':' WHEN 4 THEN left(raw, 20) || ' | x | y' WHEN 5 THEN '- ' || left(raw, 30) WHEN 6 THEN '2.' || pos || ' Heading' ELSE raw END AS text FROM r),
+l AS (SELECT doc_id, pos, CASE pos % 7 WHEN 3 THEN 'Scope ' || pos || ':' WHEN 4 THEN raw || ' | x | y' WHEN 5 THEN '- ' || raw WHEN 6 THEN '2.' || pos || ' Heading' ELSE raw END AS text FROM r),
 n AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM l WHERE trim(text) <> '')
 """
 
@@ -36,8 +36,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     k, raw, pos = F.col("pos") % 7, F.col("raw"), F.col("pos").cast("string")
     text = (
-        F.when(k == 3, F.concat(F.lit("Scope "), pos, F.lit(":"))).when(k == 4, F.concat(F.substring(raw, 1, 20), F.lit(" | x | y")))
-        .when(k == 5, F.concat(F.lit("- "), F.substring(raw, 1, 30))).when(k == 6, F.concat(F.lit("2."), pos, F.lit(" Heading"))).otherwise(raw)
+        F.when(k == 3, F.concat(F.lit("Scope "), pos, F.lit(":"))).when(k == 4, F.concat(raw, F.lit(" | x | y")))
+        .when(k == 5, F.concat(F.lit("- "), raw)).when(k == 6, F.concat(F.lit("2."), pos, F.lit(" Heading"))).otherwise(raw)
     )
     return lines.select("doc_id", "pos", text.alias("text"))
 
@@ -194,6 +194,26 @@ def _digest(text: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
+_NOTES = "string_agg(note, chr(10) || chr(10) ORDER BY b)"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id // 10 AS doc, text, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id // 10) > {summarize.WINDOW} AS truncated FROM conversations WHERE trim(text) <> ''),
+b AS (SELECT doc, truncated, pos // 6 AS b, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS t FROM s WHERE pos < {summarize.WINDOW} GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM b),
+l0 AS (SELECT doc, truncated, b, n, '## Part ' || (b + 1) || chr(10) || md5('Part ' || (b + 1) || ' of ' || n || '.' || chr(10) || chr(10) || t) AS note FROM n WHERE n > 1),
+l1 AS (SELECT doc, truncated, b // 6 AS b, (n + 5) // 6 AS n, md5({_NOTES}) AS note FROM l0 WHERE n > 6 GROUP BY doc, truncated, b // 6, n),
+l2 AS (SELECT doc, truncated, b // 6 AS b, (n + 5) // 6 AS n, md5({_NOTES}) AS note FROM l1 WHERE n > 6 GROUP BY doc, truncated, b // 6, n)
+SELECT doc, md5(t) AS summary, truncated FROM n WHERE n = 1
+UNION ALL SELECT doc, md5({_NOTES}), truncated FROM (SELECT * FROM l0 WHERE n <= 6 UNION ALL SELECT doc, truncated, b, n, note FROM l1 WHERE n <= 6 UNION ALL SELECT doc, truncated, b, n, note FROM l2) GROUP BY doc, truncated
+""")
+def n1_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Map, fold and reduce over ten conversations at a time; no batch of six messages reaches the characters of a batch."""
+    place = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
+    chunks = table(spark, folder, "conversations").select(F.floor(F.col("conv_id") / 10).alias("doc"), place, "text")
+    return summarize.summaries(chunks, _digest, "doc")
+
+
 @query("""
 WITH RECURSIVE s AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE trim(text) <> ''),
 w AS (SELECT conv_id, pos // 6 AS b, string_agg(text, chr(10) ORDER BY pos) AS t FROM s GROUP BY ALL), n AS (SELECT conv_id, max(b) + 1 AS n FROM w GROUP BY conv_id),

@@ -210,8 +210,8 @@ _TITLE_STOP = ", ".join(f"'{w}'" for w in sc.TITLE_STOP_WORDS)
 
 @query(f"""
 WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-l AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN '2.1 ' || raw WHEN 2 THEN upper(left(raw, 24)) WHEN 3 THEN 'Scope:' WHEN 4 THEN '- ' || left(raw, 30)
-    WHEN 5 THEN left(raw, 20) || ' | x' ELSE raw END AS raw FROM r),
+l AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN '2.1 ' || raw WHEN 2 THEN upper(raw) WHEN 3 THEN 'Scope:' WHEN 4 THEN '- ' || raw
+    WHEN 5 THEN raw || ' | x' ELSE raw END AS raw FROM r),
 n AS (SELECT doc_id, pos, raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS t FROM l),
 w AS (SELECT *, string_split(t, ' ') AS ws, regexp_matches(t, '^\\p{{Lu}}') AS capital FROM n),
 s AS (SELECT *, list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}') AND NOT list_contains([{_TITLE_STOP}], lower(x))) AS sig FROM w)
@@ -231,8 +231,8 @@ def h37_line_kinds(spark: SparkSession, folder: str) -> DataFrame:
     lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     kind, raw = F.col("pos") % 6, F.col("raw")
     raw = (
-        F.when(kind == 1, F.concat(F.lit("2.1 "), raw)).when(kind == 2, F.upper(F.substring(raw, 1, 24))).when(kind == 3, "Scope:")
-        .when(kind == 4, F.concat(F.lit("- "), F.substring(raw, 1, 30))).when(kind == 5, F.concat(F.substring(raw, 1, 20), F.lit(" | x"))).otherwise(raw)
+        F.when(kind == 1, F.concat(F.lit("2.1 "), raw)).when(kind == 2, F.upper(raw)).when(kind == 3, "Scope:")
+        .when(kind == 4, F.concat(F.lit("- "), raw)).when(kind == 5, F.concat(raw, F.lit(" | x"))).otherwise(raw)
     )
     line = F.col("line")
     return lines.select("doc_id", "pos", raw.alias("line")).select(

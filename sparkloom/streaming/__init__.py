@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from sparkloom.operators.folds import Admission, Fold, folded
 
@@ -30,8 +30,8 @@ def envelope(event_id: Column, kind: Column, workspace: Column, at: Column, data
     return F.to_json(F.struct(event_id.alias("id"), kind.alias("type"), workspace.alias("workspaceid"), time.alias("time"), data.alias("data")))
 
 
-def dispatched(entries: DataFrame, handled: list[str], most_deliveries: int = 5) -> DataFrame:
-    """Append id, type, workspace, outcome and reason to entries (ce, delivery_count, failed).
+def dispatched(entries: DataFrame, handled: list[str] | Column, most_deliveries: int = 5) -> DataFrame:
+    """Append id, type, workspace, outcome and reason to entries (ce, delivery_count, failed); ``handled`` are types, or a condition on ``type``.
 
     Malformed or incomplete entries are dead letters, entries without a handler
     are skipped, a failure is redelivered until its last delivery; the rest is handled.
@@ -41,7 +41,7 @@ def dispatched(entries: DataFrame, handled: list[str], most_deliveries: int = 5)
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     malformed = F.col("ce").isNull() | (blank("id") & blank("type") & blank("workspace"))
     incomplete = blank("type") | blank("workspace") | blank("id")
-    known = F.col("type").isin(*handled) if handled else F.lit(False)
+    known = F.coalesce(handled, F.lit(False)) if isinstance(handled, Column) else F.col("type").isin(*handled) if handled else F.lit(False)
     outcome = (
         F.when(malformed | incomplete, "dead_letter")
         .when(~known, "skipped")
@@ -206,6 +206,38 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, sl
     return events.groupBy(F.window(time, size, slide), *keys).agg(F.count("*").alias("n"))
 
 
+def session_counts(events: DataFrame, time: str, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
+    """Counts by session: events of a key that follow each other within ``gap``; late rows are dropped in a stream."""
+    if events.isStreaming:
+        events = events.withWatermark(time, late)
+    return events.groupBy(F.session_window(time, gap).alias("session"), *keys).agg(F.count("*").alias("n"))
+
+
+def outcome_gauges(dispatched_rows: DataFrame, name: str = "outcomes") -> DataFrame:
+    """Dispatched rows whose counts by outcome, and oldest time, are told while they pass, to a ``Gauges`` or an ``Observation`` of that name: no second scan."""
+    counts = [F.count_if(F.col("outcome") == kind).alias(kind) for kind in ("handled", "skipped", "redeliver", "dead_letter")]
+    return dispatched_rows.observe(name, F.count("*").alias("depth"), *counts)
+
+
+class Gauges(StreamingQueryListener):
+    """Sums of what a session's streams observe under one name, batch by batch."""
+
+    def __init__(self, name: str = "outcomes"):
+        super().__init__()
+        self.name, self.totals = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress.observedMetrics.get(self.name)
+        for key, value in (told.asDict() if told else {}).items():
+            self.totals[key] = self.totals.get(key, 0) + value
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run_split(stream: DataFrame, checkpoint: str, sinks: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Run a stream over what is there, handing each micro-batch and its number to ``sinks``."""
     return stream.writeStream.foreachBatch(sinks).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

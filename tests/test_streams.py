@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -169,6 +170,45 @@ def test_streamed_rollups(spark, folder, tmp_path):
     assert rows(usage.read_rollups(spark, str(tmp_path / "tables"))) == rows(queries.QUERIES["d9_usage_rollups"](spark, folder))
 
 
+def test_replaced_partitions_leave_the_others(spark, tmp_path):
+    path = str(tmp_path / "limits")
+    rows = spark.createDataFrame([(w, f"m{k}", k) for w in (1, 2) for k in range(3)], "workspace_id int, metric string, value int")
+    mutation.replace_partitions(rows, path, ["workspace_id"])
+    before = files_of(tmp_path)
+    mutation.replace_partitions(rows.where("workspace_id = 2 AND value = 1"), path, ["workspace_id"])
+    assert {f for f in before if "workspace_id=1" in f} == {f for f in files_of(tmp_path) if "workspace_id=1" in f}
+    assert sorted((r["workspace_id"], r["metric"]) for r in spark.read.parquet(path).collect()) == [(1, "m0"), (1, "m1"), (1, "m2"), (2, "m1")]
+
+
+def test_gauges_in_flight_and_sessions_with_late_rows(spark, tmp_path):
+    """Counts are told while a stream runs; a row behind the watermark opens no session."""
+    kind = "stream string, ce string, delivery_count int, failed boolean"
+    ce = [streaming.envelope(F.lit(f"i{k}"), F.lit("click" if k % 3 else "odd"), F.lit("w"), F.lit(START), F.lit("x")) for k in range(12)]
+    made = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit("s").alias("stream"), c.alias("ce"), F.lit(1).alias("delivery_count"), F.lit(k % 4 == 1).alias("failed")) for k, c in enumerate(ce)])).alias("x")).select("x.*")
+    made.repartition(3).write.parquet(str(tmp_path / "in"))
+    entries = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    gauges = streaming.Gauges()
+    spark.streams.addListener(gauges)
+    try:
+        run(streaming.outcome_gauges(streaming.dispatched(entries, ["click"])), tmp_path / "c1", [], "append")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if gauges.totals.get("depth") == 12:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(gauges)
+    wanted = {r["outcome"]: r["count"] for r in streaming.dispatched(made, ["click"]).groupBy("outcome").count().collect()}
+    assert gauges.totals == {"depth": 12, "dead_letter": 0, "handled": 0, "skipped": 0, "redeliver": 0} | wanted
+
+    kind, seen = "user_id int, ts timestamp", []
+    for part in ([(1, second(0)), (1, second(30)), (1, second(500))], [(2, second(3000))], [(1, second(100)), (2, second(3010))], [(3, second(9000))]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        events = spark.readStream.schema(kind).parquet(str(tmp_path / "events"))
+        run(streaming.session_counts(events, "ts", ["user_id"], "1 minute", "0 seconds"), tmp_path / "c2", seen, "append")
+    assert sorted((r["user_id"], r["session"]["start"], r["n"]) for r in seen) == [(1, second(0), 2), (1, second(500), 1), (2, second(3000), 2)]
+
+
 # ---------------------------------------------------------------- folds
 
 
