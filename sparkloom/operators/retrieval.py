@@ -117,13 +117,18 @@ def drop_near_duplicates(candidates: DataFrame, threshold: float = NEAR_DUPLICAT
     """Of each pair of a query's candidates with similar token sets the lower-scoring one goes, the later on ties.
 
     All pairs count, those with dropped candidates too.  A query has at most 100
-    candidates (``search_depth``), so the pairs of a query are few.
+    candidates (``search_depth``), so they are compared within one row of the
+    query: the candidates, a whole search, are computed once and moved once.
     """
-    left = candidates.select("query_id", "pos", "score", F.array_distinct("tokens").alias("tokens"))
-    right = left.select("query_id", *[F.col(c).alias(f"__{c}") for c in ("pos", "score", "tokens")])
-    pairs = left.join(right, "query_id").where("pos < __pos").where(jaccard(F.col("tokens"), F.col("__tokens")) >= threshold)
-    loser = F.when(F.col("score") >= F.col("__score"), F.col("__pos")).otherwise(F.col("pos"))
-    return candidates.join(pairs.select("query_id", loser.alias("pos")).distinct(), ["query_id", "pos"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in candidates.columns], F.array_distinct("tokens").alias("__set"))
+    each = candidates.groupBy("query_id").agg(F.collect_list(row).alias("c"))
+
+    def loses(x: Column, y: Column) -> Column:
+        ahead = F.coalesce(F.when(y["pos"] < x["pos"], y["score"] >= x["score"]).otherwise(x["score"] < y["score"]), F.lit(False))
+        return (x["pos"] != y["pos"]) & ahead & (jaccard(x["__set"], y["__set"]) >= threshold)
+
+    kept = F.filter("c", lambda x: ~F.exists("c", lambda y: loses(x, y)))
+    return each.select(F.explode(kept).alias("x")).select(*[F.col(f"x.`{c}`").alias(c) for c in candidates.columns])
 
 
 #: Sets that one token's list compares in a row of the join at most: longer lists are met block by block.
