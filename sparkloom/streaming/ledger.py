@@ -54,6 +54,10 @@ class BatchLedger:
             if int(status.getPath().getName()) < batch - 1:
                 files.delete(status.getPath(), False)
 
+    def drop(self, name: str, batch: int) -> None:
+        """Delete a batch's rows of a table."""
+        self._files().delete(self._path(name, f"batch={batch}"), True)
+
     def read(self, name: str, schema: StructType | str) -> DataFrame:
         """The rows of all committed batches, with their ``batch``."""
         kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -105,3 +109,78 @@ def relay(ledger: BatchLedger, out: BatchLedger, send: Callable[[DataFrame], Dat
     published = out.put("published", number, streaming.published_prefix(due, results, batch).select("id"))
     out.commit(number)
     return published.count()
+
+
+# ---------------------------------------------------------------- a log and its consumer groups
+
+LOG = "entry_id string, stream string, ce string"
+_OUTCOMES = "entry_id string, stream string, ce string, delivery_count int, outcome string, reason string"
+#: Outcomes after which an entry is not delivered again.
+FINAL = ("handled", "skipped", "dead_letter")
+
+
+def append_entries(log: BatchLedger, rows: DataFrame, batch: int | None = None, most: int | None = None) -> int:
+    """Append rows (stream, ce) to a log as one batch; returns its number.  A batch that was appended already changes nothing.
+
+    Entry ids are the batch's number and the row's place, so they sort in the
+    order of appending.  With ``most`` the oldest whole batches go as long as at
+    least that many newer entries stay.
+    """
+    number = log.last() + 1 if batch is None else batch
+    if number <= log.last():
+        return number
+    name = F.format_string("%012d-%020d", F.lit(number), F.monotonically_increasing_id())
+    log.put("entries", number, rows.select(name.alias("entry_id"), "stream", "ce"))
+    log.commit(number)
+    if most is not None:
+        # a row for each batch that the log still has
+        held = log.read("entries", LOG).groupBy("batch").count().orderBy(F.desc("batch")).collect()
+        newer = 0
+        for r in held:
+            if newer >= most:
+                log.drop("entries", r["batch"])
+            newer += r["count"]
+    return number
+
+
+def log_stream(entries: DataFrame, checkpoint: str, log: BatchLedger, most: int | None = None) -> StreamingQuery:
+    """A sink: append a stream (stream, ce) to a log, each micro-batch once."""
+    return streaming.run_split(entries, checkpoint, lambda rows, number: append_entries(log, rows, number, most))
+
+
+class ConsumerGroup:
+    """A reader of a log with a place, deliveries and dead letters of its own, kept under ``root``; another object of the same root goes on where this one was."""
+
+    def __init__(self, log: BatchLedger, root: str, group: str):
+        self.log, self.group, self.state = log, group, BatchLedger(log.spark, f"{root}/{group}")
+
+    def entries(self) -> DataFrame:
+        """(entry_id, stream, ce, delivery_count, fresh) of what is to be delivered: entries whose last delivery failed, then those that the group never had.
+
+        The group's place is the last entry that it was given, as fresh ones are
+        given in order; a trimmed entry that still is to be delivered again comes
+        from the group's own tables.
+        """
+        told = self.state.read("outcomes", _OUTCOMES)
+        last = told.groupBy("entry_id").agg(
+            F.max(F.col("outcome").isin(*FINAL)).alias("done"), F.count("*").cast("int").alias("n"), *[F.first(c).alias(c) for c in ("stream", "ce")]
+        )
+        again = last.where("NOT done").select("entry_id", "stream", "ce", (F.col("n") + 1).alias("delivery_count"), F.lit(0).alias("fresh"))
+        place = told.agg(F.coalesce(F.max("entry_id"), F.lit("")).alias("place"))  # one row
+        new = self.log.read("entries", LOG).drop("batch").join(F.broadcast(place), F.col("entry_id") > F.col("place"))
+        return again.unionByName(new.select("entry_id", "stream", "ce", F.lit(1).alias("delivery_count"), F.lit(1).alias("fresh")))
+
+    def cycle(self, handle: Callable[[DataFrame], DataFrame], handled: list[str], count: int, most_deliveries: int = 5) -> int:
+        """Deliver the next ``count`` entries, backlog first, to ``handle``, which returns (entry_id, failed); write outcomes and dead letters as one.
+
+        Returns the number delivered.  What was handled when a cycle dies before
+        its commit is delivered again: handlers claim ids once.
+        """
+        number = self.state.last() + 1
+        due = self.state.put("due", number, self.entries().orderBy("fresh", "entry_id").limit(count))
+        done = due.join(handle(due).select("entry_id", "failed"), "entry_id", "left").withColumn("failed", F.coalesce("failed", F.lit(True)))
+        told = streaming.dispatched(done, handled, most_deliveries)
+        told = self.state.put("outcomes", number, told.select("entry_id", "stream", "ce", "delivery_count", "outcome", "reason"))
+        self.state.put("letters", number, streaming.dead_letters(told, self.group))
+        self.state.commit(number)
+        return told.count()

@@ -120,6 +120,45 @@ def test_a_batch_that_fails_between_writes_counts_once(spark, tmp_path, monkeypa
     assert ledgers.relay(ledger, out, send(True), 1000) == 0
 
 
+def test_two_groups_read_one_log_each_at_its_own_pace(spark, tmp_path):
+    """Backlog before fresh entries, a last delivery that fails is a dead letter, and new objects go on where the old ones were."""
+    kind = "stream string, ce string"
+    ce = lambda k: streaming.envelope(F.lit(f"i{k:02}"), F.lit("odd" if k == 5 else "click"), F.lit("w"), F.lit(START), F.lit("x"))
+    made = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit("s").alias("stream"), ce(k).alias("ce")) for k in range(10)])).alias("x")).select("x.*")
+    log = ledgers.BatchLedger(spark, str(tmp_path / "log"))
+    for part in (made.limit(6), made.subtract(made.limit(6)).orderBy("ce")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        ledgers.log_stream(stream, str(tmp_path / "checkpoint"), log).awaitTermination()
+    assert log.last() == 1 and ledgers.append_entries(log, made, 1) == 1 and log.read("entries", ledgers.LOG).count() == 10
+
+    def handle(bad):
+        return lambda due: due.select("entry_id", F.get_json_object("ce", "$.id").isin(*bad).alias("failed"))
+
+    group = lambda name: ledgers.ConsumerGroup(log, str(tmp_path / "groups"), name)
+    told = lambda name: {(r["id"], r["delivery_count"]): r["outcome"] for r in group(name).state.read("outcomes", ledgers._OUTCOMES).select(F.get_json_object("ce", "$.id").alias("id"), "delivery_count", "outcome").collect()}
+    assert group("a").cycle(handle(["i01"]), ["click"], 4) == 4
+    assert group("b").cycle(handle([]), ["click"], 100) == 10
+    assert told("a") == {("i00", 1): "handled", ("i01", 1): "redeliver", ("i02", 1): "handled", ("i03", 1): "handled"}
+    # the backlog takes the first of two places
+    assert group("a").cycle(handle(["i01"]), ["click"], 2, most_deliveries=2) == 2
+    assert told("a")["i01", 2] == "dead_letter" and told("a")["i04", 1] == "handled"
+    assert group("a").cycle(handle([]), ["click"], 100) == 5 and told("a")["i05", 1] == "skipped"
+    assert group("a").cycle(handle([]), ["click"], 100) == 0 and group("b").cycle(handle([]), ["click"], 100) == 0
+    letters = group("a").state.read("letters", "source_id string, reason string, consumer_group string").collect()
+    assert [(r["reason"], r["consumer_group"]) for r in letters] == [("retries", "a")] and len(told("b")) == 10
+
+    # a cycle that dies before its commit is delivered again under the same number
+    ledgers.append_entries(log, made.limit(3))
+    with pytest.raises(ZeroDivisionError):
+        group("b").cycle(lambda due: 1 / 0, ["click"], 100)
+    assert group("b").cycle(handle([]), ["click"], 100) == 3
+    # the oldest whole batches go while enough newer entries stay
+    ledgers.append_entries(log, made.limit(2), most=5)
+    assert log.read("entries", ledgers.LOG).groupBy("batch").count().count() == 2 and log.read("entries", ledgers.LOG).count() == 5
+    assert group("b").cycle(handle([]), ["click"], 100) == 2
+
+
 def charges(spark, lo, hi, days):
     rows = [(k % 3, k, f"a{k % 2}", f"p{k % 2}", k, 2 * k, START + dt.timedelta(days=days[k % len(days)], seconds=k)) for k in range(lo, hi)]
     return spark.createDataFrame(rows, usage.LEDGER)
