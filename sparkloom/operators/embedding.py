@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -25,13 +26,35 @@ def hash_embedding(dimensions: int = 8) -> Embedder:
     return embed
 
 
-def embedded(chunks: DataFrame, embed: Embedder, dimensions: int, text: str = "text", batch: int = BATCH) -> DataFrame:
+class Transient(Exception):
+    """What an embedder raises when the same call may do later: a service that is busy or away for a while."""
+
+
+def patient(embed: Embedder, retries: int, wait: float, longest: float = 30.0) -> Embedder:
+    """An embedder that is called again after a transient failure, ``retries`` times at most, after waits that double up to ``longest`` seconds."""
+
+    def called(texts: list[str]) -> list[list[float]]:
+        for k in range(retries):
+            try:
+                return embed(texts)
+            except Transient:
+                time.sleep(min(longest, wait * 2**k))
+        return embed(texts)
+
+    return called
+
+
+def embedded(
+    chunks: DataFrame, embed: Embedder, dimensions: int, text: str = "text", batch: int = BATCH, retries: int = 0, wait: float = 1.0
+) -> DataFrame:
     """Append ``vector`` and ``error``.
 
-    Texts are embedded ``batch`` at a time.  A call that fails, or gives another
-    number of vectors or of dimensions, is made again item by item, so that one
-    bad text costs no other its vector.
+    Texts are embedded ``batch`` at a time.  A call that fails transiently is made
+    again as it is, ``retries`` times; one that fails otherwise or for good, or
+    gives another number of vectors or of dimensions, is made again item by item,
+    so that one bad text costs no other its vector.
     """
+    embed = patient(embed, retries, wait)
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
     arrow = to_arrow_schema(schema)
 

@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalars as sc
@@ -278,6 +279,31 @@ def test_embedding_falls_back_to_single_items(spark):
     assert all(r["vector"] is None for r in wrong)
 
 
+def test_embedding_waits_for_a_busy_service(monkeypatch):
+    """A transient failure is tried again after doubling waits, another one at once given up, the last one raised."""
+    waits, calls = [], []
+    monkeypatch.setattr(embedding.time, "sleep", waits.append)
+
+    def busy(times, error=embedding.Transient):
+        def embed(texts):
+            calls.append(texts)
+            if len(calls) <= times:
+                raise error("503")
+            return [[1.0]] * len(texts)
+
+        return embed
+
+    assert embedding.patient(busy(3), 4, 0.5, 1.5)(["a", "b"]) == [[1.0], [1.0]] and waits == [0.5, 1.0, 1.5] and len(calls) == 4
+    calls.clear()
+    with pytest.raises(embedding.Transient):
+        embedding.patient(busy(9), 2, 0.5)(["a"])
+    assert len(calls) == 3
+    calls.clear()
+    with pytest.raises(ValueError):
+        embedding.patient(busy(9, ValueError), 2, 0.5)(["a"])
+    assert len(calls) == 1
+
+
 def test_summaries(spark):
     rows = [(1, i, f"Chunk {i}. Rest") for i in range(20)] + [(2, i, "A.") for i in range(300)] + [(3, 0, "Whole."), (3, 1, " ")]
     chunks = spark.createDataFrame(rows, "doc_id int, seq int, text string")
