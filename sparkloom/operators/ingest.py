@@ -37,14 +37,18 @@ def records(headers: Column, row: Column) -> Column:
     return F.transform(F.array_distinct(headers), lambda h: F.struct(h.alias("k"), F.coalesce(F.try_element_at(row, last(h).cast("int")), F.lit("")).alias("v")))
 
 
-def parsed_chunks(files: DataFrame) -> DataFrame:
+def parsed_chunks(files: DataFrame, block_chars: int | None = documents.BLOCK_CHARS) -> DataFrame:
     """(path, kind, ord, title, text, headers, rows, file_name, source_ext, table_name) of what is found in files.
 
-    Prose comes in blocks, JSON as its tables and the texts outside them, a Word
+    Prose comes in blocks of at most ``block_chars`` (None: whole), JSON as its tables and the texts outside them, a Word
     file as its sections and titled tables, a workbook as the tables of its
     sheets.  Unnamed tables are named by their file and number.
     """
-    prose = documents.text_blocks(readers.text_files(files).select("path", "text"))
+    prose = readers.text_files(files).select("path", "text")
+    if block_chars is None:
+        prose = prose.select("path", F.lit(0).alias("block_no"), F.col("text").alias("block"))
+    else:
+        prose = documents.text_blocks(prose, most=block_chars)
     found = [_shaped(prose, "TEXT", F.col("block_no"), F.col("block"))]
 
     json = files.where("kind = 'json' AND error IS NULL").select("path", documents.decoded(F.col("content")).alias("text"))
@@ -93,8 +97,8 @@ def segments(chunks: DataFrame) -> DataFrame:
     return rows.unionByName(plain)
 
 
-def indexed_chunks(files: DataFrame, span: int = SPAN, overlap: int = OVERLAP) -> DataFrame:
+def indexed_chunks(files: DataFrame, span: int = SPAN, overlap: int = OVERLAP, block_chars: int | None = documents.BLOCK_CHARS) -> DataFrame:
     """(path, file_name, source_ext, kind, table_name, title, parent_text, seq, chunk, token_count): a file's chunks numbered without gaps, equal ones once."""
     blank = {c: F.lit(None).cast("int") for c in chunking.ORDER_KEYS}
-    made = chunking.chunk_segments(segments(parsed_chunks(files)).withColumns(blank), span, overlap, "path")
+    made = chunking.chunk_segments(segments(parsed_chunks(files, block_chars)).withColumns(blank), span, overlap, "path")
     return made.select("path", "file_name", "source_ext", "kind", "table_name", "title", "parent_text", "seq", "chunk", "token_count")

@@ -256,6 +256,17 @@ def test_files_to_chunks(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: r["error"] for r in ingest.file_errors(routed).collect()} == {"e.md": "empty_content", "f.docx": "parse_failed: KeyError"}
 
 
+def test_windows_run_over_a_whole_text_or_its_blocks(spark):
+    from sparkloom.operators import ingest
+
+    text = " ".join(f"word{k} stands here." for k in range(200))
+    routed = files.routed(spark.createDataFrame([("in/a.txt", bytearray(text.encode()))], "path string, content binary"))
+    whole = [r["chunk"] for r in ingest.indexed_chunks(routed, 40, 8, block_chars=None).orderBy("seq").collect()]
+    words = text.split()
+    assert whole == [" ".join(words[i : i + 40]) for i in range(0, len(words) - 8, 32)]
+    assert [r["chunk"] for r in ingest.indexed_chunks(routed, 40, 8).collect()] != whole
+
+
 def test_table_segments(spark):
     rows = [(1, '{"headers":["id","n"],"rows":[{"id":"1","n":"x"},{"id":"2","n":"y"}]}'), (2, "prose"), (3, '{"headers":["a"],"rows":[]}'), (4, '{"rows":[{"a":"b"}]}')]
     got = tables.table_segments(spark.createDataFrame(rows, "k int, text string"), "k").orderBy("k", "sub_order").collect()
