@@ -180,6 +180,29 @@ def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
     assert retrieval.similar_pairs(frame.limit(0), "id", "tokens", 7, 10).count() == 0
 
 
+def test_similar_pairs_of_large_sets_in_parts(spark, monkeypatch):
+    """Sets of many parts, some of few tokens; a set gives rows by what it may differ in, not by all of its tokens."""
+    monkeypatch.setattr(retrieval.alike, "PART", 6)
+    rng = random.Random(11)
+    sets = {}
+    for k in range(30):
+        base = rng.sample(range(300), rng.randrange(2, 120))
+        for _ in range(3):
+            swap = rng.randrange(0, 1 + len(base) // 6)
+            sets[len(sets)] = {f"t{w}" for w in base[swap:]} | {f"t{rng.randrange(300)}" for _ in range(rng.randrange(0, 3))}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id int, tokens array<string>")
+    got = {(r["a"], r["b"]) for r in retrieval.similar_pairs(frame, "id", "tokens", 8, 10).collect()}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    wanted = {(min(i, j), max(i, j)) for x, i in first.items() for y, j in first.items() if i != j and 10 * len(x & y) >= 8 * len(x | y)}
+    assert got == wanted and len(wanted) > 10
+    hashed = frame.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("hashes"))
+    counts = spark.sparkContext.broadcast(retrieval.alike.bucket_counts(hashed))
+    monkeypatch.setattr(retrieval.alike, "PART", 128)
+    assert retrieval.alike.keyed(hashed, False, counts, 8, 10, 4096).count() <= sum(len(s) // 4 + 1 for s in sets.values())
+
+
 def test_payload_filter(spark):
     frame = spark.createDataFrame([("a", {"x": "1"}), ("b", {"y": "1"})], "id string, payload map<string,string>")
     assert [r["id"] for r in frame.where(relational.payload_filter({"x": ["1", "2"]})).collect()] == ["a"]
