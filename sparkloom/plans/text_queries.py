@@ -66,9 +66,10 @@ SELECT a.doc_id, language, CAST(CASE language WHEN 'arabic' THEN len(ar) WHEN 'e
 FROM a LEFT JOIN both_kinds b USING (doc_id)
 """)
 def h3_tokens_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).select("doc_id", varied(F.col("text")).alias("t"))
-    # the join of an array is a barrier: tokens are made once for the columns that follow
-    said = docs.select("doc_id", tx.detect_language(F.col("t")).alias("language"), F.explode(F.array(tx.tokenize(F.col("t")))).alias("tokens"))
+    # the join of an array is a barrier: texts, letter counts, languages and tokens are made once for the columns that follow
+    docs = documents(spark, folder).select("doc_id", F.explode(F.array(varied(F.col("text")))).alias("t"))
+    docs = docs.select("doc_id", "t", F.explode(F.array(tx.detect_language(F.col("t")))).alias("language"))
+    said = docs.select("doc_id", "language", F.explode(F.array(tx.tokenize(F.col("t"), kind=F.col("language")))).alias("tokens"))
     return said.select("doc_id", "language", F.size("tokens").cast("long").alias("n_tokens"), F.length(F.array_join("tokens", "")).cast("long").alias("token_chars"))
 
 

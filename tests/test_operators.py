@@ -34,6 +34,16 @@ def test_tokens(spark):
     assert one(spark, tx.tokenize(F.col("t")), t="قلم and قلم بيت") == ["قلم", "and", "قلم", "بيت"]
 
 
+def test_tokens_by_a_language_that_is_known(spark):
+    assert one(spark, tx.tokenize(F.col("t"), kind=F.lit("english")), t="fox fox") == ["fox", "fox"]
+    assert one(spark, tx.tokenize(F.col("t"), kind=F.lit("mixed")), t="fox fox") == ["fox"]
+
+
+def test_rows_that_become_many_are_dealt_out_finer(spark):
+    rows = spark.range(100, numPartitions=2)
+    assert sources.dealt(rows, "id").rdd.getNumPartitions() == 2 * sources.FINER
+
+
 def test_intent(spark):
     cases = {"how many files": "metadata", "how many files about tax": "content", "summarize this": "summarize_doc", "": "content", "tax law": "content"}
     for query, kind in cases.items():
