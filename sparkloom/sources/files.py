@@ -49,9 +49,10 @@ def routed(files: DataFrame) -> DataFrame:
     rows = files.select("path", ext.alias("ext"), "content").withColumn("kind", F.try_element_at(kind, F.col("ext")))
     error = F.when(F.col("kind").isNull(), "unsupported_type").when(F.coalesce(F.octet_length("content"), F.lit(0)) == 0, "empty_content")
     rows = rows.withColumn("error", error)
-    # archives alone meet Python
-    archives = F.col("kind").isin("docx", "xlsx") & F.col("error").isNull()
-    return rows.where(~F.coalesce(archives, F.lit(False))).unionByName(rows.where(archives).withColumn("error", archive_fault(F.col("content"))))
+    # archives alone meet Python; they are told by name, as a condition on the content would have it made once more
+    archives = F.coalesce(F.col("kind").isin("docx", "xlsx"), F.lit(False))
+    fault = archive_fault(F.when(F.col("error").isNull(), F.col("content")))
+    return rows.where(~archives).unionByName(rows.where(archives).withColumn("error", F.coalesce("error", fault)))
 
 
 def fault_of_archive(raw: bytes) -> str | None:
@@ -165,27 +166,34 @@ def xlsx_cells(raw: bytes) -> list[dict]:
     return out
 
 
-def _exploded(files: DataFrame, kind: str, reader: Callable[[bytes], list[dict]], item: str) -> DataFrame:
-    """A row for each item that a reader finds; a file that it can't read gives one row with its error."""
+def _exploded(files: DataFrame, kind: str, reader: Callable[[bytes], list[dict]], item: str, refused: bool) -> DataFrame:
+    """A row for each item that a reader finds; a file that it can't read gives one row with its error, and so does a refused one if ``refused``.
+
+    A condition on the error has the file checked and read twice; with ``refused`` none stands below the items.
+    """
     shape = f"struct<items:array<struct<{item}>>,error:string>"
 
     @F.pandas_udf(shape)
     def read(content: pd.Series) -> pd.DataFrame:
-        def one(raw: bytes) -> tuple[list[dict], str | None]:
+        def one(raw: bytes | None) -> tuple[list[dict], str | None]:
             try:
-                return reader(raw), None
+                return [] if raw is None else reader(raw), None
             except Exception as error:  # whatever a broken file makes the reader do is that file's own fault
                 return [], f"parse_failed: {type(error).__name__}"
 
         return pd.DataFrame([one(raw) for raw in content], columns=["items", "error"])
 
-    rows = files.where((F.col("kind") == kind) & F.col("error").isNull()).select("path", read("content").alias("__found"))
-    return rows.select("path", F.col("__found.error").alias("error"), F.explode_outer("__found.items").alias("__item")).select("path", "error", "__item.*")
+    rows = files.where(F.col("kind") == kind)
+    if not refused:
+        rows = rows.where("error IS NULL")
+    rows = rows.select("path", "error", read(F.when(F.col("error").isNull(), F.col("content"))).alias("__found"))
+    error = F.coalesce("error", "__found.error").alias("error")
+    return rows.select("path", error, F.explode_outer("__found.items").alias("__item")).select("path", "error", "__item.*")
 
 
-def docx_files(files: DataFrame) -> DataFrame:
-    return _exploded(files, "docx", docx_items, "pos:int,kind:string,style:string,text:string,rows:array<array<string>>")
+def docx_files(files: DataFrame, refused: bool = False) -> DataFrame:
+    return _exploded(files, "docx", docx_items, "pos:int,kind:string,style:string,text:string,rows:array<array<string>>", refused)
 
 
-def xlsx_files(files: DataFrame) -> DataFrame:
-    return _exploded(files, "xlsx", xlsx_cells, "sheet_no:int,sheet:string,row:int,col:int,value:string")
+def xlsx_files(files: DataFrame, refused: bool = False) -> DataFrame:
+    return _exploded(files, "xlsx", xlsx_cells, "sheet_no:int,sheet:string,row:int,col:int,value:string", refused)

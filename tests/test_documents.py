@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,57 @@ def test_windows_run_over_a_whole_text_or_its_blocks(spark):
     assert [r["chunk"] for r in ingest.indexed_chunks(routed, 40, 8).collect()] != whole
 
 
+def word_file(*body):
+    """Bytes of a Word file of (style, text) and tables (rows of cells)."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda style, t: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    table = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p('', c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    parts = "".join(p(*x) if isinstance(x, tuple) else table(x) for x in body)
+    return archive({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{parts}</w:body></w:document>'})
+
+
+def test_a_word_file_is_made_and_read_once(spark):
+    """Sections, tables and errors of Word files come from one reading; each is checked and made once however often its chunks are used."""
+    from sparkloom.operators import ingest
+
+    made = {
+        "a.docx": word_file(("", "- before it."), ("", ""), ("heading 1", "It is so."), [["k", ""], ["x", "1"], ["y", "2"]], ("", "words of it."), [["only", "head"]]),
+        "b.docx": word_file(("", "alone."), [["k", "n"], ["z", "3"]]),
+        "c.docx": word_file(), "d.docx": b"no archive", "e.docx": archive({"other.xml": "<a/>"}), "f.docx": b"", "g.md": b"", "h.exe": b"x", "i.txt": b"plain words here", "j.xlsx": b"no archive",
+    }
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("binary")
+    def counted(path: pd.Series, content: pd.Series) -> pd.Series:
+        seen.add(int(path.str.endswith(".docx").sum()))
+        return content
+
+    rows = spark.createDataFrame([(p, bytearray(c)) for p, c in made.items()], "path string, content binary")
+    routed = files.routed(rows.select("path", counted("path", "content").alias("content")))
+    plain = [("a.docx", "TABLE", "It is so.", "k: x; Column_2: 1"), ("a.docx", "TABLE", "It is so.", "k: y; Column_2: 2"), ("a.docx", "TEXT", None, "- before it."), ("a.docx", "TEXT", "It is so.", "It is so.\nwords of it.")]
+    plain += [("b.docx", "TABLE", "", "k: z; n: 3"), ("b.docx", "TEXT", None, "alone."), ("i.txt", "TEXT", None, "plain words here")]
+    said = lambda chunks: sorted(((r["file_name"], r["kind"], r["title"], r["text"]) for r in ingest.segments(chunks).collect()), key=repr)
+    assert said(ingest.parsed_chunks(routed)) == sorted(plain, key=repr)
+    assert seen.value == 6
+    errors = {"d.docx": "not_an_archive", "e.docx": "parse_failed: KeyError", "f.docx": "empty_content", "g.md": "empty_content", "h.exe": "unsupported_type", "j.xlsx": "not_an_archive"}
+    assert said(ingest.outcomes(routed)) == sorted([*plain, *((p, ingest.ERROR, None, e) for p, e in errors.items())], key=repr)
+    assert seen.value == 12
+    assert sorted(tuple(r) for r in ingest.file_errors(routed).collect()) == sorted(errors.items())
+
+
+def test_outline_is_sections_and_titled_tables(spark):
+    lines = ["- one.", "words of it.", "|", "Scope", "Sizes:", "a | b", "Sizes:", "|", "plain words.", " ", "Sizes:", "|", "|", "1.2 More of it", "|", "", "Names:", "x | y"]
+    rows = [(d, k, "table" if t == "|" else "paragraph", t, "heading 2" if (d + k) % 11 == 0 else None, [["c", str(k)]] if t == "|" else None) for d in range(3) for k, t in enumerate(lines[d:])]
+    rows.append((9, 0, "error", "not_an_archive", None, None))
+    items = spark.createDataFrame(rows, "doc_id int, pos int, kind string, text string, style string, rows array<array<string>>")
+    got = structure.outline(items, style="style")
+    of = lambda frame, *columns: sorted((tuple(r) for r in frame.select("doc_id", "pos", *columns).collect()), key=repr)
+    assert of(got.where("kind = 'paragraph'"), "title", "content") == of(structure.sections(items.where("kind = 'paragraph'"), style="style"), "title", "content")
+    tables = structure.with_breadcrumbs(items.where("kind <> 'error'"), F.col("kind") == "table", style="style")
+    assert of(got.where("kind = 'table'"), "title", "rows") == of(tables, "title", "rows")
+    assert of(got.where("kind = 'error'"), "title", "content") == [(9, 0, None, "not_an_archive")]
+
+
 def test_table_segments(spark):
     rows = [(1, '{"headers":["id","n"],"rows":[{"id":"1","n":"x"},{"id":"2","n":"y"}]}'), (2, "prose"), (3, '{"headers":["a"],"rows":[]}'), (4, '{"rows":[{"a":"b"}]}')]
     got = tables.table_segments(spark.createDataFrame(rows, "k int, text string"), "k").orderBy("k", "sub_order").collect()
